@@ -8,6 +8,8 @@ task.  This module finds the same numbers with a distributed sort instead:
    so a hot value is one row per map task);
 2. range-partition and sort those rows by ``(group, value)``; a large group
    is spread over many partitions;
+   The sorted frame is checkpointed so every branch below reads the same
+   placement;
 3. prefix counts: per-partition totals (one row per partition and group, a
    bounded frame) give each partition's starting rank, and a running sum
    inside each partition gives each value's rank interval;
@@ -26,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import shared_checkpoint_dir
+
 
 def exact_percentiles(
     df: DataFrame,
@@ -42,11 +46,17 @@ def exact_percentiles(
     values = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
 
     distinct_counts = values.groupBy(*group_cols, "v").agg(F.count(F.lit(1)).alias("c"))
-    # An explicit partition count keeps AQE from coalescing this exchange,
-    # so partition ids are stable wherever the sorted frame is read.
+    # Range bounds come from sampling, so two evaluations of this frame could
+    # place rows differently.  A reliable checkpoint (in the shared
+    # checkpoint folder) fixes one placement for every later read and
+    # survives the loss of an executor.  The frame holds distinct values
+    # only, not the input rows.
+    shared_checkpoint_dir(df.sparkSession)
     n_parts = sort_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = distinct_counts.repartitionByRange(n_parts, *group_cols, "v").withColumn(
-        "part", F.spark_partition_id()
+    ordered = (
+        distinct_counts.repartitionByRange(n_parts, *group_cols, "v")
+        .withColumn("part", F.spark_partition_id())
+        .checkpoint(eager=True)
     )
 
     # Running count inside each sorted partition (the partition id is the
@@ -69,12 +79,13 @@ def exact_percentiles(
         .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1))
         .withColumn("frac", F.col("pos") - F.col("lo"))
     )
-    # Each target needs the values at ranks lo and hi (0-based).
+    # Each target needs the values at ranks lo and hi (0-based); the target
+    # frame is at most 2 x groups x probabilities rows, broadcast below.
     needed = targets.select(
         *(F.col(g).alias(f"_k_{g}") for g in group_cols),
-        F.col("p").alias("_p"),
-        F.explode(F.array(F.col("lo"), F.col("hi"))).alias("_rank"),
-    ).distinct()
+        "p", "lo", "hi", "frac", "n",
+        F.explode(F.array_distinct(F.array(F.col("lo"), F.col("hi")))).alias("_rank"),
+    )
 
     # Value row covers ranks [start, end) with start = offset + cum - c.
     spans = ranked.join(F.broadcast(part_offsets.select("part", *group_cols, "offset")), ["part", *group_cols]).select(
@@ -83,22 +94,18 @@ def exact_percentiles(
         (F.col("offset") + F.col("cum_in_part") - F.col("c")).alias("start"),
         (F.col("offset") + F.col("cum_in_part")).alias("end"),
     )
-    # Range condition on a broadcast frame of at most 2 x groups x probs rows.
     on = [F.col(g) == F.col(f"_k_{g}") for g in group_cols]
     on += [F.col("start") <= F.col("_rank"), F.col("_rank") < F.col("end")]
-    picked = spans.join(F.broadcast(needed), on).select(
-        *group_cols, F.col("_p").alias("p"), F.col("_rank").alias("rank"), "v"
+    picked = spans.join(F.broadcast(needed), on)
+    agg = picked.groupBy(*group_cols, "p").agg(
+        F.max(F.when(F.col("_rank") == F.col("lo"), F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("_rank") == F.col("hi"), F.col("v"))).alias("v_hi"),
+        F.max("frac").alias("frac"),
+        F.max("n").alias("n"),
     )
-
-    lo_v = picked.withColumnRenamed("rank", "lo").withColumnRenamed("v", "v_lo")
-    hi_v = picked.withColumnRenamed("rank", "hi").withColumnRenamed("v", "v_hi")
-    return (
-        targets.join(lo_v, [*group_cols, "p", "lo"])
-        .join(hi_v, [*group_cols, "p", "hi"])
-        .select(
-            *group_cols,
-            "p",
-            (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"),
-            "n",
-        )
+    return agg.select(
+        *group_cols,
+        "p",
+        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"),
+        "n",
     )

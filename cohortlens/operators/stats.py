@@ -116,22 +116,25 @@ def feature_correlation(scored: DataFrame, fields: Sequence[str] = SCORED_FEATUR
     """Pearson r for every field pair (upper triangle), pairwise complete.
 
     A pair uses the rows where both values are valid.  A constant or empty
-    pair gives 0 instead of a division error.  One aggregate computes all
-    pairs in a single pass.
+    pair gives 0 instead of a division error.  Each row's valid values form
+    one array; two ``posexplode`` steps turn it into ``(a, b, x, y)`` rows for
+    ``a < b`` (bounded by the field count, not the data), grouped by pair:
+    three moment aggregates with map-side partial aggregation, so the shuffle
+    carries one small buffer per pair and map task.
     """
-    cols = {f: F.col(f).cast("double") for f in fields}
-    aggs = []
-    pairs = list(combinations(fields, 2))
-    for i, (a, b) in enumerate(pairs):
-        both = valid_number(cols[a]) & valid_number(cols[b])
-        x, y = F.when(both, cols[a]), F.when(both, cols[b])
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        aggs.append(F.coalesce(r, F.lit(0.0)).alias(f"r{i}"))
-    wide = scored.agg(*aggs)
-    stack = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    fields = list(fields)
+    masked = F.array(*[F.when(valid_number(F.col(f).cast("double")), F.col(f).cast("double")) for f in fields])
+    per_row = scored.select(masked.alias("vals"))
+    first = per_row.select(F.posexplode("vals").alias("a", "x"), "vals").filter(F.col("x").isNotNull())
+    pairs = first.select("a", "x", F.posexplode("vals").alias("b", "y")).filter(
+        (F.col("b") > F.col("a")) & F.col("y").isNotNull()
     )
-    return wide.select(F.explode(stack).alias("c")).select("c.feature_x", "c.feature_y", "c.r")
+    moments = pairs.groupBy("a", "b").agg(
+        F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
+    )
+    names = scored.sparkSession.createDataFrame(
+        [(i, j, fields[i], fields[j]) for i, j in combinations(range(len(fields)), 2)],
+        "a int, b int, feature_x string, feature_y string",
+    )
+    r = F.coalesce(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")), F.lit(0.0))
+    return F.broadcast(names).join(moments, ["a", "b"], "left").select("feature_x", "feature_y", r.alias("r"))

@@ -7,8 +7,11 @@ operator's inputs, not row caps.
 
 from __future__ import annotations
 
+import os
 from itertools import combinations
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,20 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(tables(spark, sf_dir))
 
 
+# One persisted scored frame per application and input folder: the dashboard
+# queries all read it, as the source served them from one in-memory cache.
+# MEMORY_AND_DISK spills instead of failing, and a lost executor's blocks are
+# recomputed from lineage.
+_SCORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(feature_frame(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    frame = _SCORED.get(key)
+    if frame is None:
+        frame = scored(feature_frame(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        _SCORED[key] = frame
+    return frame
 
 
 def _tiers_sql(col: str = "risk") -> str:

@@ -52,7 +52,9 @@ def _enrollments(orders: DataFrame) -> DataFrame:
     return orders.groupBy(*ENROLLMENT_KEYS).agg(
         F.max("m").alias("m"),
         F.max("y").alias("y"),
-        F.max("o_orderstatus").alias("st"),
+        # Status letters compared by code point: a hash aggregate (a string
+        # max would force a sort-based aggregate).
+        F.char(F.max(F.ascii("o_orderstatus"))).alias("st"),
         F.count(F.lit(1)).alias("n"),
         F.max("o_totalprice").alias("mx"),
     )
