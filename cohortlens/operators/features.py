@@ -60,17 +60,25 @@ def _clicks_of(types: list[str]):
     return F.when(F.col("activity_type").isin(types), F.col("sum_click")).otherwise(F.lit(0))
 
 
-def vle_features(student_vle: DataFrame, vle: DataFrame, courses: DataFrame) -> DataFrame:
-    """Click totals, activity days/weeks, per-category clicks and engagement."""
-    typed = student_vle.select(*KEYS, "id_site", "date", "sum_click").join(
+def typed_clicks(student_vle: DataFrame, vle: DataFrame) -> DataFrame:
+    """Click rows with their site's activity type (size-checked broadcast)."""
+    return student_vle.select(*KEYS, "id_site", "date", "sum_click").join(
         bounded_broadcast(vle.select("id_site", "activity_type")), "id_site", "left"
     )
-    daily = typed.groupBy(*KEYS, "date").agg(
+
+
+def daily_clicks(typed: DataFrame) -> DataFrame:
+    """One row per enrollment-day: total and per-category clicks."""
+    return typed.groupBy(*KEYS, "date").agg(
         F.sum("sum_click").alias("clicks"),
         F.sum(_clicks_of(FORUM_TYPES)).alias("forum"),
         F.sum(_clicks_of(QUIZ_TYPES)).alias("quiz"),
         F.sum(_clicks_of(RESOURCE_TYPES)).alias("resource"),
     )
+
+
+def activity_from_daily(daily: DataFrame, courses: DataFrame) -> DataFrame:
+    """Enrollment click features from enrollment-day rows."""
     weekly = daily.groupBy(*KEYS, week_index(F.col("date")).alias("week")).agg(
         F.sum("clicks").alias("clicks"),
         F.sum("forum").alias("forum"),
@@ -105,6 +113,11 @@ def vle_features(student_vle: DataFrame, vle: DataFrame, courses: DataFrame) ->
     )
 
 
+def vle_features(student_vle: DataFrame, vle: DataFrame, courses: DataFrame) -> DataFrame:
+    """Click totals, activity days/weeks, per-category clicks and engagement."""
+    return activity_from_daily(daily_clicks(typed_clicks(student_vle, vle)), courses)
+
+
 def assessments_per_module(assessments: DataFrame) -> DataFrame:
     """Number of assessments defined per module presentation."""
     return assessments.groupBy("code_module", "code_presentation").agg(

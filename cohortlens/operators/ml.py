@@ -11,6 +11,7 @@ partitioning (``randomSplit`` does).
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -104,9 +105,8 @@ def tune(
     """Grid search for the forest and boosted trees; failures keep the default."""
     grids = {"Random Forest": RF_GRID, "Gradient Boosted Trees": GBT_GRID}
     tuned, results = dict(estimators), {}
-    for name, grid in grids.items():
-        if name not in estimators:
-            continue
+
+    def search(name: str, grid: Mapping[str, list]):
         est = estimators[name]
         maps = _grid(est, grid)
         cv = CrossValidator(
@@ -118,8 +118,16 @@ def tune(
             parallelism=parallelism,
         )
         try:
-            metrics = cv.fit(train).avgMetrics
+            return name, est, maps, cv.fit(train).avgMetrics
         except Exception:  # noqa: BLE001 - the source falls back to the default
+            return name, est, maps, None
+
+    # The two searches are independent Spark jobs: run them side by side.
+    todo = [(n, g) for n, g in grids.items() if n in estimators]
+    with ThreadPoolExecutor(max_workers=max(1, len(todo))) as pool:
+        outcomes = list(pool.map(lambda ng: search(*ng), todo))
+    for name, est, maps, metrics in outcomes:
+        if metrics is None:
             continue
         best = max(range(len(metrics)), key=lambda i: metrics[i])
         combos = [
@@ -293,6 +301,7 @@ def run_training(
     tune_folds: int = 2,
     cv_folds: int = 3,
     estimators: dict[str, Estimator] | None = None,
+    parallelism: int = 4,
 ) -> TrainingRun:
     """Weights, split, optional tuning, fit + evaluate + CV per model, select.
 
@@ -309,18 +318,28 @@ def run_training(
     ests = estimators or classifiers()
     tuning: dict[str, dict] = {}
     if do_tune:
-        ests, tuning = tune(ests, train, folds=tune_folds)
+        ests, tuning = tune(ests, train, folds=tune_folds, parallelism=parallelism)
 
-    rows, models = [], {}
-    best_name, best_score = "", -1.0
     stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    for position, (name, est) in enumerate(ests.items()):
+
+    def fit_one(item):
+        name, est = item
         t0 = time.perf_counter()
         model = est.fit(train)
         elapsed = round(time.perf_counter() - t0, 2)
         metrics = evaluate(model.transform(test))
-        metrics["cv_auc"] = cross_validate(cv_estimator(est), train, folds=cv_folds)
+        metrics["cv_auc"] = cross_validate(cv_estimator(est), train, folds=cv_folds, parallelism=parallelism)
         metrics["training_time"] = elapsed
+        return name, model, metrics
+
+    # Independent models: their Spark jobs run concurrently from driver threads
+    # (fixed seeds, so results do not depend on the interleaving).
+    with ThreadPoolExecutor(max_workers=max(1, len(ests))) as pool:
+        fitted = list(pool.map(fit_one, ests.items()))
+
+    rows, models = [], {}
+    best_name, best_score = "", -1.0
+    for position, (name, model, metrics) in enumerate(fitted):
         score = composite_score(metrics)
         metrics["composite_score"] = round(score, 4)
         models[name] = model
@@ -342,7 +361,7 @@ def run_training(
             (name, run_id, position,
              *[round(float(metrics[m]), 4) for m in ("auc", "accuracy", "precision", "recall", "f1", "recall_dropout",
                                                      "cv_auc", "composite_score")],
-             float(elapsed), False, stamp, imp, tune_row)
+             float(metrics["training_time"]), False, stamp, imp, tune_row)
         )
     rows = [r[:12] + (r[0] == best_name,) + r[13:] for r in rows]
     results = spark.createDataFrame(rows, RESULTS_SCHEMA)  # one row per model
