@@ -135,7 +135,9 @@ def load_source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
         .alias("date_unregistration"),
     )
 
-    course_keys = enrollments.groupBy("code_module", "code_presentation").agg(
+    # m and y are functions of the course key, so group orders directly
+    # (map-side combine to one row per course) instead of the enrollments.
+    course_keys = orders.groupBy("code_module", "code_presentation").agg(
         F.max("m").alias("m"), F.max("y").alias("y")
     )
     courses = course_keys.select(
