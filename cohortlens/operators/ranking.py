@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import clamp_tier
+from cohortlens.functions.positions import TOPK_ROWS, ordered_slice
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
 
 # Fields the student table can be sorted by, and page sizes.
@@ -118,21 +119,22 @@ def student_page(
     page_size: int = 50,
     sort_by: str = "risk",
     order: str = "desc",
+    topk_rows: int = TOPK_ROWS,
 ) -> DataFrame:
-    """One page of the sorted rows plus page metadata columns.
+    """One page of the sorted rows with its position and page metadata columns.
 
-    The row count is one scalar action; the page itself is a bounded top-k
-    (offset + limit) rather than a global sort.
+    The row count is one scalar action.  A page ending within the first
+    ``topk_rows`` positions is a per-partition top-k (offset + limit); a
+    deeper page numbers the rows with a distributed range sort, so no task
+    ever merges more than a page's worth of rows.
     """
     if page_size not in PAGE_SIZES:
         page_size = 50
     total = rows.count()
     page, total_pages = page_bounds(total, page, page_size)
-    ordered = rows.orderBy(*sort_keys(sort_by, order))
+    sliced = ordered_slice(rows, sort_keys(sort_by, order), (page - 1) * page_size, page_size, topk_rows)
     return (
-        ordered.offset((page - 1) * page_size)
-        .limit(page_size)
-        .withColumn("page", F.lit(page))
+        sliced.withColumn("page", F.lit(page))
         .withColumn("total_pages", F.lit(total_pages))
         .withColumn("total_records", F.lit(total).cast("long"))
     )

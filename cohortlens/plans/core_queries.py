@@ -453,10 +453,27 @@ PAGE, PAGE_SIZE = 3, 50
     survey_ids="F2",
 )
 def q_student_page(spark, sf_dir):
-    page = ranking.student_page(scored_frame(spark, sf_dir), page=PAGE, page_size=PAGE_SIZE)
-    keys = ranking.sort_keys("risk", "desc")
-    return page.withColumn(
-        "position", (F.col("page") - 1) * PAGE_SIZE + F.row_number().over(Window.orderBy(*keys))
+    return ranking.student_page(scored_frame(spark, sf_dir), page=PAGE, page_size=PAGE_SIZE)
+
+
+@register(
+    "student_page_last",
+    oracle=f"""WITH n AS (SELECT count(*) AS total FROM scored),
+       p AS (SELECT total, CAST(greatest(1, ceil(total / {PAGE_SIZE}.0)) AS INTEGER) AS last FROM n)
+       SELECT s.* EXCLUDE (rn), CAST(rn AS INTEGER) AS position, p.last AS page, p.last AS total_pages,
+              p.total AS total_records
+       FROM (SELECT *, row_number() OVER (ORDER BY coalesce(clicks, 0), id, code_module, code_presentation)
+                    AS rn FROM scored) s, p
+       WHERE rn > (p.last - 1) * {PAGE_SIZE} AND rn <= p.last * {PAGE_SIZE}""",
+    doubles=_SCORED_DOUBLES,
+    survey_ids="F2",
+)
+def q_student_page_last(spark, sf_dir):
+    """The last page (a page number past the end is clamped), numbered by the
+    distributed range sort: ``topk_rows=0`` sends every page that way, as a
+    deep page of a large table would be."""
+    return ranking.student_page(
+        scored_frame(spark, sf_dir), page=10**9, page_size=PAGE_SIZE, sort_by="clicks", order="asc", topk_rows=0
     )
 
 
