@@ -13,10 +13,12 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Hint ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows per partition and stops, so
-    it is cheap for a scanned dimension file.  Beyond the bound the frame is
-    returned unhinted and the join falls back to a shuffle join (which AQE may
-    still turn into a broadcast once the real shuffle size is known).
+    The check is a plain ``count()``: every task counts its own rows and sends
+    one number, so it is a distributed scan of the (pruned) dimension and no
+    task ever receives its rows.  (A ``limit(n).count()`` would move up to
+    ``n`` rows of every partition into a single task.)  Beyond the bound the
+    frame is returned unhinted and the join falls back to a shuffle join,
+    which AQE may still turn into a broadcast once the real size is known.
     """
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= max_rows else df

@@ -25,8 +25,17 @@ VALID_ID = "id IS NOT NULL AND id <> ''"
 CLAMP = "greatest(0, least(3, coalesce(risk, 0)))"
 
 
+# Lazy plans of the seven source tables, built once per application and
+# input folder (building them is hundreds of driver-JVM calls; every query
+# still scans the files when it runs).
+_TABLES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return load_source_tables(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = load_source_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,25 @@ from cohortlens.sources.schemas import ENROLLMENT_KEYS, RAW_FILE_NAMES, SCHEMAS
 DEFAULT_RUN_ID = "00000000_000000"
 
 
+# ── input parallelism ──────────────────────────────────────────────────────
+
+
+def spread_input(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a scan that yields fewer partitions than the cluster runs.
+
+    A large table stored as one unsplittable unit (a single Parquet row
+    group, a gzip file) is read by one task, and everything fused with the
+    scan (joins, partial aggregation) runs there too.  Such an input is
+    hash-partitioned on ``keys`` (its join key) over the default
+    parallelism.  A table read from many splits, as at cluster scale, is
+    returned untouched: no extra shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
 # ── raw CSV (A1) and audit (A2) ────────────────────────────────────────────
 
 

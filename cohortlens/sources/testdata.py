@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.joins import bounded_broadcast
+from cohortlens.sources.io import spread_input
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
 
 # Mapping of part type (first word) to a click activity type.
@@ -33,10 +34,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_fact_table(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str]) -> DataFrame:
+    """A fact table, pruned to ``columns`` and spread on ``key`` if under-split."""
+    return spread_input(read_table(spark, sf_dir, name).select(*columns), key)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority_digit = F.substring("o_orderpriority", 1, 1)
     year = F.year("o_orderdate")
-    return read_table(spark, sf_dir, "orders").select(
+    raw = read_fact_table(
+        spark, sf_dir, "orders", "o_orderkey",
+        ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus", "o_totalprice"],
+    )
+    return raw.select(
         "o_orderkey",
         F.col("o_custkey").alias("id_student"),
         F.concat(F.lit("M"), priority_digit).alias("code_module"),
@@ -61,9 +71,9 @@ def _enrollments(orders: DataFrame) -> DataFrame:
 
 
 def _order_lines(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+    lines = read_fact_table(
+        spark, sf_dir, "lineitem", "l_orderkey",
+        ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"],
     )
     # Both sides grow with the data: a plain shuffled equi-join.
     return lines.join(
