@@ -6,7 +6,7 @@ broadcast join) and keeps one state row per enrollment-day (update mode).
 Each micro-batch writes its changed rows to ``updates/epoch=<id>``; writing
 the same epoch again overwrites the same folder, so a replayed batch after a
 failure is harmless.  Current totals are the latest row per enrollment-day
-(``max_by`` over epochs, an ordinary partial aggregate) rolled up exactly as
+(``max_by`` over epochs, a partial hash aggregate) rolled up exactly as
 the batch feature job does, so the final state equals the batch result.
 
 Count-distinct is not allowed on a stream; the enrollment-day grouping
@@ -76,10 +76,12 @@ def start_activity_refresh(
 def current_daily(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest state row per enrollment-day across all written epochs."""
     updates = spark.read.parquet(os.path.join(out_dir, "updates"))
-    latest = updates.groupBy(*DAY_KEYS).agg(
-        F.max_by(F.struct("clicks", "forum", "quiz", "resource"), F.col("epoch")).alias("s")
+    # An epoch holds one row per enrollment-day, so taking each total from
+    # the latest epoch separately gives the latest row; fixed-width values
+    # keep this a hash aggregate.
+    return updates.groupBy(*DAY_KEYS).agg(
+        *[F.max_by(c, "epoch").alias(c) for c in ("clicks", "forum", "quiz", "resource")]
     )
-    return latest.select(*DAY_KEYS, "s.clicks", "s.forum", "s.quiz", "s.resource")
 
 
 def current_activity(spark: SparkSession, out_dir: str, courses: DataFrame) -> DataFrame:
