@@ -461,6 +461,32 @@ def comparison_table(results: DataFrame) -> DataFrame:
     ).orderBy(F.desc("composite_score"), "name")
 
 
+EVALUATION_METRICS = ["auc", "accuracy", "precision", "recall", "f1", "cv_auc", "composite_score"]
+
+
+def evaluation_rows(results: DataFrame) -> DataFrame:
+    """Evaluation rows in stored form: one per model and run, keyed ``model|run_id``.
+
+    Metrics are rounded to 4 places; importance and tuning are JSON documents.
+    """
+    return results.select(
+        F.concat_ws("|", "name", "run_id").alias("row_key"),
+        "name",
+        "run_id",
+        *[F.round(m, 4).alias(m) for m in EVALUATION_METRICS],
+        "training_time",
+        "is_best",
+        "timestamp",
+        F.to_json("importance").alias("importance_json"),
+        F.to_json("tuning").alias("tuning_json"),
+    )
+
+
+def append_evaluations(results: DataFrame, path: str) -> None:
+    """Append a run's evaluation rows to the evaluations table (distributed write)."""
+    evaluation_rows(results).write.mode("append").parquet(path)
+
+
 def importance_json(results: DataFrame) -> DataFrame:
     """Importance and tuning documents as JSON text, and parsed back."""
     enc = results.select("name", "run_id", F.to_json("importance").alias("importance_json"),

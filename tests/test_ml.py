@@ -68,3 +68,16 @@ def test_views_of_the_evaluations_table(spark):
     assert hist[("Random Forest", "20240102_000000")] == 2
     assert ml.best_model(res).collect()[0].name == "Random Forest"
     assert ml.select_best(res).collect()[0].name == "Linear SVC"
+
+
+def test_evaluation_rows_round_trip(spark, run, tmp_path):
+    path = str(tmp_path / "evaluations")
+    ml.append_evaluations(run.results, path)
+    ml.append_evaluations(run.results, path)  # append keeps both copies
+    stored = spark.read.parquet(path)
+    assert stored.count() == 2 * run.results.count()
+    row = stored.filter(F.col("is_best")).first()
+    assert row.row_key == f"{row.name}|{row.run_id}"
+    assert row.auc == round(row.auc, 4)
+    parsed = stored.select(F.from_json("importance_json", ml.IMPORTANCE_TYPE).alias("imp")).first().imp
+    assert abs(sum(x.score for x in parsed) - 1.0) < 1e-3
