@@ -79,3 +79,32 @@ def ordered_slice(
             (F.col("position") > start) & (F.col("position") <= start + count)
         )
     return numbered.withColumn("position", F.col("position").cast("int"))
+
+
+def running_totals(
+    df: DataFrame, order_col: str, value_cols: Sequence[str], n_partitions: int | None = None
+) -> DataFrame:
+    """``df`` plus ``<c>_before``: the sum of ``c`` over rows with a smaller ``order_col``.
+
+    ``order_col`` must be unique (aggregate per value first).  The same
+    layout as ``with_positions``: a checkpointed range sort, an exclusive
+    running sum inside each range partition (one window task per partition)
+    and partition offsets from one total row per partition.
+    """
+    spark = df.sparkSession
+    shared_checkpoint_dir(spark)
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.repartitionByRange(n, order_col).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    inside = Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    in_part = tagged.select(
+        "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in value_cols]
+    )
+    totals = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in value_cols]
+    )
+    return in_part.join(F.broadcast(offsets), "_part").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"{c}_before") for c in value_cols],
+    )

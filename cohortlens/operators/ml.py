@@ -22,11 +22,13 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.positions import running_totals
 from cohortlens.operators.features import FEATURE_COLUMNS
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
 
@@ -256,6 +258,27 @@ def exact_auc(predictions: DataFrame) -> float:
     return BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(predictions)
 
 
+def rank_sum_auc(predictions: DataFrame, label_col: str = "label", raw_col: str = "rawPrediction") -> DataFrame:
+    """Exact area under ROC as a one-row frame ``auc_rank_sum`` (Mann-Whitney).
+
+    Predictions are first counted per distinct score (the class-1 raw score,
+    the evaluator's default ranking), so tied scores share half credit.
+    Each score's positives then count the negatives below it, taken from
+    distributed running totals over the sorted distinct scores: no global
+    window, no group collected in one task.
+    """
+    score = vector_to_array(F.col(raw_col))[1]
+    y = F.col(label_col).cast("int")
+    per_score = predictions.groupBy(score.alias("s")).agg(
+        F.count(F.when(y == 1, F.lit(1))).alias("pos"), F.count(F.when(y == 0, F.lit(1))).alias("neg")
+    )
+    ranked = running_totals(per_score, "s", ["neg"])
+    credit = F.col("pos") * (F.col("neg_before") + F.col("neg") * F.lit(0.5))
+    return ranked.agg(
+        F.try_divide(F.sum(credit), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc_rank_sum")
+    )
+
+
 # ── importance (H15, H16) ──────────────────────────────────────────────────
 
 

@@ -81,3 +81,22 @@ def test_evaluation_rows_round_trip(spark, run, tmp_path):
     assert row.auc == round(row.auc, 4)
     parsed = stored.select(F.from_json("importance_json", ml.IMPORTANCE_TYPE).alias("imp")).first().imp
     assert abs(sum(x.score for x in parsed) - 1.0) < 1e-3
+
+
+def test_rank_sum_auc_equals_exact_evaluator(run):
+    for name, model in run.models.items():
+        preds = model.transform(run.test)
+        got = ml.rank_sum_auc(preds).first()["auc_rank_sum"]
+        assert got == pytest.approx(ml.exact_auc(preds), abs=1e-9), name
+
+
+def test_running_totals_match_a_cumulative_sum(spark):
+    from cohortlens.functions.positions import running_totals
+
+    df = spark.range(0, 500, numPartitions=5).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 3).alias("v"))
+    got = {r.k: r.v_before for r in running_totals(df, "k", ["v"], n_partitions=4).collect()}
+    rows = sorted((r.k, r.v) for r in df.collect())
+    acc = 0
+    for k, v in rows:
+        assert got[k] == acc
+        acc += v
