@@ -83,9 +83,17 @@ def risk_label(risk: Column) -> Column:
 
 
 def clamp_tier(risk: Column) -> Column:
-    """Tier as int clamped to 0..3; unparsable or null counts as 0."""
-    as_int = F.coalesce(risk.cast("string").try_cast("double").cast("int"), F.lit(0))
-    return F.greatest(F.lit(0), F.least(F.lit(3), as_int))
+    """Tier as int clamped to 0..3; unparsable, NaN or null counts as 0.
+
+    Numbers and numeric text both go through one ``try_cast`` to double (no
+    text round trip for an int column); the clamp happens before the
+    truncating cast, so a huge value gives 3 instead of an overflow error.
+    """
+    value = risk.try_cast("double")
+    # least/greatest skip nulls, so unparsable values are handled first.
+    usable = value.isNotNull() & ~F.isnan(value)
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(3.0), value)).cast("int")
+    return F.when(usable, clamped).otherwise(F.lit(0))
 
 
 def valid_number(value: Column) -> Column:

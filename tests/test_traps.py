@@ -192,3 +192,14 @@ def test_percent_format_matches_python(spark):
     got = [r[0] for r in df.select(fixed(F.col("v"), 2)).collect()]
     assert got == [f"{v:.2f}" for v in values]
     assert not math.isnan(values[0])
+
+
+def test_tier_clamp_of_text_and_numbers(spark):
+    from cohortlens.functions.expressions import clamp_tier
+
+    cases = [("2.7", 2), ("abc", 0), ("-1", 0), ("7", 3), ("1e20", 3), (None, 0), ("NaN", 0), ("3", 3), ("0.4", 0)]
+    df = spark.createDataFrame([(v,) for v, _ in cases], "risk string")
+    got = [r.t for r in df.select(clamp_tier(F.col("risk")).alias("t")).collect()]
+    assert got == [want for _, want in cases]
+    ints = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 5, -2, None)], "risk int")
+    assert [r.t for r in ints.select(clamp_tier(F.col("risk")).alias("t")).collect()] == [0, 1, 2, 3, 3, 0, 0]
