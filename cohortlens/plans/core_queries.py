@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import cohort, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
+from cohortlens.session import shared_checkpoint_dir
 from cohortlens.sources.testdata import load_source_tables
 
 KEYS_SQL = "id_student, code_module, code_presentation"
@@ -42,10 +43,12 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(tables(spark, sf_dir))
 
 
-# One persisted scored frame per application and input folder: the dashboard
-# queries all read it, as the source served them from one in-memory cache.
-# MEMORY_AND_DISK spills instead of failing, and a lost executor's blocks are
-# recomputed from lineage.
+# One scored frame per application and input folder: the dashboard queries
+# all read it, as the source served them from one in-memory cache.  It is
+# checkpointed into the shared checkpoint folder (a lineage cut: a lost
+# executor's blocks are re-read from those files instead of re-running the
+# feature pipeline and its shuffles) and then kept in memory, spilling to
+# disk instead of failing.
 _SCORED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -53,7 +56,8 @@ def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     frame = _SCORED.get(key)
     if frame is None:
-        frame = scored(feature_frame(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        shared_checkpoint_dir(spark)
+        frame = scored(feature_frame(spark, sf_dir)).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
         _SCORED[key] = frame
     return frame
 
