@@ -8,6 +8,7 @@ checkpoint folder) from whatever session the caller hands in.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -27,6 +28,36 @@ DEFAULT_CONF = {
 }
 
 
+# Bytes per scan split and per shuffle partition after coalescing: large
+# enough to amortise task start-up, small enough that one partition's sort or
+# hash-aggregation buffers fit in a core's share of executor memory.
+SPLIT_BYTES = 256 * 1024 * 1024
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+# Shuffle data is far smaller than the input once the click stream is
+# partially aggregated; the initial count is an upper bound AQE coalesces.
+INPUT_BYTES_PER_SHUFFLE_PARTITION = 1024 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def scale_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Settings sized to the input and the cluster (pass to ``get_session``).
+
+    Scans split at ``SPLIT_BYTES``; the initial shuffle partition count gives
+    every core at least two waves and about one partition per GiB of input
+    (capped, so map-output bookkeeping stays bounded); AQE coalesces toward
+    ``SHUFFLE_PARTITION_BYTES`` and splits join partitions five times larger.
+    """
+    parts = max(2 * total_cores, math.ceil(input_bytes / INPUT_BYTES_PER_SHUFFLE_PARTITION))
+    parts = min(parts, MAX_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(5 * SHUFFLE_PARTITION_BYTES),
+    }
+
+
 def get_session(
     app_name: str = "cohortlens",
     master: str | None = None,

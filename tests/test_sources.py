@@ -42,3 +42,16 @@ def test_spread_input_only_for_under_split_scans(spark):
     spread = spread_input(narrow, "id", min_partitions=8)
     assert spread.rdd.getNumPartitions() == 8
     assert sorted(r.id for r in spread.collect()) == list(range(1000))
+
+
+def test_scale_conf_sizes_partitions_to_the_input():
+    from cohortlens.session import MAX_SHUFFLE_PARTITIONS, scale_conf
+
+    tb = 1024**4
+    big = scale_conf(100 * tb, total_cores=8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS  # 102,400 GiB, capped
+    mid = scale_conf(10 * tb, total_cores=2000)
+    assert int(mid["spark.sql.shuffle.partitions"]) == 10 * 1024
+    small = scale_conf(1024**3, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # two waves over the cores
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == big["spark.sql.shuffle.partitions"]
