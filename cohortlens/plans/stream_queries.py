@@ -30,7 +30,8 @@ def q_stream_activity_refresh(spark, sf_dir):
     cols = [f.name for f in SCHEMAS["student_vle"].fields]
     t["student_vle"].select(*cols).repartition(ARRIVING_FILES).write.parquet(source)
     query = activity_refresh.start_activity_refresh(
-        spark, source, t["vle"], os.path.join(root, "out"), checkpoint=os.path.join(root, "checkpoint")
+        spark, source, t["vle"], os.path.join(root, "out"), checkpoint=os.path.join(root, "checkpoint"),
+        max_files_per_trigger=1,  # one micro-batch per arriving file
     )
     query.awaitTermination()
     return activity_refresh.current_activity(spark, os.path.join(root, "out"), t["courses"])

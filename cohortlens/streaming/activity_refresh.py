@@ -30,7 +30,11 @@ from cohortlens.sources.schemas import SCHEMAS
 DAY_KEYS = [*KEYS, "date"]
 
 
-def click_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+# Files per micro-batch: bounds the work of one batch when a backlog arrives.
+MAX_FILES_PER_TRIGGER = 1000
+
+
+def click_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """New click files (Parquet) as a stream with the declared click schema."""
     return (
         spark.readStream.schema(SCHEMAS["student_vle"])
@@ -56,7 +60,7 @@ def start_activity_refresh(
     vle: DataFrame,
     out_dir: str,
     checkpoint: str | None = None,
-    max_files_per_trigger: int = 1,
+    max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
     available_now: bool = True,
     processing_time: str = "60 seconds",
 ) -> StreamingQuery:
