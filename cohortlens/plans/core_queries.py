@@ -12,9 +12,10 @@ from itertools import combinations
 
 from pyspark import StorageLevel
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.positions import with_positions
 from cohortlens.operators import cohort, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
@@ -432,23 +433,21 @@ def q_attention_top10(spark, sf_dir):
     return ranking.attention_list(scored_frame(spark, sf_dir), 10)
 
 
-SORT_TOP = 100
 
 
 @register(
     "student_sort",
-    oracle=f"""SELECT * FROM (
-         SELECT *, CAST(row_number() OVER (ORDER BY coalesce(clicks, 0) DESC, id, code_module, code_presentation)
-                        AS INTEGER) AS position
-         FROM scored) WHERE position <= {SORT_TOP}""",
+    oracle="""SELECT *, CAST(row_number() OVER (ORDER BY coalesce(clicks, 0) DESC, id, code_module, code_presentation)
+                    AS INTEGER) AS position
+         FROM scored""",
     doubles=_SCORED_DOUBLES,
     survey_ids="F1",
 )
 def q_student_sort(spark, sf_dir):
+    """Every enrollment with its exact position in the sort order (distributed
+    range sort; no task merges the whole table)."""
     keys = ranking.sort_keys("clicks", "desc")
-    top = ranking.student_sort(scored_frame(spark, sf_dir), "clicks", "desc").limit(SORT_TOP)
-    # Numbering inside the already bounded top-k (at most SORT_TOP rows).
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    return with_positions(scored_frame(spark, sf_dir), keys).withColumn("position", F.col("position").cast("int"))
 
 
 PAGE, PAGE_SIZE = 3, 50
