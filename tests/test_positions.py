@@ -53,3 +53,18 @@ def test_deep_page_plan_has_no_single_task_merge(spark):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
     assert page.filter(F.col("position") <= 50).count() == 0
+
+
+def test_positions_stay_dense_with_fully_tied_rows(spark):
+    # Duplicated enrollment keys (fan-out of duplicate source rows) tie on every sort key.
+    df = spark.range(0, 600, numPartitions=6).select(
+        (F.col("id") % 7).cast("string").alias("id"),
+        F.lit("M1").alias("code_module"),
+        F.lit("2000J").alias("code_presentation"),
+        (F.col("id") % 3).cast("double").alias("clicks"),
+    )
+    keys = ranking.sort_keys("clicks", "desc")
+    rows = with_positions(df, keys, n_partitions=4).collect()
+    assert sorted(r.position for r in rows) == list(range(1, 601))
+    ordered = [(r.clicks, r.id) for r in sorted(rows, key=lambda r: r.position)]
+    assert ordered == sorted(ordered, key=lambda t: (-t[0], t[1]))
