@@ -41,3 +41,13 @@ def test_click_features_broadcast_the_site_dimension(spark):
     t = load_source_tables(spark, SF_SMALL)
     plan = _plan(vle_features(t["student_vle"], t["vle"], t["courses"]))
     assert "BroadcastHashJoin" in plan and "BroadcastExchange" in plan
+
+
+def test_correlation_pairs_are_combined_before_the_shuffle(spark):
+    # The pair rows (up to 171 per enrollment) must meet a partial aggregate
+    # in the same stage: only one moment buffer per pair and task is shuffled.
+    plan = _plan(REGISTRY["feature_correlation"].build(spark, SF_SMALL))
+    lines = [line for line in plan.splitlines() if any(k in line for k in ("Generate", "Exchange", "HashAggregate"))]
+    first_generate = next(i for i, line in enumerate(lines) if "Generate" in line)
+    above = lines[first_generate - 1]
+    assert "HashAggregate" in above and "partial_covar_pop" in above
