@@ -51,3 +51,13 @@ def test_correlation_pairs_are_combined_before_the_shuffle(spark):
     first_generate = next(i for i, line in enumerate(lines) if "Generate" in line)
     above = lines[first_generate - 1]
     assert "HashAggregate" in above and "partial_covar_pop" in above
+
+
+def test_clicks_are_combined_per_enrollment_day_before_the_shuffle(spark):
+    from cohortlens.operators.features import vle_features
+    from cohortlens.sources.testdata import load_source_tables
+
+    t = load_source_tables(spark, SF_SMALL)
+    lines = _plan(vle_features(t["student_vle"], t["vle"], t["courses"])).splitlines()
+    day_exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "date" in line)
+    assert "HashAggregate" in lines[day_exchange + 1] and "partial_sum(sum_click" in lines[day_exchange + 1]
