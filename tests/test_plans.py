@@ -61,3 +61,18 @@ def test_clicks_are_combined_per_enrollment_day_before_the_shuffle(spark):
     lines = _plan(vle_features(t["student_vle"], t["vle"], t["courses"])).splitlines()
     day_exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "date" in line)
     assert "HashAggregate" in lines[day_exchange + 1] and "partial_sum(sum_click" in lines[day_exchange + 1]
+
+
+def test_submissions_are_combined_per_enrollment_before_the_shuffle(spark):
+    from cohortlens.operators.features import assessment_features
+    from cohortlens.sources.testdata import load_source_tables
+
+    t = load_source_tables(spark, SF_SMALL)
+    lines = _plan(assessment_features(t["student_assessment"], t["assessments"])).splitlines()
+    key_exchanges = [
+        i for i, line in enumerate(lines)
+        if "Exchange hashpartitioning(id_student" in line and "code_presentation" in line
+    ]
+    assert key_exchanges
+    for i in key_exchanges:
+        assert "HashAggregate" in lines[i + 1] and "partial_avg(score" in lines[i + 1]
