@@ -137,4 +137,6 @@ def feature_correlation(scored: DataFrame, fields: Sequence[str] = SCORED_FEATUR
         "a int, b int, feature_x string, feature_y string",
     )
     r = F.coalesce(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")), F.lit(0.0))
-    return F.broadcast(names).join(moments, ["a", "b"], "left").select("feature_x", "feature_y", r.alias("r"))
+    # Both sides hold at most one row per pair; the moments are the build side
+    # so the left outer join (pairs without valid rows give 0) needs no shuffle.
+    return names.join(F.broadcast(moments), ["a", "b"], "left").select("feature_x", "feature_y", r.alias("r"))
