@@ -105,9 +105,10 @@ def score_distribution(scored: DataFrame) -> DataFrame:
     counts = scored.groupBy(bucket.alias("bucket")).agg(*_tier_counts())
     spark = scored.sparkSession
     buckets = spark.range(10).select(F.col("id").cast("int").alias("bucket"))
+    # counts has at most one row per bucket: it is the broadcast (build) side,
+    # so the left outer join from the fixed bucket list needs no shuffle.
     return (
-        F.broadcast(buckets)
-        .join(counts, "bucket", "left")
+        buckets.join(F.broadcast(counts), "bucket", "left")
         .select(
             "bucket",
             F.concat((F.col("bucket") * 10).cast("string"), F.lit("–"), (F.col("bucket") * 10 + 10).cast("string")).alias(
@@ -171,8 +172,7 @@ def outcome_counts(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     return (
-        F.broadcast(outcomes)
-        .join(counts, "final_result", "left")
+        outcomes.join(F.broadcast(counts), "final_result", "left")  # counts: at most 4 rows
         .select("final_result", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "outcome_order")
         .orderBy("outcome_order")
     )

@@ -86,9 +86,9 @@ def feature_histogram(
     grid = bounds.select("field", "lo", "width", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"))
     edge_lo = F.col("lo") + F.col("bucket").cast("double") * F.col("width")
     edge_hi = F.col("lo") + (F.col("bucket") + 1).cast("double") * F.col("width")
+    # counts has at most one row per field and bucket: the broadcast side.
     return (
-        F.broadcast(grid)
-        .join(counts, ["field", "bucket"], "left")
+        grid.join(F.broadcast(counts), ["field", "bucket"], "left")
         .select(
             "field",
             "bucket",
