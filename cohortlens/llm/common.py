@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import os
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers (Spark's own file distribution), once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_cohortlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="cohortlens-package-")  # the driver serves it to the executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "cohortlens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._cohortlens_shipped = True
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that most operators read, under private names."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 

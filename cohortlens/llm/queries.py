@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import ascii_lower, table
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.token_counts import token_counts
 
 QUERIES, ORACLES = {}, {}
@@ -41,3 +42,8 @@ FROM t WINDOW g AS (PARTITION BY norm)
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
