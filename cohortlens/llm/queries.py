@@ -10,6 +10,7 @@ from cohortlens.llm.common import ascii_lower, table
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.ngram_join import ngram_jaccard_join
+from cohortlens.llm.secret_scan import scan_secrets, span_text
 from cohortlens.llm.token_counts import token_counts
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +62,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.size("linked").cast("long").alias("n_linked"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.concat(base, "linked")).alias("spans"),
+    )
