@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import ascii_lower, table
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.language_id import identify_languages, train_language_id
 from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.secret_scan import scan_secrets, span_text
 from cohortlens.llm.token_counts import token_counts
@@ -75,3 +76,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text(base), 256).alias("base_sha256"),
         span_text(F.concat(base, "linked")).alias("spans"),
     )
+
+
+def held_out():
+    """A quarter of the documents, never learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = train_language_id(docs.filter(~held_out()))
+    return identify_languages(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
