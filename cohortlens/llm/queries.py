@@ -12,6 +12,7 @@ from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.language_id import identify_languages, train_language_id
 from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.secret_scan import scan_secrets, span_text
+from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.llm.token_counts import token_counts
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +89,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = train_language_id(docs.filter(~held_out()))
     return identify_languages(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ",")
+    return coded.select("doc_id", "n_pieces", "n_byte_pieces", F.sha2(ids, 256).alias("ids_sha256"), "round_trip", "parity")

@@ -32,8 +32,8 @@ from cohortlens.llm.common import keyed, text_steps
 
 PRIMING_ROWS = 2000
 TABLE_ROWS = 32_768
-#: Entries a worker's cache may hold, and characters of one of its keys.
-CACHE_ROWS, CACHE_CHARS = 500_000, 64
+#: Entries of the newer of the worker cache's two halves, and characters of one of its keys.
+CACHE_ROWS, CACHE_CHARS = 250_000, 64
 #: The byte-level pattern of the vocabulary file (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, "Encoder"] = {}
@@ -45,7 +45,9 @@ class Encoder:
     def __init__(self, path: str):
         import regex
 
-        self.cache: dict[str, int] = {}
+        #: Tier one with the newer half of tier two, and the older half.
+        self.look: dict[str, int] | None = None
+        self.older: dict[str, int] = {}
         self.cut = self.special = None
         if path.endswith(".model"):
             import sentencepiece
@@ -77,23 +79,21 @@ class Encoder:
     def counts(self, texts: list[str], table: dict[str, int]) -> list[int]:
         if self.cut is None:
             return self.lengths(texts)
-        cache = self.cache
-        if len(cache) > CACHE_ROWS:
-            cache.clear()
-        cut = [self.pre_tokens(t) for t in texts]
-        missed: set[str] = set()
-        for pre, _ in cut:
-            missed.update(pre)
-        missed = [x for x in missed if x not in table and x not in cache]
-        found = dict(zip(missed, self.lengths(missed), strict=True)) if missed else {}
-        out = []
-        for pre, special in cut:
-            n = special
-            for x, times in Counter(pre).items():
-                size = table.get(x) or cache.get(x)
-                n += times * (found[x] if size is None else size)
-            out.append(n)
-        cache.update((x, n) for x, n in found.items() if len(x) <= CACHE_CHARS)
+        if self.look is None:
+            self.look = dict(table)
+        look, cut = self.look, [self.pre_tokens(t) for t in texts]
+        missed = set().union(*(pre for pre, _ in cut)).difference(look)
+        kept = {x: self.older[x] for x in missed if x in self.older}
+        look.update(kept)
+        missed = [x for x in missed if x not in kept]
+        if missed:
+            look.update(zip(missed, self.lengths(missed), strict=True))
+        out = [special + sum(map(look.__getitem__, pre)) for pre, special in cut]
+        for x in missed:
+            if len(x) > CACHE_CHARS:
+                del look[x]
+        if len(look) > len(table) + CACHE_ROWS:
+            self.older, self.look = look, dict(table)
         return out
 
 
