@@ -113,6 +113,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bits of the bitmaps that carry a set of slots to the tasks: 8 MB each, however many members the set has.
+SLOTS = 1 << 26
+
+
+def slot_bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a bitmap in which bit ``value mod SLOTS`` of every value of the column is set."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    bits = np.zeros((SLOTS // 32768, 4096), np.uint8)
+    for part in parts.toLocalIterator():
+        bits[part.bucket - 1] = np.frombuffer(part.bits, np.uint8)
+    return bits.reshape(-1)
+
+
 def word_mask(is_word) -> np.ndarray:
     return np.array([is_word(b) for b in range(256)], bool)
 

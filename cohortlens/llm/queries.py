@@ -13,6 +13,7 @@ from cohortlens.llm.language_id import identify_languages, train_language_id
 from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.secret_scan import scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
+from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +98,10 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ",")
     return coded.select("doc_id", "n_pieces", "n_byte_pieces", F.sha2(ids, 256).alias("ids_sha256"), "round_trip", "parity")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring_dedup(docs)
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))

@@ -255,7 +255,7 @@ def sentencepiece_codec(docs: DataFrame, path: str, text_col: str = "text", thre
     new = ["piece_ids", "n_pieces", "n_byte_pieces", "decoded", "round_trip", "parity"]
     kept = [c for c in docs.columns if c not in new]
     schema = T.StructType([docs.schema[c] for c in kept])
-    schema = schema.add("piece_ids", "array<int>").add("n_pieces", "long").add("n_byte_pieces", "long").add("decoded", "string")
+    schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long").add("decoded", "string")
     schema = schema.add("round_trip", "boolean").add("parity", "boolean")
     position = kept.index(text_col)
 
