@@ -10,6 +10,7 @@ from cohortlens.llm.common import ascii_lower, table
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.language_id import identify_languages, train_language_id
+from cohortlens.llm.lm_scoring import score_documents
 from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.secret_scan import scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
@@ -105,3 +106,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = substring_dedup(docs)
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
