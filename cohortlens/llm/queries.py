@@ -16,6 +16,7 @@ from cohortlens.llm.secret_scan import scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
+from cohortlens.llm.tool_calls import link_tool_calls, turns_as_calls
 
 QUERIES, ORACLES = {}, {}
 TOKEN_LIMIT = 1024
@@ -111,3 +112,25 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+REPLY = {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
+ORACLES["op8_chat_formatting"] = """
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, 'reply' AS name, text FROM conversations WHERE role = 'user'
+), answers AS (
+  SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'content': text}) AS answer
+  FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
+)
+SELECT c.conv_id, c.turn, c.call_id, c.name, a.answer IS NOT NULL AS answered, a.answer.turn AS answer_turn,
+       c.text IS NOT NULL AS valid, c.turn AS position, 0 AS bump, false AS cyclic,
+       to_json({'arguments': {'prompt': c.text, 'turn': c.turn}, 'id': c.call_id, 'name': c.name, 'result': a.answer.content})::varchar AS json
+FROM calls c LEFT JOIN answers a USING (conv_id, call_id)
+"""
