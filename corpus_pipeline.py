@@ -1,27 +1,71 @@
-"""Corpus pipeline over ``documents``: each stage reads the Parquet its predecessor wrote."""
+"""Corpus pipeline over ``documents``: each stage reads the Parquet its predecessor wrote.
+
+Language ID drops documents that it rejects, exact dedup and the n-gram
+Jaccard join keep one document of each group, decontamination drops documents
+that hold a benchmark passage, and the tokenizer stage adds the pieces of
+every document that is left.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import table
+from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.language_id import UNKNOWN, identify_languages, train_language_id
+from cohortlens.llm.ngram_join import ngram_jaccard_join
+from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.session import shared_checkpoint_dir
 
+#: Near copies share this part of their five-word shingles: 4 of 5.
+SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, in the language that the network gives them; null and letterless texts go."""
+    net = train_language_id(docs)
+    found = identify_languages(docs, net).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_id"), "lang_pred").distinct()
+    kept = docs.join(found, docs["doc_id"] == F.col("_id"))
+    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else docs[c] for c in docs.columns))
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each linked group the document with the smallest doc_id stays."""
+    groups = ngram_jaccard_join(docs, k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
+    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces, and whether these decode to the text."""
+    coded = sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.drop("decoded")
+
+
 STAGES = [
-    ("exact dedup", drop_exact_copies),
+    ("language ID", identified),
+    ("exact dedup", without_exact_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark_passages),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
-#: The language and tokenizer stages have no SQL form.
+#: The language and tokenizer stages have no SQL form; a brute-force version stands in the tests.
 ORACLE_SQL = None
 
 
