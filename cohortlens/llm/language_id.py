@@ -15,8 +15,8 @@ Edge cases: a null text and a text without letters get ``und`` with score 0; a
 text of any length is read whole, in bounded memory; rows with null language
 or null text are not learned from; without any labelled row every document is
 ``und``; ties between languages go to the one that sorts first; repeated rows
-get equal results; an empty table gives an empty result; other columns are not
-read.
+get equal results; an empty table gives an empty result; extra columns pass
+through, and the result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.llm.common import keyed, ship_package, text_bytes, text_steps
+from cohortlens.llm.common import ship_package, text_bytes, text_steps
 
 SEGMENT, HIDDEN, BLOCK = 64, 16, 4096
 PER_LANGUAGE, SEGMENTS_PER_DOCUMENT = 1000, 3
@@ -236,9 +237,12 @@ def document_probabilities(net: Network, texts: pa.Array) -> np.ndarray:
     return sums / np.maximum(counts, 1)[:, None]
 
 
-def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (the predicted language's probability) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def identify_languages(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every row's kept columns (all by default) with ``lang_pred`` and ``score`` (the predicted language's probability)."""
+    ship_package(docs.sparkSession)
+    new = ["lang_pred", "score"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches):
@@ -246,12 +250,13 @@ def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", te
 
         net, letter = shared.value, regex.compile(r"\p{L}")
         for batch in text_steps(batches):
-            known = np.array([t is not None and letter.search(t) is not None for t in batch.column(1).to_pylist()], bool)
+            texts = batch.column(len(kept))
+            known = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if net.languages and known.any():
-                p = document_probabilities(net, batch.column(1))
+                p = document_probabilities(net, texts)
                 lang = [net.languages[j] if k else UNKNOWN for j, k in zip(p.argmax(1), known, strict=True)]
                 score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], names=[*kept, *new])
 
-    return keyed(docs, id_col, text_col).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text")).mapInArrow(predict, schema)

@@ -91,7 +91,7 @@ def held_out():
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = train_language_id(docs.filter(~held_out()))
-    return identify_languages(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify_languages(docs, net, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 @query
