@@ -28,10 +28,8 @@ SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in the language that the network gives them; null and letterless texts go."""
-    net = train_language_id(docs)
-    found = identify_languages(docs, net).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_id"), "lang_pred").distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("_id"))
-    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else docs[c] for c in docs.columns))
+    found = identify_languages(docs, train_language_id(docs)).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
