@@ -7,6 +7,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.session import shared_checkpoint_dir
 
@@ -28,10 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder under the shared checkpoint folder; it goes when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_checkpoint_dir(spark)}/cohortlens-{context.applicationId}"
+    if getattr(context, "_cohortlens_scratch", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        context._cohortlens_scratch = folder
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; lost executors cost no recomputation."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared checkpoint folder and read from there; lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,10 +78,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 
-def text_steps(batches, column: str = "_text") -> Iterator[pa.RecordBatch]:
+def text_steps(batches, texts=lambda batch: batch.column("_text")) -> Iterator[pa.RecordBatch]:
     """Slices of the Arrow batches with at most STEP_BYTES of text (or one row)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(texts(batch)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         at = 0
         while at < len(sizes):
@@ -74,6 +91,33 @@ def text_steps(batches, column: str = "_text") -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def with_columns(docs: DataFrame, text_col: str, new: T.StructType, make, kept: list[str] | None = None, extra: Column | None = None) -> DataFrame:
+    """The kept columns (all by default, under any names) with new ones computed in Arrow batches.
+
+    ``make(texts, extra)`` gets the step's texts and extra column and returns the
+    new columns' arrays.  New columns replace kept ones of the same name.
+    """
+    ship_package(docs.sparkSession)
+    kept = [c for c in (docs.columns if kept is None else kept) if c not in new.names]
+    row = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    inside = kept.index(text_col) if text_col in kept else None
+    text = F.lit(None).cast("string") if inside is not None else F.col(f"`{text_col}`")
+    extra = F.lit(None).cast("int") if extra is None else extra
+    packed = docs.select(F.struct(*row).alias("row"), text.alias("_text"), extra.alias("extra"))
+
+    def texts(batch):
+        return batch.column("_text") if inside is None else batch.column("row").field(inside)
+
+    def run(batches):
+        for batch in text_steps(batches, texts):
+            arrays = make(texts(batch), batch.column("extra"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=["row", *(f"n{i}" for i in range(len(arrays)))])
+
+    schema = T.StructType([packed.schema["row"], *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new))])
+    out = packed.mapInArrow(run, schema)
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"n{i}").alias(f.name) for i, f in enumerate(new)))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes one after the other, and n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())

@@ -21,8 +21,9 @@ Spark broadcasts the benchmark side when it is small, and shuffles both when
 it is not.
 
 Edge cases: null and empty texts, and texts without words, have no words and
-are never hit; items without words occur nowhere; repeated items count one by
-one, repeated document rows (equal id) are each given that document's result;
+are never hit; items without words occur nowhere; equal item ids are one item;
+document rows with equal ids (or none) are one document, and each row is given
+its spans and items;
 empty tables give an empty result, or clean documents; other columns are not
 read.  Words are compared by 64-bit hashes.
 """
@@ -193,9 +194,11 @@ def decontaminate(
             F.greatest(s["past"], x["past"]).alias("past"),
         ),
     )["n"]
-    out = rows.filter("key is null").select("doc", "n_words").join(spans, "doc", "left").join(found, "doc", "left")
+    out = rows.filter("key is null").select("doc", "n_words").alias("r")
+    out = out.join(spans.alias("s"), F.col("r.doc").eqNullSafe(F.col("s.doc")), "left")
+    out = out.join(found.alias("f"), F.col("r.doc").eqNullSafe(F.col("f.doc")), "left")
     return out.select(
-        F.col("doc").alias("doc_id"),
+        F.col("r.doc").alias("doc_id"),
         "n_words",
         F.coalesce(covered, F.lit(0)).alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<first:long,past:long>>")).alias("spans"),

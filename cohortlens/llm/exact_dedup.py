@@ -11,10 +11,11 @@ same bound at every input size.  A slot shared by chance only lets a document
 through to the next level; the last level compares whole-text hashes, so the
 result is exact.
 
-Edge cases: null text counts as empty; all empty texts are one group; repeated
-ids are separate rows of their group; extra columns pass through unchanged,
-and the three result columns replace columns of the same name; an empty table
-gives an empty result.
+Edge cases: null text counts as empty; all empty texts are one group; rows that
+share text and the group's largest id are all kept; a null id stays only where
+its group has no other; extra columns pass through unchanged, and the three
+result columns replace columns of the same name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -60,12 +61,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``sha_col`` names a column that already holds the whole-text hash; else it is computed for the final join.
     """
     taken = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept")]
-    sha = F.col(f"`{sha_col}`") if sha_col else F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256)
-    joined = docs.withColumn("_sha", sha).join(exact_groups(docs, id_col, text_col), "_sha", "left")
-    keep = F.coalesce("_keep", F.col(f"`{id_col}`"))
+    sha = F.col(f"d.`{sha_col}`") if sha_col else F.sha2(ascii_lower(F.col(f"d.`{text_col}`")), 256)
+    joined = docs.alias("d").join(exact_groups(docs, id_col, text_col).alias("g"), sha == F.col("g._sha"), "left")
+    own = F.col(f"d.`{id_col}`")
+    keep = F.coalesce("g._keep", own)
     return joined.select(
-        *(F.col(f"`{c}`") for c in taken),
+        *(F.col(f"d.`{c}`") for c in taken),
         keep.alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).alias("group_size"),
-        keep.eqNullSafe(F.col(f"`{id_col}`")).alias("kept"),
+        F.coalesce("g._size", F.lit(1)).alias("group_size"),
+        keep.eqNullSafe(own).alias("kept"),
     )

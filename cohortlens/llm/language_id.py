@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import ship_package, text_bytes, text_steps
+from cohortlens.llm.common import ship_package, text_bytes, text_steps, with_columns
 
 SEGMENT, HIDDEN, BLOCK = 64, 16, 4096
 PER_LANGUAGE, SEGMENTS_PER_DOCUMENT = 1000, 3
@@ -239,24 +239,18 @@ def document_probabilities(net: Network, texts: pa.Array) -> np.ndarray:
 
 def identify_languages(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row's kept columns (all by default) with ``lang_pred`` and ``score`` (the predicted language's probability)."""
-    ship_package(docs.sparkSession)
-    new = ["lang_pred", "score"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def predict(batches):
+    def predict(texts: pa.Array, _) -> list[pa.Array]:
         import regex
 
         net, letter = shared.value, regex.compile(r"\p{L}")
-        for batch in text_steps(batches):
-            texts = batch.column(len(kept))
-            known = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
-            lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if net.languages and known.any():
-                p = document_probabilities(net, texts)
-                lang = [net.languages[j] if k else UNKNOWN for j, k in zip(p.argmax(1), known, strict=True)]
-                score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], names=[*kept, *new])
-
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("_text")).mapInArrow(predict, schema)
+        known = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if net.languages and known.any():
+            p = document_probabilities(net, texts)
+            lang = [net.languages[j] if k else UNKNOWN for j, k in zip(p.argmax(1), known, strict=True)]
+            score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
+        return [pa.array(lang, pa.string()), pa.array(score)]
+
+    return with_columns(docs, text_col, T.StructType().add("lang_pred", "string").add("score", "double"), predict, keep)

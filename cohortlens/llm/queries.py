@@ -96,8 +96,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sentencepiece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     ids = F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ",")
     return coded.select("doc_id", "n_pieces", "n_byte_pieces", F.sha2(ids, 256).alias("ids_sha256"), "round_trip", "parity")
 

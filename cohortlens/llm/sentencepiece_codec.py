@@ -35,10 +35,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import ship_package, text_steps
+from cohortlens.llm.common import with_columns
 
 MARK = "▁"
 #: Piece types and model types of the message (fixed values).
@@ -246,37 +245,26 @@ def codec(path: str, threads: int = THREADS) -> Codec:
     return _codecs[path, threads]
 
 
-def sentencepiece_codec(docs: DataFrame, path: str, text_col: str = "text", threads: int = THREADS) -> DataFrame:
-    """``docs`` with ``piece_ids``, ``n_pieces``, ``n_byte_pieces``, ``decoded``, ``round_trip`` and ``parity``.
+def sentencepiece_codec(docs: DataFrame, path: str, text_col: str = "text", threads: int = THREADS, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of ``docs`` (all by default) with ``piece_ids``, ``n_pieces``, ``n_byte_pieces``, ``decoded``, ``round_trip`` and ``parity``.
 
     ``path`` is the model file on every machine.
     """
-    ship_package(docs.sparkSession)
-    new = ["piece_ids", "n_pieces", "n_byte_pieces", "decoded", "round_trip", "parity"]
-    kept = [c for c in docs.columns if c not in new]
-    schema = T.StructType([docs.schema[c] for c in kept])
-    schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long").add("decoded", "string")
-    schema = schema.add("round_trip", "boolean").add("parity", "boolean")
-    position = kept.index(text_col)
-
-    def run(batches):
-        own = codec(path, threads)
-        for batch in text_steps(batches, f"{text_col}"):
-            texts = [t or "" for t in batch.column(position).to_pylist()]
-            ids, same = own.encode(texts)
-            decoded = [own.decode(x) for x in ids]
-            ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([int(own.is_byte[x].sum()) for x in ids], pa.int64()),
-                    pa.array(decoded, pa.string()),
-                    pa.array([a == b for a, b in zip(texts, decoded, strict=True)]),
-                    pa.array(same, pa.bool_()),
-                ],
-                names=[*kept, *new],
-            )
-
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    new = T.StructType().add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("n_byte_pieces", "long")
+    new = new.add("decoded", "string").add("round_trip", "boolean").add("parity", "boolean")
+
+    def run(texts: pa.Array, _) -> list[pa.Array]:
+        own, texts = codec(path, threads), [t or "" for t in texts.to_pylist()]
+        ids, same = own.encode(texts)
+        decoded = [own.decode(x) for x in ids]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return [
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids))),
+            pa.array(sizes),
+            pa.array([int(own.is_byte[x].sum()) for x in ids], pa.int64()),
+            pa.array(decoded, pa.string()),
+            pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()),
+            pa.array(same, pa.bool_()),
+        ]
+
+    return with_columns(docs, text_col, new, run, keep)

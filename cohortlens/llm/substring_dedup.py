@@ -19,7 +19,8 @@ removes sentences.  Repeats within one document need no shuffle.
 
 Edge cases: null text is empty and stays null in ``clean_text``; texts with
 fewer than MIN_SENTENCES sentences or MIN_WORDS words have no runs; rows with
-equal ids count as one document and are each cleaned; extra columns pass
+equal ids count as one document and are each cleaned; rows without an id only
+lose repeats within themselves; extra columns pass
 through, the result columns replace columns of the same name; an empty table
 gives an empty result.  Runs are compared by a 64-bit hash.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import SLOTS, checkpointed, keyed, mix, slot_bitmap, text_bytes, text_steps, word_mask, words
+from cohortlens.llm.common import SLOTS, checkpointed, keyed, mix, slot_bitmap, text_bytes, text_steps, with_columns, word_mask, words
 
 MIN_SENTENCES, MIN_WORDS, SENTENCE_WORDS = 2, 20, 25
 _WORD = word_mask(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
@@ -86,13 +87,13 @@ def runs(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), first, past
 
 
-def _texts(batch, column: int):
+def _sentences(texts: pa.Array):
     """Per text its word hashes, byte starts of the words, and sentence bounds."""
-    data, offsets = text_bytes(batch.column(column))
+    data, offsets = text_bytes(texts)
     h, starts, ends, at = words(data, offsets, _WORD)
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=breaks[1:])
-    for i in range(batch.num_rows):
+    for i in range(len(texts)):
         part = slice(at[i], at[i + 1])
         yield h[part], starts[part] - offsets[i], sentence_starts(data, starts[part], ends[part], breaks)
 
@@ -104,7 +105,7 @@ def _first_places(h: np.ndarray) -> np.ndarray:
 def _hashes(batches):
     for batch in text_steps(batches):
         docs, found = [], []
-        for i, (h, _, bounds) in enumerate(_texts(batch, 1)):
+        for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
             own = np.unique(runs(h, bounds)[0])
             docs.append(np.full(len(own), i))
             found.append(own)
@@ -119,7 +120,7 @@ def _candidates(bitmap):
         bits = bitmap.value
         for batch in text_steps(batches):
             docs, found, first, past = [], [], [], []
-            for i, (h, _, bounds) in enumerate(_texts(batch, 1)):
+            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
                 own, a, b = runs(h, bounds)
                 slot = (own & np.uint64(SLOTS - 1)).astype(np.int64)
                 at = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1)
@@ -155,47 +156,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = texts.mapInArrow(_candidates(bitmap), f"doc {kind}, h long, first int, past int")
     extra = places.join(repeated, "h").filter("doc <> keeper").groupBy("doc").agg(F.collect_set(F.struct("first", "past")).alias("_spans"))
 
-    new = ["n_sentences", "n_removed", "removed", "clean_text"]
-    kept = [c for c in docs.columns if c not in new]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("n_sentences", "long").add("n_removed", "long")
-    schema = schema.add("removed", T.ArrayType(T.IntegerType())).add("clean_text", "string")
-
-    def clean(batches):
-        for batch in text_steps(batches, text_col):
-            counts, removed, cleaned = [], [], []
-            spans = batch.column(len(kept)).to_pylist()
-            for i, (h, starts, bounds) in enumerate(_texts(batch, kept.index(text_col))):
-                n = len(bounds) - 1
-                own, first, past = runs(h, bounds)
-                gone = np.zeros(n + 1, np.int64)
-                again = np.ones(len(own), bool)
-                again[_first_places(own)] = False
-                pairs = [*zip(first[again], past[again], strict=True), *((s["first"], s["past"]) for s in spans[i] or ())]
-                if pairs:
-                    a, b = np.array(pairs).T
-                    np.add.at(gone, a, 1)
-                    np.add.at(gone, b, -1)
-                gone = np.flatnonzero(np.cumsum(gone)[:n] > 0)
-                counts.append(n)
-                removed.append(gone.tolist())
-                text = batch.column(kept.index(text_col))[i].as_py()
-                if len(gone):
-                    raw = text.encode()
-                    edges = np.append(starts[bounds[:-1]], len(raw))
-                    edges[0] = 0
-                    text = b"".join(raw[edges[j] : edges[j + 1]] for j in np.setdiff1d(np.arange(n), gone)).decode()
-                cleaned.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(kept)],
-                    pa.array(counts, pa.int64()),
-                    pa.array([len(x) for x in removed], pa.int64()),
-                    pa.array(removed, pa.list_(pa.int32())),
-                    pa.array(cleaned, pa.string()),
-                ],
-                names=[*kept, *new],
-            )
-
-    extra = extra.withColumnRenamed("doc", "_doc")
-    joined = docs.join(extra, F.col(f"`{id_col}`") == F.col("_doc"), "left")
-    return joined.select(*(docs[f"`{c}`"] for c in kept), "_spans").mapInArrow(clean, schema)
+    new = T.StructType().add("n_sentences", "long").add("n_removed", "long").add("removed", T.ArrayType(T.IntegerType())).add("clean_text", "string")
+
+    def clean(texts: pa.Array, spans: pa.Array) -> list[pa.Array]:
+        counts, removed, cleaned, spans = [], [], [], spans.to_pylist()
+        for i, (h, starts, bounds) in enumerate(_sentences(texts)):
+            n = len(bounds) - 1
+            own, first, past = runs(h, bounds)
+            gone = np.zeros(n + 1, np.int64)
+            again = np.ones(len(own), bool)
+            again[_first_places(own)] = False
+            pairs = [*zip(first[again], past[again], strict=True), *((s["first"], s["past"]) for s in spans[i] or ())]
+            if pairs:
+                a, b = np.array(pairs).T
+                np.add.at(gone, a, 1)
+                np.add.at(gone, b, -1)
+            gone = np.flatnonzero(np.cumsum(gone)[:n] > 0)
+            text = texts[i].as_py()
+            if len(gone):
+                raw = text.encode()
+                edges = np.append(starts[bounds[:-1]], len(raw))
+                edges[0] = 0
+                text = b"".join(raw[edges[j] : edges[j + 1]] for j in np.setdiff1d(np.arange(n), gone)).decode()
+            counts.append(n)
+            removed.append(gone.tolist())
+            cleaned.append(text)
+        sizes = [len(x) for x in removed]
+        return [pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(cleaned, pa.string())]
+
+    joined = docs.alias("d").join(extra.alias("e"), F.col(f"d.`{id_col}`") == F.col("e.doc"), "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    packed = joined.select(*(F.col(f"d.`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)), "e._spans")
+    out = with_columns(packed, names[docs.columns.index(text_col)], new, clean, names, F.col("_spans"))
+    kept = [(x, c) for x, c in zip(names, docs.columns, strict=True) if c not in new.names]
+    return out.select(*(F.col(x).alias(c) for x, c in kept), *new.names)
