@@ -104,11 +104,24 @@ def valid_number(value: Column) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """Fixed-point text like Python's ``f"{v:.{digits}f}"`` (no separators).
 
-    ``format_number`` rounds the exact binary value half-to-even, the same
-    rule as Python and C ``printf``; the thousands separators it adds are
-    removed again.
+    ``format_number`` with a pattern rounds the exact binary value half-to-even,
+    the same rule as Python and C ``printf``.
     """
-    return F.regexp_replace(F.format_number(value.cast("double"), digits), ",", "")
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+
+
+def float_text(value: Column) -> Column:
+    """A double as Python writes it: plain digits from 0.0001 up to 1e16, else ``1.5e-05``."""
+    text = value.cast("double").cast("string")
+    size = F.abs(value.cast("double"))
+    plain = F.regexp_replace(F.rtrim(text.try_cast("decimal(38,18)").cast("string"), F.lit("0")), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
+    power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.when(F.abs(power) >= 100, F.concat(F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(exponent)
+    named = F.when(F.isnan(value.cast("double")), "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    with_power = F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.concat(mantissa, F.lit("e"), exponent))
+    return F.coalesce(named, F.when(text.contains("E"), with_power).otherwise(text))
 
 
 def grouped(value: Column, digits: int = 0) -> Column:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables (sites, courses, assessments) hold thousands of rows in
-# practice; anything above this row bound is joined by shuffle instead.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Dimension tables (sites, courses, assessments) hold thousands of rows in
+#: practice.  A side the optimizer sizes above this many bytes is not hinted.
+MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only if it provably has at most ``max_rows`` rows.
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size of the frame: file bytes of a scan, scaled by what the plan keeps.  Runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The check is a plain ``count()``: every task counts its own rows and sends
-    one number, so it is a distributed scan of the (pruned) dimension and no
-    task ever receives its rows.  (A ``limit(n).count()`` would move up to
-    ``n`` rows of every partition into a single task.)  Beyond the bound the
-    frame is returned unhinted and the join falls back to a shuffle join,
-    which AQE may still turn into a broadcast once the real size is known.
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint ``df`` for broadcast only if it is planned with at most ``max_bytes``.
+
+    Beyond the bound the frame is returned unhinted: the join is a shuffle
+    join, which AQE turns into a broadcast if the real size allows it.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if planned_bytes(df) <= max_bytes else df

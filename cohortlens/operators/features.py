@@ -11,8 +11,9 @@ Scale notes
   hot enrollment collapses to one row per map task and day), then to
   enrollment-week and enrollment.  Distinct days and weeks come from the
   grouping itself, so no ``Expand`` of the raw rows is needed.
-* Site, course and assessment dimensions are small; sites get a size-checked
-  broadcast, the others are left to AQE's runtime broadcast conversion.
+* Site, course and assessment dimensions and the per-module totals get a
+  size-checked broadcast, so no submission or activity row is shuffled on one
+  of their few hundred keys before it is aggregated.
 * All feature groups end hash-partitioned on the enrollment keys, so the
   final left joins line up without re-shuffling the aggregates.
 """
@@ -94,7 +95,7 @@ def activity_from_daily(daily: DataFrame, courses: DataFrame) -> DataFrame:
         F.sum("quiz").alias("quiz_clicks"),
         F.sum("resource").alias("resource_clicks"),
     )
-    length = courses.select("code_module", "code_presentation", "module_presentation_length")
+    length = bounded_broadcast(courses.select("code_module", "code_presentation", "module_presentation_length"))
     with_length = per_enrollment.join(length, ["code_module", "code_presentation"], "left")
     days = F.col("active_days")
     course_len = F.col("module_presentation_length")
@@ -136,8 +137,8 @@ def assessment_features(student_assessment: DataFrame, assessments: DataFrame) -
         "id_assessment", "id_student", "date_submitted", "score"
     )
     joined = submissions.join(
-        assessments.select(
-            "id_assessment", "code_module", "code_presentation", "weight", "date", "assessment_type"
+        bounded_broadcast(
+            assessments.select("id_assessment", "code_module", "code_presentation", "weight", "date", "assessment_type")
         ),
         "id_assessment",
         "left",
@@ -156,7 +157,7 @@ def assessment_features(student_assessment: DataFrame, assessments: DataFrame) -
         F.avg(F.when(F.col("assessment_type") == "TMA", score)).alias("tma_score"),
         F.avg(F.when(F.col("assessment_type") == "CMA", score)).alias("cma_score"),
     )
-    totals = assessments_per_module(assessments)
+    totals = bounded_broadcast(assessments_per_module(assessments))
     total = F.col("total_assessments")
     return scores.join(totals, ["code_module", "code_presentation"], "left").select(
         *KEYS,
@@ -175,7 +176,7 @@ def score_by_type(student_assessment: DataFrame, assessments: DataFrame) -> Data
     """Average score per enrollment and assessment type (long form)."""
     submissions = student_assessment.filter(F.col("is_banked") == 0).select("id_assessment", "id_student", "score")
     joined = submissions.join(
-        assessments.select("id_assessment", "code_module", "code_presentation", "assessment_type"),
+        bounded_broadcast(assessments.select("id_assessment", "code_module", "code_presentation", "assessment_type")),
         "id_assessment",
         "inner",
     )
@@ -188,10 +189,8 @@ def registration_features(student_registration: DataFrame) -> DataFrame:
     """Withdrawal flag (any unregistration date) and days registered early."""
     return student_registration.select(
         *KEYS,
-        F.when(F.col("date_unregistration").isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("withdrew_early"),
-        F.when(F.col("date_registration").isNotNull(), (-F.col("date_registration")).cast("int"))
-        .otherwise(F.lit(0))
-        .alias("days_before_start"),
+        F.col("date_unregistration").isNotNull().cast("int").alias("withdrew_early"),
+        F.coalesce(-F.col("date_registration"), F.lit(0)).cast("int").alias("days_before_start"),
     )
 
 

@@ -156,24 +156,27 @@ def student_lookup(
 
 
 def representative_row(scored: DataFrame) -> DataFrame:
-    """One row per student: worst tier, then lowest score, module, presentation.
+    """One row per student: worst tier, then lowest score, module, presentation, row key.
 
-    ``min`` over ``struct(-tier, score, module, presentation, row)`` is a
-    plain aggregate, so partial aggregation bounds the work per task even
-    for a student with very many enrollments.  ``risk`` is the worst tier.
+    ``min`` over ``struct(-tier, score, module, presentation, row key)`` is a
+    plain aggregate of the sort keys alone, so partial aggregation bounds the
+    work per task even for a student with very many enrollments; the row's
+    other columns are joined back on student and row key.  ``risk`` is the
+    worst tier.
     """
     rows = scored.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-    payload = [c for c in rows.columns if c not in ("risk",)]
-    tier = clamp_tier(F.col("risk"))
     ranked = F.struct(
-        (-tier).alias("neg_risk"),
+        (-clamp_tier(F.col("risk"))).alias("neg_risk"),
         F.coalesce(F.col("score"), F.lit(100.0)).alias("sort_score"),
         F.coalesce(F.col("code_module"), F.lit("")).alias("sort_module"),
         F.coalesce(F.col("code_presentation"), F.lit("")).alias("sort_presentation"),
-        *[F.col(c) for c in payload],
+        F.col("row_key"),
     )
-    best = rows.groupBy(F.col("id").alias("_sid")).agg(F.min(ranked).alias("pick"))
-    return best.select(*[F.col(f"pick.{c}").alias(c) for c in payload], (-F.col("pick.neg_risk")).alias("risk"))
+    best = rows.groupBy("id").agg(F.min(ranked).alias("pick"))
+    best = best.select(F.col("id").alias("_id"), F.col("pick.row_key").alias("_key"), (-F.col("pick.neg_risk")).alias("_risk"))
+    payload = [c for c in rows.columns if c != "risk"]
+    picked = rows.join(best, (F.col("id") == F.col("_id")) & (F.col("row_key") == F.col("_key")))
+    return picked.select(*payload, F.col("_risk").alias("risk")).dropDuplicates(["id"])
 
 
 def attention_list(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -191,11 +194,14 @@ def attention_list(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top_at_risk_students(scored: DataFrame, k: int = 50) -> DataFrame:
-    """Top ``k`` students (representative rows) with tier >= 2, worst first."""
-    reps = representative_row(scored)
+    """Top ``k`` students (representative rows) with tier >= 2, worst first.
+
+    A student whose worst tier is at least 2 has the representative row among
+    the rows of such tiers, so the other rows are dropped before the aggregate.
+    """
+    reps = representative_row(scored.filter(clamp_tier(F.col("risk")) >= 2))
     return (
-        reps.filter(F.col("risk") >= 2)
-        .orderBy(F.col("risk").desc(), F.coalesce(F.col("score"), F.lit(100.0)).asc(), F.col("id").asc())
+        reps.orderBy(F.col("risk").desc(), F.coalesce(F.col("score"), F.lit(100.0)).asc(), F.col("id").asc())
         .limit(k)
     )
 

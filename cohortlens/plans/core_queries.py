@@ -19,7 +19,7 @@ from cohortlens.functions.positions import with_positions
 from cohortlens.operators import cohort, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path, shared_checkpoint_dir
 from cohortlens.sources.testdata import load_source_tables
 
 KEYS_SQL = "id_student, code_module, code_presentation"
@@ -27,19 +27,35 @@ VALID_ID = "id IS NOT NULL AND id <> ''"
 CLAMP = "greatest(0, least(3, coalesce(risk, 0)))"
 
 
-# Lazy plans of the seven source tables, built once per application and
-# input folder (building them is hundreds of driver-JVM calls; every query
-# still scans the files when it runs).
+# The seven source tables, built once per application and input folder.  The
+# facts stay lazy plans that scan the files when a query runs; the dimensions
+# (one row per course, site or assessment, derived here from the fact tables)
+# are written to the scratch folder, so every plan knows their real size.
+_DIMENSIONS = ("vle", "courses", "assessments")
 _TABLES: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _TABLES:
-        _TABLES[key] = load_source_tables(spark, sf_dir)
+        found = load_source_tables(spark, sf_dir)
+        for name in _DIMENSIONS:
+            path = scratch_path(spark, name)
+            found[name].write.parquet(path)
+            found[name] = spark.read.schema(found[name].schema).parquet(path)
+        _TABLES[key] = found
     return _TABLES[key]
 
 
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Drop what is kept for the folder, so the next query reads its files again."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    _TABLES.pop(key, None)
+    frame = _SCORED.pop(key, None)
+    if frame is not None:
+        frame.unpersist()
+
+
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_table(tables(spark, sf_dir))
 

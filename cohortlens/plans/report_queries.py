@@ -3,15 +3,14 @@ store, sources/sinks and key quality."""
 
 from __future__ import annotations
 
-import os
-import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import quality, reports
+from cohortlens.operators import quality, ranking, reports
 from cohortlens.plans.core_queries import KEYS_SQL, VALID_ID, CLAMP, scored_frame, tables
 from cohortlens.plans.registry import register
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path
 from cohortlens.sources import io
 from cohortlens.sources.testdata import read_table
 
@@ -24,12 +23,12 @@ def pct0(expr: str) -> str:
     return f"printf('%.0f', ({expr}) * 100) || '%'"
 
 
-def grp(expr: str) -> str:
-    return f"format('{{:,}}', CAST({expr} AS BIGINT))"
+#: A double as text, plain digits between 0.0001 and 1e16 (the test values are all in between).
+FLOAT_TEXT = "CAST(CAST({c} AS DOUBLE) AS VARCHAR)"
 
 
-def _scratch(spark, name: str) -> str:
-    return os.path.join(shared_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+def grp(expr: str) -> str:
+    return f"format('{{:,}}', CAST({expr} AS BIGINT))"
 
 
 # ── recommendations (G1) ───────────────────────────────────────────────────
@@ -216,30 +215,26 @@ def q_cohort_report(spark, sf_dir):
     return reports.cohort_overview(scored_frame(spark, sf_dir))
 
 
-def _export_sql() -> str:
-    out = []
-    for f, _ in reports.EXPORT_COLUMNS:
-        if f == "gender":
-            e = "CASE WHEN coalesce(gender, '') = 'M' THEN 'Male' WHEN coalesce(gender, '') = 'F' THEN 'Female' " \
-                "ELSE coalesce(gender, '') END"
-        elif f == "disability":
-            e = "CASE WHEN disability = 'Y' THEN 'Yes' WHEN disability = 'N' THEN 'No' ELSE '' END"
-        elif f == "withdrew_early":
-            e = "CASE WHEN withdrew_early = 1 THEN 'Yes' ELSE 'No' END"
-        elif f == "submission_rate":
-            e = f"CASE WHEN submission_rate IS NULL THEN '' ELSE {fx('submission_rate * 100', 0)} || '%' END"
-        elif f == "engagement_ratio":
-            e = f"CASE WHEN engagement_ratio IS NULL THEN '' ELSE {fx('engagement_ratio * 100', 1)} || '%' END"
-        elif f in ("score", "weighted_score", "exam_score", "tma_score", "cma_score"):
-            e = f"coalesce({fx(f, 2)}, '')"
-        elif f == "avg_days_early":
-            e = f"coalesce({fx(f, 1)}, '')"
-        elif f == "days_before_start":
-            e = f"coalesce({fx(f, 0)}, '')"
-        else:
-            e = f"coalesce(CAST({f} AS VARCHAR), '')"
-        out.append(f"{e} AS {f}")
-    return ",\n       ".join(out)
+#: SQL of each kind of export column.
+_EXPORT_SQL = {
+    "text": "CAST({c} AS VARCHAR)",
+    "float": FLOAT_TEXT,
+    "gender": "CASE WHEN gender = 'M' THEN 'Male' WHEN gender = 'F' THEN 'Female' ELSE gender END",
+    "disability": "CASE WHEN disability = 'Y' THEN 'Yes' WHEN disability = 'N' THEN 'No' END",
+    "yes_no": "CASE WHEN {c} = 1 THEN 'Yes' ELSE 'No' END",
+    "fixed0": "printf('%.0f', {c})",
+    "fixed1": "printf('%.1f', {c})",
+    "fixed2": "printf('%.2f', {c})",
+    "percent0": "printf('%.0f', {c} * 100) || '%'",
+    "percent1": "printf('%.1f', {c} * 100) || '%'",
+}
+
+
+def _export_sql(names: dict[str, str] | None = None) -> str:
+    """The export columns, under their fields or the names given for them."""
+    return ",\n       ".join(
+        f"coalesce({_EXPORT_SQL[kind].format(c=f)}, '') AS \"{(names or {}).get(f, f)}\"" for f, _, kind in reports.EXPORT_FORMATS
+    )
 
 
 @register(
@@ -248,8 +243,6 @@ def _export_sql() -> str:
     survey_ids="A9",
 )
 def q_student_export(spark, sf_dir):
-    from cohortlens.operators import ranking
-
     rows = ranking.student_sort(ranking.student_filter(scored_frame(spark, sf_dir), tiers=[2, 3]))
     return reports.export_frame(rows)
 
@@ -259,21 +252,33 @@ def q_student_export(spark, sf_dir):
 _INFO_ALL = io.INFO_TEXT + io.INFO_FLOAT + io.INFO_INT
 
 
+@register(
+    "export_file",
+    oracle=f"SELECT {_export_sql(dict(reports.EXPORT_COLUMNS))} FROM scored WHERE risk IN (2, 3)",
+    survey_ids="A9",
+)
+def q_export_file(spark, sf_dir):
+    """The export written as CSV under its labels and read back as text."""
+    path = scratch_path(spark, "export")
+    rows = ranking.student_filter(scored_frame(spark, sf_dir), tiers=[2, 3])
+    reports.write_export_csv(reports.export_frame(rows), path)
+    back = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\\N").csv(path)
+    return back.fillna("")
+
+
 @register(
     "prediction_rows",
-    oracle="SELECT row_key, " + ", ".join(f"CAST({c} AS VARCHAR) AS info_{c}" for c in io.INFO_TEXT + io.INFO_INT)
-    + ", " + ", ".join(f"CAST({c} AS DOUBLE) AS info_{c}" for c in io.INFO_FLOAT)
+    oracle="SELECT row_key, "
+    + ", ".join(f"CAST({c} AS VARCHAR) AS info_{c}" for c in io.INFO_TEXT + io.INFO_INT)
+    + ", "
+    + ", ".join(f"{FLOAT_TEXT.format(c=f'round({c}, 6)')} AS info_{c}" for c in io.INFO_FLOAT)
     + ", CAST(risk AS VARCHAR) AS prediction_risk_tier FROM scored",
-    doubles=[f"info_{c}" for c in io.INFO_FLOAT],
     survey_ids="A5",
 )
 def q_prediction_rows(spark, sf_dir):
-    # Float columns are compared as numbers: their text form differs between
-    # engines only in notation, so the check parses them back.
-    rows = io.prediction_rows(scored_frame(spark, sf_dir))
-    return rows.select(
-        *[F.col(c).cast("double").alias(c) if c in {f"info_{x}" for x in io.INFO_FLOAT} else F.col(c) for c in rows.columns]
-    )
+    """The stored text, compared as text; averages are rounded first, as the engines add in different orders."""
+    rounded = {c: F.round(c, 6) for c in io.INFO_FLOAT}
+    return io.prediction_rows(scored_frame(spark, sf_dir).withColumns(rounded))
 
 
 @register(
@@ -285,7 +290,7 @@ def q_prediction_rows(spark, sf_dir):
     survey_ids="A7",
 )
 def q_predictions_readback(spark, sf_dir):
-    path = _scratch(spark, "prediction-store")
+    path = scratch_path(spark, "prediction-store")
     io.publish_predictions(scored_frame(spark, sf_dir), path)
     return io.predictions_readback(spark.read.parquet(path))
 
@@ -329,18 +334,52 @@ def q_source_row_counts(spark, sf_dir):
 def q_parquet_roundtrip(spark, sf_dir):
     from cohortlens.plans.core_queries import feature_frame
 
-    path = _scratch(spark, "features")
+    path = scratch_path(spark, "features")
     io.write_table(feature_frame(spark, sf_dir), path, partition_by=["code_module"])
     return io.read_table(spark, path)
 
 
-@register("csv_scan", survey_ids="A1")
+#: Raw columns whose values the scan query returns, one sum per table besides the row count.
+_CSV_SUMS = {
+    "student_info": "studied_credits",
+    "student_vle": "sum_click",
+    "vle": "id_site",
+    "student_assessment": "score",
+    "assessments": "weight",
+    "student_registration": "date_registration",
+    "courses": "module_presentation_length",
+}
+
+
+@register(
+    "csv_scan",
+    oracle=" UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*) AS rows, count({c}) AS values, CAST(sum({c}) AS DOUBLE) AS total "
+        f"FROM raw_{t.replace('student_registration', 'registration')}"
+        for t, c in _CSV_SUMS.items()
+    ),
+    doubles=["total"],
+    survey_ids="A1",
+)
 def q_csv_scan(spark, sf_dir):
-    """Raw tables written as header CSV and read back with declared schemas."""
-    path = _scratch(spark, "raw-csv")
+    """Raw tables written as header CSV and read back with declared schemas: rows, values and total of a column each."""
+    path = scratch_path(spark, "raw-csv")
     io.write_raw_csv(tables(spark, sf_dir), path)
     raw = io.read_raw_csv(spark, path)
-    return io.source_row_counts(raw)
+    parts = [
+        raw[t].agg(F.count(F.lit(1)).alias("rows"), F.count(c).alias("values"), F.sum(c).cast("double").alias("total"))
+        .select(F.lit(t).alias("table"), "rows", "values", "total")
+        for t, c in _CSV_SUMS.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("csv_rows", oracle="SELECT * REPLACE (nullif(imd_band, '') AS imd_band) FROM raw_student_info", survey_ids="A1")
+def q_csv_rows(spark, sf_dir):
+    """Every value of the enrollment table after a CSV round trip; CSV does not tell empty text from a missing value."""
+    path = scratch_path(spark, "raw-info")
+    io.write_raw_csv({"student_info": tables(spark, sf_dir)["student_info"]}, path)
+    return io.read_raw_csv(spark, path, {"student_info": io.RAW_FILE_NAMES["student_info"]})["student_info"]
 
 
 _INVENTORY = ["orders", "lineitem", "customer", "nation", "part"]

@@ -8,9 +8,12 @@ checkpoint folder) from whatever session the caller hands in.
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,16 +46,16 @@ INPUT_BYTES_PER_SHUFFLE_PARTITION = 1024 * 1024 * 1024
 MAX_SHUFFLE_PARTITIONS = 100_000
 
 
-def scale_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+def scale_conf(input_bytes: int, total_cores: int, max_shuffle_partitions: int = MAX_SHUFFLE_PARTITIONS) -> dict[str, str]:
     """Settings sized to the input and the cluster (pass to ``get_session``).
 
     Scans split at ``SPLIT_BYTES``; the initial shuffle partition count gives
-    every core at least two waves and about one partition per GiB of input
-    (capped, so map-output bookkeeping stays bounded); AQE coalesces toward
+    every core at least two waves and about one partition per GiB of input, up to
+    ``max_shuffle_partitions`` (map-output bookkeeping grows with the count); AQE coalesces toward
     ``SHUFFLE_PARTITION_BYTES`` and splits join partitions five times larger.
     """
     parts = max(2 * total_cores, math.ceil(input_bytes / INPUT_BYTES_PER_SHUFFLE_PARTITION))
-    parts = min(parts, MAX_SHUFFLE_PARTITIONS)
+    parts = min(parts, max_shuffle_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES),
         "spark.sql.shuffle.partitions": str(parts),
@@ -93,20 +96,34 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names storage every executor can reach, so
-    lineage cuts and streaming state survive the loss of any executor.  Only
-    when it is unset (local tests) do we pick a scratch folder ourselves and
-    record it in the session so later calls agree.
+    lineage cuts and streaming state survive the loss of any executor.  In
+    local mode an unset folder is a temporary one of this machine, recorded in
+    the session so later calls agree, and removed when the driver ends.
+    Elsewhere an unset folder is an error: executors would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", configured)
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    return os.path.join(shared_checkpoint_dir(spark), name)
+    """A new path for an intermediate table, in this application's folder under the shared checkpoint folder.
+
+    The folder goes when the driver ends.
+    """
+    context = spark.sparkContext
+    folder = f"{shared_checkpoint_dir(spark)}/cohortlens-{context.applicationId}"
+    if getattr(context, "_cohortlens_scratch", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        context._cohortlens_scratch = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"

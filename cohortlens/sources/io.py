@@ -9,15 +9,37 @@ own partition files); nothing is collected to the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.functions.expressions import float_text
 from cohortlens.operators.scoring import row_key
 from cohortlens.sources.schemas import ENROLLMENT_KEYS, RAW_FILE_NAMES, SCHEMAS
 
 DEFAULT_RUN_ID = "00000000_000000"
 
+# Evaluation rows: the two JSON documents and the number columns.
+IMPORTANCE_TYPE = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("score", T.DoubleType())]))
+COMBO_TYPE = T.StructType(
+    [
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("cv_auc", T.DoubleType()),
+        T.StructField("is_best", T.BooleanType()),
+    ]
+)
+TUNING_TYPE = T.StructType(
+    [
+        T.StructField("combos", T.ArrayType(COMBO_TYPE)),
+        T.StructField("best_params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("best_auc", T.DoubleType()),
+        T.StructField("num_folds", T.IntegerType()),
+    ]
+)
+MODEL_NUMBERS = ["auc", "accuracy", "precision", "recall", "f1", "recall_dropout", "cv_auc", "composite_score", "training_time"]
+
 
 # ── input parallelism ──────────────────────────────────────────────────────
 
@@ -33,7 +55,7 @@ def spread_input(df: DataFrame, *keys: str, min_partitions: int | None = None) -
     returned untouched: no extra shuffle.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
@@ -104,7 +126,9 @@ def prediction_rows(scored: DataFrame) -> DataFrame:
     value as text (as the key-value store keeps them) and the tier."""
     return scored.select(
         row_key(*ENROLLMENT_KEYS).alias("row_key"),
-        *[F.col(c).cast("string").alias(f"info_{c}") for c in INFO_TEXT + INFO_FLOAT + INFO_INT],
+        *[F.col(c).cast("string").alias(f"info_{c}") for c in INFO_TEXT],
+        *[float_text(F.col(c)).alias(f"info_{c}") for c in INFO_FLOAT],
+        *[F.col(c).cast("string").alias(f"info_{c}") for c in INFO_INT],
         F.col("risk").cast("string").alias("prediction_risk_tier"),
     )
 
@@ -119,13 +143,23 @@ def safe_double(text: Column, default: float = 0.0) -> Column:
 
 
 def safe_int(text: Column, default: int = 0) -> Column:
-    """Parse as a number, then truncate toward zero; default if unparsable."""
-    return F.coalesce(text.try_cast("double").cast("long").cast("int"), F.lit(int(default)))
+    """Parse as a number, then truncate toward zero; default if unparsable, NaN or beyond an int."""
+    value = text.try_cast("double")
+    number = F.when(~F.isnan(value), value).try_cast("long").try_cast("int")
+    return F.coalesce(number, F.lit(int(default)))
+
+
+def infinite(text: Column) -> Column:
+    """The text is an infinite number, which has no whole-number form: its row is skipped."""
+    return F.coalesce(F.abs(text.try_cast("double")) == float("inf"), F.lit(False))
 
 
 def predictions_readback(store: DataFrame) -> DataFrame:
     """Typed frame from store rows: unparsable numbers take their defaults,
-    missing text becomes ``""`` and the student id is the key's first part."""
+    missing text becomes ``""`` and the student id is the key's first part.
+    Rows with an infinite whole-number field are skipped."""
+    whole = [F.col(f"info_{c}") for c in INFO_INT] + [F.col("prediction_risk_tier")]
+    store = store.filter(~reduce(lambda a, b: a | b, map(infinite, whole)))
     tier = safe_int(F.col("prediction_risk_tier"))
     labels = F.when(tier == 0, "Safe").when(tier == 1, "Watch").when(tier == 2, "High Risk").when(tier == 3, "Critical")
     return store.select(
@@ -149,7 +183,7 @@ def split_row_key(keys: DataFrame, key_col: str = "row_key") -> DataFrame:
     )
 
 
-def split_model_key(keys: DataFrame, key_col: str = "model_key") -> DataFrame:
+def split_model_key(keys: DataFrame, key_col: str = "model_key", keep_others: bool = False) -> DataFrame:
     """``name|run`` -> display name (underscores to spaces) and run id.
 
     The run id is the text after the last ``|``; a key without ``|`` gets the
@@ -159,7 +193,28 @@ def split_model_key(keys: DataFrame, key_col: str = "model_key") -> DataFrame:
     has_run = F.instr(k, "|") > 0
     name = F.when(has_run, F.regexp_extract(k, r"^(.*)\|[^|]*$", 1)).otherwise(k)
     run = F.when(has_run, F.substring_index(k, "|", -1)).otherwise(F.lit(DEFAULT_RUN_ID))
-    return keys.select(k.alias(key_col), F.regexp_replace(name, "_", " ").alias("name"), run.alias("run_id"))
+    others = [c for c in keys.columns if c != key_col] if keep_others else []
+    return keys.select(k.alias(key_col), F.regexp_replace(name, "_", " ").alias("name"), run.alias("run_id"), *others)
+
+
+def model_rows_readback(stored: DataFrame) -> DataFrame:
+    """Typed evaluation rows from stored text rows (``evaluation_text_rows``).
+
+    The key gives name and run; unparsable numbers are 0, the flag is true for
+    the text ``true`` only, and missing or malformed documents are empty.
+    """
+    keys = split_model_key(stored.select(F.col("row_key").alias("model_key"), *[c for c in stored.columns if c != "row_key"]), keep_others=True)
+    importance = F.from_json("importance_json", IMPORTANCE_TYPE)
+    tuning = F.from_json("tuning_json", TUNING_TYPE)
+    return keys.select(
+        "name",
+        "run_id",
+        *[safe_double(F.col(c)).alias(c) for c in MODEL_NUMBERS],
+        F.coalesce(F.lower("is_best") == "true", F.lit(False)).alias("is_best"),
+        F.coalesce("timestamp", F.lit("")).alias("timestamp"),
+        F.coalesce(importance, F.array().cast(IMPORTANCE_TYPE)).alias("importance"),
+        tuning.alias("tuning"),
+    )
 
 
 # ── data inventory (A12) ───────────────────────────────────────────────────
