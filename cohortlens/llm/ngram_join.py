@@ -3,15 +3,20 @@
 The rows of the matrix are the distinct n-gram sets (equal sets are one row,
 represented by the smallest id of their documents), its columns the n-grams,
 ordered from rare to frequent.  Two rows link when their Jaccard similarity is
-at least ``num / den``.  The product is taken in two column blocks:
+at least ``num / den``.  The product is taken in three steps:
 
 * Head block.  A row's first ``n - ceil(n * num / den) + 1`` columns: linked
-  rows share one of these, so the join on the column finds every pair with a
-  chance.  At a shared column the rows have ``r1`` and ``r2`` columns left; an
-  overlap above ``min(r1, r2)`` is impossible, and a link needs an overlap of
+  rows share one of these, so the join on the column, and on the size band of
+  the larger row (``head_keys``), finds every pair with a chance.  At a shared
+  column the rows have ``r1`` and ``r2`` columns left; an overlap above
+  ``min(r1, r2)`` is impossible, and a link needs an overlap of
   ``num / (num + den) * (n1 + n2)``.  Pairs below that bound are discarded.
+* Hashed blocks.  Two rows whose column counts in a block differ in parity
+  differ in at least one column there, so the number of such blocks, of
+  ``BLOCKS``, bounds what the rows do not share.  Linked rows differ in at most
+  ``(den - num) / (num + den) * (n1 + n2)`` columns; pairs beyond are discarded.
 * Whole rows.  The overlap of the surviving pairs is accumulated over all
-  their columns and held against the same bound.
+  their columns and held against the bound of the first block.
 
 Groups of near copies do not produce all their pairs.  In a first product
 each row meets only the row of its column with the fewest columns before it
@@ -31,7 +36,8 @@ Sets are sets of 64-bit n-gram hashes.
 Edge cases: null and empty texts, and texts without words, have an empty set
 and link with nothing; a text with fewer than ``k`` words has its whole word
 sequence as its only n-gram; repeated ids and repeated rows are documents of
-their own; an empty table gives an empty result; other columns are not read.
+their own; rows without an id have none as their component; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,13 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import checkpointed, grams, keyed, mix, text_bytes, text_steps, word_mask, words
+from cohortlens.llm.common import SLOTS, checkpointed, grams, keyed, mix, slot_bitmap, text_bytes, text_steps, word_mask, words
 from cohortlens.llm.components import components
 
 #: Words are runs of anything but space and 0x09-0x0D.
 WORD = word_mask(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 HEAVY_ROWS = 1 << 17
 CHUNK_GRAMS, CHUNK_TIMES = 1 << 22, 3
+#: Column blocks of the parity bound: 256 bytes a row.
+BLOCKS = 2048
 
 
 def gram_sets(texts: pa.Array, k: int):
@@ -92,24 +100,52 @@ def _profile(k: int):
     return run
 
 
+def band(n: np.ndarray | int, num: int, den: int) -> np.ndarray:
+    """Number of the size band; sizes of linked rows are in the same or in neighbouring bands."""
+    return np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(np.int64)
+
+
+def head_keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a row's head block, and how many of its columns come before each.
+
+    A key is a column with the size band of the pair's larger row.  A row has
+    every head column with its own band, and a column with ``i`` before it also
+    with the bands of the larger rows that a link through it allows:
+    ``m <= (den * n - (num + den) * i) / num``.
+    """
+    n = len(own)
+    if not n:
+        return own.view(np.int64), np.zeros(0, np.int32)
+    before = np.arange(n - -(-n * num // den) + 1)
+    most = np.maximum((den * n - (num + den) * before) // num, n)
+    first = band(n, num, den)
+    parts, places = [], []
+    for step in range(int(band(most[0], num, den) - first) + 1):
+        at = before[band(most, num, den) >= first + step]
+        parts.append(mix(own[at] ^ mix(np.full(len(at), int(first) + step + 1, np.uint64))))
+        places.append(at)
+    return np.concatenate(parts).view(np.int64), np.concatenate(places).astype(np.int32)
+
+
 def _heads(k: int, num: int, den: int, heavy):
-    """Per document the columns of its head block, rarest first, and how many columns are left at each."""
+    """Per document its set size, parities, and the keys of its head block, rarest columns first."""
 
     def run(batches):
         table, levels = heavy.value
         for batch in text_steps(batches):
-            hs, rs, ns = [], [], []
+            keys, places, ns, odd = [], [], [], []
             for own in gram_sets(batch.column(1), k):
-                n = len(own)
-                if n and len(table):
+                odd.append(parities(own.view(np.int64)))
+                ns.append(len(own))
+                if len(own) and len(table):
                     at = np.minimum(np.searchsorted(table, own), len(table) - 1)
                     own = own[np.argsort(np.where(table[at] == own, levels[at], 0), kind="stable")]
-                head = n - -(-n * num // den) + 1 if n else 0
-                hs.append(own[:head].view(np.int64))
-                rs.append(np.arange(n, n - head, -1, dtype=np.int64))
-                ns.append(n)
+                key, place = head_keys(own, num, den)
+                keys.append(key)
+                places.append(place)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), _lists(hs), _lists(rs)], names=["rid", "n", "h", "r"]
+                [batch.column(0).cast(pa.int64()), pa.array(ns, pa.int32()), _lists(odd), _lists(keys), _lists(places)],
+                names=["rid", "n", "odd", "key", "before"],
             )
 
     return run
@@ -120,15 +156,27 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, wanted):
+    """The sets of the documents whose slot is marked."""
+
     def run(batches):
+        bits = wanted.value
         for batch in text_steps(batches):
-            sets = [s.view(np.int64) for s in gram_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(sets)], names=["rid", "grams"])
+            slot = np.mod(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(), SLOTS)
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 > 0))
+            if batch.num_rows:
+                sets = [s.view(np.int64) for s in gram_sets(batch.column(1), k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(sets)], names=["rid", "grams"])
 
     return run
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """One bit for each of BLOCKS column blocks: whether the row has an odd number of columns there."""
+    odd = np.bincount(grams & (BLOCKS - 1), minlength=BLOCKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10
 ) -> DataFrame:
@@ -149,38 +197,46 @@ def ngram_jaccard_join(
     heavy = spark.sparkContext.broadcast((h[order], levels[order]))
 
     rows = sizes.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rid"))
-    heads = texts.mapInArrow(_heads(k, num, den, heavy), "rid long, n long, h array<long>, r array<long>")
-    heads = checkpointed(heads.join(rows.select("rid"), "rid", "left_semi").distinct())
+    heads = texts.mapInArrow(_heads(k, num, den, heavy), "rid long, n int, odd array<long>, key array<long>, before array<int>")
+    heads = checkpointed(heads.join(rows.select("rid"), "rid", "left_semi"))
 
-    entries = heads.select("rid", "n", F.explode(F.arrays_zip("h", "r")).alias("e")).select("rid", "n", "e.h", "e.r")
-    first = F.struct((F.col("n") - F.col("r")).alias("before"), "rid", "n", "r")
-    columns = entries.groupBy("h").agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    shared = checkpointed(entries.join(columns, "h"))
+    entries = heads.select("rid", "n", F.explode(F.arrays_zip("key", "before")).alias("e"))
+    entries = entries.select(F.col("e.key").alias("key"), "rid", "n", (F.col("n") - F.col("e.before")).alias("r"))
+    often = entries.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    shared = checkpointed(entries.join(often, "key", "left_semi"))
 
     def chance(n1: str, r1: str, n2: str, r2: str):
-        return F.expr(f"{num + den} * least({r1}, {r2}) >= {num} * ({n1} + {n2})")
+        return F.expr(f"{num + den} * least({r1}, {r2}) >= {num} * (cast({n1} as long) + {n2})")
 
-    star = shared.filter(F.col("rid") != F.col("lead.rid")).filter(chance("n", "r", "lead.n", "lead.r"))
-    star = checkpointed(star.select(F.col("rid").alias("x"), F.col("lead.rid").alias("y")).distinct())
-    wanted = shared.filter(F.col("rid") != F.col("lead.rid")).select("rid").union(shared.select("lead.rid")).distinct()
-    sets = texts.join(wanted.withColumnRenamed("rid", "_id"), "_id", "left_semi")
-    sets = checkpointed(sets.mapInArrow(_whole_sets(k), "rid long, grams array<long>").dropDuplicates(["rid"]))
+    def side(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("rid").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("rid").alias("x"), F.col("grams").alias("gx")), sets.select(F.col("rid").alias("y"), F.col("grams").alias("gy"))
-        both = pairs.join(a, "x").join(b, "y").withColumn("overlap", F.size(F.array_intersect("gx", "gy")))
-        return both.filter(F.expr(f"{num + den} * overlap >= {num} * (size(gx) + size(gy))")).select("x", "y")
-
+        """The pairs that pass the parity bound and whose whole rows overlap enough."""
+        pairs = pairs.join(side(heads, "x", "n", "odd"), "x").join(side(heads, "y", "n", "odd"), "y")
+        apart = F.aggregate(F.zip_with("odd_x", "odd_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+        pairs = pairs.filter(F.lit(num + den) * apart <= (den - num) * (F.col("n_x").cast("long") + F.col("n_y")))
+        pairs = checkpointed(pairs.select("x", "y"))
+        wanted = spark.sparkContext.broadcast(slot_bitmap(pairs.select("x").union(pairs.select("y")), "x"))
+        sets = checkpointed(texts.mapInArrow(_whole_sets(k, wanted), "rid long, grams array<long>"))
+        both = pairs.join(side(sets, "x", "grams"), "x").join(side(sets, "y", "grams"), "y")
+        both = both.withColumn("overlap", F.size(F.array_intersect("grams_x", "grams_y")))
+        return both.filter(F.expr(f"{num + den} * overlap >= {num} * (size(grams_x) + size(grams_y))")).select("x", "y")
+
+    lead = shared.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("before"), "rid", "n", "r")).alias("lead"))
+    star = shared.join(lead, "key").filter(F.col("rid") != F.col("lead.rid")).filter(chance("n", "r", "lead.n", "lead.r"))
+    star = checkpointed(star.select(F.least("rid", "lead.rid").alias("x"), F.greatest("rid", "lead.rid").alias("y")).distinct())
     near = checkpointed(linked(star))
     label = components(near)
-    open_ = shared.drop("lead").join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = open_.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
-    open_ = checkpointed(open_.join(mixed, "h", "left_semi"))
+    open_ = shared.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    open_ = checkpointed(open_.join(mixed, "key", "left_semi"))
     one, two = open_.alias("one"), open_.alias("two")
-    more = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.rid") < F.col("two.rid")) & (F.col("one.component") != F.col("two.component")))
+    more = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rid") < F.col("two.rid")) & (F.col("one.component") != F.col("two.component")))
     more = more.filter(chance("one.n", "one.r", "two.n", "two.r")).select(F.col("one.rid").alias("x"), F.col("two.rid").alias("y")).distinct()
-    more = more.join(star, ["x", "y"], "left_anti").join(star.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-    label = components(near.union(linked(checkpointed(more))))
+    more = checkpointed(more.join(star, ["x", "y"], "left_anti"))
+    if not more.isEmpty():
+        label = components(near.union(linked(more)))
 
     own = sizes.join(rows, ["n", "s1", "s2"], "left").join(label.withColumnRenamed("node", "rid"), "rid", "left")
     return own.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid", "_id").alias("component_id"))
