@@ -7,7 +7,6 @@ import hashlib
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path
 
 #: Text bytes that one numpy step handles; one longer text is a step alone.
 STEP_BYTES = 4 << 20
@@ -30,23 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """This application's folder under the shared checkpoint folder; it goes when the driver ends."""
-    context = spark.sparkContext
-    folder = f"{shared_checkpoint_dir(spark)}/cohortlens-{context.applicationId}"
-    if getattr(context, "_cohortlens_scratch", None) != folder:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        store = path.getFileSystem(context._jsc.hadoopConfiguration())
-        store.mkdirs(path)
-        store.deleteOnExit(path)
-        context._cohortlens_scratch = folder
-    return folder
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there; lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

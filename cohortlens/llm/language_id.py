@@ -35,7 +35,7 @@ SEGMENT, HIDDEN, BLOCK = 64, 16, 4096
 PER_LANGUAGE, SEGMENTS_PER_DOCUMENT = 1000, 3
 #: A language's sample is cut to this many segments (the smallest hashes stay).
 SEGMENTS_PER_LANGUAGE = 3000
-EPOCHS, BATCH, RATE, SEED = 5, 256, 0.02, 20
+STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 20
 UNKNOWN = "und"
 _LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 _GATES = "zrn"
@@ -162,21 +162,19 @@ def train_network(languages: list[str], segments: list[bytes], labels: np.ndarra
     size = np.array([len(s) for s in segments])
     data = np.frombuffer(b"".join(segments), np.uint8)
     first = np.cumsum(size) - size
-    steps = EPOCHS * -(-len(segments) // BATCH)
-    t = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(segments))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            _, g = net.gradient(*_block(data, first[part], size[part]), labels[part])
-            t += 1
-            norm = max(1.0, float(np.sqrt(sum((v.astype(np.float64) ** 2).sum() for v in g.values()))))
-            rate = RATE * (1 - 0.9 * t / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            for k, v in g.items():
-                v /= norm
-                mean[k] += 0.1 * (v - mean[k])
-                square[k] += 0.01 * (v * v - square[k])
-                net.w[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-6)).astype(np.float32)
+    order = rng.permutation(len(segments))
+    for t in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(segments)):
+            order = np.concatenate([order, rng.permutation(len(segments))])
+        part, order = order[:BATCH], order[BATCH:]
+        _, g = net.gradient(*_block(data, first[part], size[part]), labels[part])
+        norm = max(1.0, float(np.sqrt(sum((v.astype(np.float64) ** 2).sum() for v in g.values()))))
+        rate = RATE * (1 - 0.9 * t / STEPS) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        for k, v in g.items():
+            v /= norm
+            mean[k] += 0.1 * (v - mean[k])
+            square[k] += 0.01 * (v * v - square[k])
+            net.w[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-6)).astype(np.float32)
     return net
 
 

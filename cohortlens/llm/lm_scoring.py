@@ -36,7 +36,7 @@ BORDER, OTHER = 0, 1
 CODES = 1 << CODE_BITS
 VOCABULARY = CODES - 2
 CHUNK = 1 << 22
-ROUNDS, SHARD_ROWS, BATCH, RATE, SEED = 3, 1 << 20, 2048, 0.02, 9
+ROUNDS, SHARD_ROWS, STEPS, BATCH, RATE, SEED = 3, 1 << 20, 100, 2048, 0.02, 9
 BLOCK = 1 << 14
 _SHAPES = {"near": (2 * SIDE, CODES, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CODES), "base": (CODES,)}
 
@@ -140,16 +140,16 @@ def gradient(net: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray, we
 
 
 def train_shard(net: dict[str, np.ndarray], windows: np.ndarray, counts: np.ndarray, step: int) -> dict[str, np.ndarray]:
-    """One pass of Adam over the shard's windows; the windows' order does not matter."""
+    """Adam over the shard's windows, one pass and STEPS steps at least; the windows' order does not matter."""
     order = np.argsort(windows)
     windows, counts = windows[order], counts[order]
     rng = np.random.default_rng(SEED + step)
     order = rng.permutation(len(windows))
     mean = {k: np.zeros_like(v) for k, v in net.items()}
     square = {k: np.zeros_like(v) for k, v in net.items()}
-    steps = -(-len(order) // BATCH)
-    for t, at in enumerate(range(0, len(order), BATCH), 1):
-        part = order[at : at + BATCH]
+    steps = max(STEPS, -(-len(order) // BATCH))
+    for t in range(1, steps + 1):
+        part = np.take(order, np.arange((t - 1) * BATCH, t * BATCH) if len(order) > BATCH else np.arange(len(order)), mode="wrap")
         digits = [(windows[part] >> (CODE_BITS * k)) & (CODES - 1) for k in range(2 * SIDE, -1, -1)]
         weight = counts[part].astype(np.float32)
         _, g = gradient(net, np.array(digits[:SIDE] + digits[SIDE + 1 :]), digits[SIDE], weight / weight.sum())

@@ -185,7 +185,10 @@ class Codec:
             return text
         if model.dummy_prefix:
             text = " " + text
-        return text.replace(" ", MARK) if model.escape_spaces else text
+        if not model.escape_spaces:
+            return text
+        text = text.replace(" ", MARK)
+        return text.rstrip(MARK) if model.collapse_spaces else text
 
     def _ids(self, normal: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.int32).tobytes() for x in self.backend.encode_batch_fast(normal, add_special_tokens=False)]

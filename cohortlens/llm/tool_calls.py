@@ -5,9 +5,9 @@ without an id are never answered).  A call may name earlier calls whose
 results it uses.  Calls are put in a topological order: every call starts at its own
 turn, and a call that does not stand behind all it depends on moves directly
 behind the last of them, round by round, as long as there are such calls.  In a
-transcript whose calls refer backwards only, no round is needed.  A call that
-still moves after as many rounds as its conversation has calls hangs on a
-cycle; it keeps its turn and is marked.
+transcript whose calls refer backwards only, no round is needed.  Of n calls a
+chain has n at most; a call that has moved n times after 2n rounds hangs on a
+cycle, keeps its turn and is marked.
 
 Arguments are parsed as JSON and validated against their tool's schema: the
 required fields are there, no field is unknown, and each field has a listed
@@ -65,8 +65,7 @@ def topological_order(calls: DataFrame) -> DataFrame:
     moving = checkpointed(nodes.join(wrong, "conv_id", "left_semi"))
     sizes = moving.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     rounds = sizes.agg(F.max("n")).first()[0]
-    last = None
-    for _ in range(rounds + 1):
+    for _ in range(2 * rounds):
         key = F.struct("position", "bump")
         least = edges.join(moving.select("conv_id", F.col("call_id").alias("from"), key.alias("key")), ["conv_id", "from"])
         least = least.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max("key").alias("key"))
@@ -80,11 +79,11 @@ def topological_order(calls: DataFrame) -> DataFrame:
             (~behind).alias("moved"),
         )
         moved = checkpointed(moved)
-        last = moved.filter("moved").select("conv_id", "call_id")
         moving = moved.drop("moved")
-        if last.isEmpty():
+        if moved.filter("moved").isEmpty():
             return nodes.join(wrong, "conv_id", "left_anti").union(moving).withColumn("cyclic", F.lit(False))
-    stuck = last.withColumn("cyclic", F.lit(True))
+    # a place behind n others needs n bumps at most, so what has more hangs on a cycle
+    stuck = moving.join(sizes, "conv_id").filter("bump >= n").select("conv_id", "call_id", F.lit(True).alias("cyclic"))
     settled = nodes.join(moving.withColumnsRenamed({"position": "p", "bump": "b"}), ["conv_id", "call_id"], "left")
     settled = settled.join(stuck, ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     own = F.col("cyclic") | F.col("p").isNull()
