@@ -1,9 +1,9 @@
 """Dropout classifiers with Spark ML: weights, split, training, tuning,
-evaluation, selection, importance and the evaluations table.
+evaluation, selection, importance and the model registry.
 
 Everything runs as Spark ML estimators on DataFrames; the driver only sees
-scalar metrics and model parameters (never rows).  Class weights are joined
-back through a broadcast of one row per class instead of being collected.
+scalar metrics and model parameters (never rows).  Class weights come from
+one count per class and split, which is also all that a run's sizes need.
 The train/test split hashes the enrollment key, so it does not depend on
 partitioning (``randomSplit`` does).
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import time
-from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -20,7 +19,7 @@ from datetime import datetime, timezone
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -28,19 +27,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.positions import running_totals
+from cohortlens.operators.evaluation import classification_metrics, composite_column, flag_best
 from cohortlens.operators.features import FEATURE_COLUMNS
+from cohortlens.sources.io import IMPORTANCE_TYPE, TUNING_TYPE
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
 
 SEED = 42
 ROWS_PER_PARTITION = 250_000
 TEST_SHARE = 2  # tenths of the key-hash space held out (20 %)
-# Composite selection weights and the AUC target bands.
-SELECTION_WEIGHTS = {"auc": 0.40, "f1": 0.30, "recall": 0.20, "cv_auc": 0.10}
-AUC_TARGET, AUC_WATCH = 0.85, 0.75
 # Hyper-parameter grids of the tuned models.
 RF_GRID = {"numTrees": [20, 50, 100], "maxDepth": [5, 10]}
 GBT_GRID = {"maxIter": [20, 50], "maxDepth": [3, 5]}
+GRIDS = {"Random Forest": RF_GRID, "Gradient Boosted Trees": GBT_GRID}
 CV_LITE = {"GBTClassifier": {"maxIter": 5}}
 
 
@@ -77,185 +75,89 @@ def assemble(df: DataFrame, feature_cols: Sequence[str] = FEATURE_COLUMNS) -> Da
     return vec.transform(df.withColumn("label", F.col("label").cast("double")))
 
 
-def sized_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def sized_partitions(df: DataFrame, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """Repartition by size before the many iterative passes of a fit.
 
-    Every optimizer iteration is a job over all partitions, so the partition
-    count is chosen from the row count (one scalar action): small inputs get
-    few tasks per iteration, large inputs stay spread over the cluster (capped
-    at four tasks per core).
+    Every optimizer iteration is a job over all partitions, so their number
+    follows the row count alone: a partition never holds more than about
+    ``rows_per_partition`` rows.  Hashing the unique enrollment key spreads
+    rows evenly and is deterministic on retry.
     """
-    n = df.count()
-    cap = max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
-    parts = max(1, min(cap, math.ceil(n / rows_per_partition)))
-    # Hashing the unique enrollment key spreads rows evenly and is
-    # deterministic on retry without the local sort a round-robin
-    # repartition needs for that.
-    keys = [k for k in ENROLLMENT_KEYS if k in df.columns]
-    return df.repartition(parts, *keys) if len(keys) == len(ENROLLMENT_KEYS) else df.repartition(parts)
+    return df.repartition(max(1, math.ceil(rows / rows_per_partition)), *ENROLLMENT_KEYS)
 
 
 # ── estimators (H2-H5) ─────────────────────────────────────────────────────
 
 
-def distributed_booster() -> Estimator | None:
-    """A distributed gradient-boosting estimator when its package is installed.
-
-    The source trained this model on the driver from ``toPandas``; here it is
-    only offered as a Spark estimator (100 rounds, depth 6), else skipped.
-    """
-    try:
-        from xgboost.spark import SparkXGBClassifier  # type: ignore[import-not-found]
-    except ImportError:
-        return None
-    return SparkXGBClassifier(
-        label_col="label", features_col="features", weight_col="weight", n_estimators=100, max_depth=6
-    )
-
-
-def classifiers(weight_svc: bool = False, include_booster: bool = True) -> dict[str, Estimator]:
+def classifiers(weight_svc: bool = False) -> dict[str, Estimator]:
     svc = LinearSVC(labelCol="label", featuresCol="features", maxIter=100)
     if weight_svc:
         svc.setWeightCol("weight")
-    booster = distributed_booster() if include_booster else None
-    extra = {"XGBoost": booster} if booster is not None else {}
+    common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
     return {
-        "Logistic Regression": LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", maxIter=100),
-        "Random Forest": RandomForestClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", numTrees=20, seed=SEED
-        ),
-        "Gradient Boosted Trees": GBTClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", maxIter=20, maxDepth=5, seed=SEED
-        ),
+        "Logistic Regression": LogisticRegression(maxIter=100, **common),
+        "Random Forest": RandomForestClassifier(numTrees=20, seed=SEED, **common),
+        "Gradient Boosted Trees": GBTClassifier(maxIter=20, maxDepth=5, seed=SEED, **common),
         "Linear SVC": svc,
-        **extra,
     }
 
 
-def _grid(estimator: Estimator, grid: Mapping[str, list]) -> list:
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    return builder.build()
-
-
-def tune(
-    estimators: dict[str, Estimator], train: DataFrame, folds: int = 2, parallelism: int = 2
-) -> tuple[dict[str, Estimator], dict[str, dict]]:
-    """Grid search for the forest and boosted trees; failures keep the default."""
-    grids = {"Random Forest": RF_GRID, "Gradient Boosted Trees": GBT_GRID}
-    tuned, results = dict(estimators), {}
-
-    def search(name: str, grid: Mapping[str, list]):
-        est = estimators[name]
-        maps = _grid(est, grid)
-        cv = CrossValidator(
-            estimator=est,
-            estimatorParamMaps=maps,
-            evaluator=BinaryClassificationEvaluator(labelCol="label"),
-            numFolds=folds,
-            seed=SEED,
-            parallelism=parallelism,
-        )
-        try:
-            return name, est, maps, [float(m) for m in cv.fit(train).avgMetrics]
-        except Exception:  # noqa: BLE001 - the source falls back to the default
-            return name, est, maps, None
-
-    # The two searches are independent Spark jobs: run them side by side.
-    todo = [(n, g) for n, g in grids.items() if n in estimators]
-    with ThreadPoolExecutor(max_workers=max(1, len(todo))) as pool:
-        outcomes = list(pool.map(lambda ng: search(*ng), todo))
-    for name, est, maps, metrics in outcomes:
-        if metrics is None:
-            continue
-        best = max(range(len(metrics)), key=lambda i: metrics[i])
-        combos = [
-            {"params": {p.name: v for p, v in m.items()}, "cv_auc": round(a, 4), "is_best": i == best}
-            for i, (m, a) in enumerate(zip(maps, metrics))
-        ]
-        results[name] = {
-            "combos": combos,
-            "best_params": {p.name: v for p, v in maps[best].items()},
-            "best_auc": round(metrics[best], 4),
-            "num_folds": folds,
-        }
-        tuned[name] = est.copy(maps[best])
-    return tuned, results
-
+# ── cross-validated AUC and grid search (H7, H8, H11, H12) ─────────────────
 
-# ── evaluation (H9-H12) ────────────────────────────────────────────────────
 
+def fold_auc(estimator: Estimator, train: DataFrame, grid: list, folds: int, parallelism: int) -> list[float]:
+    """Mean AUC over the folds of each parameter map."""
+    judge = BinaryClassificationEvaluator(labelCol="label")
+    search = CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=SEED, parallelism=parallelism
+    )
+    return [float(auc) for auc in search.fit(train).avgMetrics]
 
-def evaluate(predictions: DataFrame) -> dict[str, float]:
-    """AUC (evaluator default bins), accuracy, weighted P/R/F, class-1 recall."""
-    try:
-        auc = BinaryClassificationEvaluator(labelCol="label").evaluate(predictions)
-    except Exception:  # noqa: BLE001
-        auc = 0.0
 
-    def mc(metric: str, **kw) -> float:
-        return MulticlassClassificationEvaluator(
-            labelCol="label", predictionCol="prediction", metricName=metric, **kw
-        ).evaluate(predictions)
+@dataclass
+class GridSearch:
+    """The maps of one estimator's grid with their cross-validated AUC."""
 
-    return {
-        "auc": auc,
-        "accuracy": mc("accuracy"),
-        "precision": mc("weightedPrecision"),
-        "recall": mc("weightedRecall"),
-        "f1": mc("weightedFMeasure"),
-        "recall_dropout": mc("recallByLabel", metricLabel=1.0),
-    }
+    maps: list
+    aucs: list[float]
+    folds: int
 
+    @property
+    def best(self) -> int:
+        return self.aucs.index(max(self.aucs))
 
-def cv_estimator(estimator: Estimator) -> Estimator:
-    """Lighter copy for cross-validating boosted trees (fewer iterations)."""
-    lite = CV_LITE.get(type(estimator).__name__)
-    if not lite:
-        return estimator
-    return estimator.copy({estimator.getParam(k): v for k, v in lite.items()})
+    def document(self) -> dict:
+        """The tuning document (``TUNING_TYPE``): parameter values as text, AUC to 4 places."""
+        named = [{param.name: str(value) for param, value in m.items()} for m in self.maps]
+        combos = [
+            {"params": params, "cv_auc": round(auc, 4), "is_best": i == self.best}
+            for i, (params, auc) in enumerate(zip(named, self.aucs, strict=True))
+        ]
+        return {"combos": combos, "best_params": named[self.best], "best_auc": round(max(self.aucs), 4), "num_folds": self.folds}
 
 
-def cross_validate(estimator: Estimator, train: DataFrame, folds: int = 3, parallelism: int = 2) -> float:
-    """Mean k-fold AUC with an empty grid; 0.0 if fitting fails."""
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="label"),
-        numFolds=folds,
-        seed=SEED,
-        parallelism=parallelism,
-    )
-    try:
-        return float(cv.fit(train).avgMetrics[0])
-    except Exception:  # noqa: BLE001
-        return 0.0
+def grid_search(estimator: Estimator, grid: Mapping[str, list], train: DataFrame, folds: int = 2, parallelism: int = 2) -> GridSearch:
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder.addGrid(estimator.getParam(name), values)
+    maps = builder.build()
+    return GridSearch(maps, fold_auc(estimator, train, maps, folds, parallelism), folds)
 
 
-def composite_score(metrics: Mapping[str, float], weights: Mapping[str, float] = SELECTION_WEIGHTS) -> float:
-    return sum(float(metrics.get(k, 0.0) or 0.0) * w for k, w in weights.items())
+# ── evaluation (H9-H12) ────────────────────────────────────────────────────
 
 
-def composite_column(weights: Mapping[str, float] = SELECTION_WEIGHTS) -> F.Column:
-    return sum(F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items())
+def evaluate(predictions: DataFrame) -> dict[str, float]:
+    """AUC (the evaluator's default bins) and the metrics of one confusion aggregate."""
+    counted = classification_metrics(predictions).first().asDict()
+    auc = BinaryClassificationEvaluator(labelCol="label").evaluate(predictions)
+    return {"auc": auc, **{m: counted[m] for m in ("accuracy", "precision", "recall", "f1", "recall_dropout")}}
 
 
-def confusion_metrics(predictions: DataFrame) -> DataFrame:
-    """Confusion counts and accuracy from a predictions frame (one aggregate)."""
-    y, yhat = F.col("label").cast("int"), F.col("prediction").cast("int")
-    counts = predictions.agg(
-        *[
-            F.count(F.when((y == a) & (yhat == b), F.lit(1))).alias(n)
-            for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))
-        ]
-    )
-    total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
-    return counts.select(
-        "tp", "fp", "tn", "fn",
-        F.try_divide((F.col("tp") + F.col("tn")).cast("double"), total.cast("double")).alias("accuracy"),
-        F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")).alias("recall_dropout"),
-    )
+def lighter(estimator: Estimator) -> Estimator:
+    """Copy for cross-validation: boosted trees get fewer iterations."""
+    settings = CV_LITE.get(type(estimator).__name__, {})
+    return estimator.copy({estimator.getParam(name): value for name, value in settings.items()})
 
 
 def exact_auc(predictions: DataFrame) -> float:
@@ -263,25 +165,9 @@ def exact_auc(predictions: DataFrame) -> float:
     return BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(predictions)
 
 
-def rank_sum_auc(predictions: DataFrame, label_col: str = "label", raw_col: str = "rawPrediction") -> DataFrame:
-    """Exact area under ROC as a one-row frame ``auc_rank_sum`` (Mann-Whitney).
-
-    Predictions are first counted per distinct score (the class-1 raw score,
-    the evaluator's default ranking), so tied scores share half credit.
-    Each score's positives then count the negatives below it, taken from
-    distributed running totals over the sorted distinct scores: no global
-    window, no group collected in one task.
-    """
-    score = vector_to_array(F.col(raw_col))[1]
-    y = F.col(label_col).cast("int")
-    per_score = predictions.groupBy(score.alias("s")).agg(
-        F.count(F.when(y == 1, F.lit(1))).alias("pos"), F.count(F.when(y == 0, F.lit(1))).alias("neg")
-    )
-    ranked = running_totals(per_score, "s", ["neg"])
-    credit = F.col("pos") * (F.col("neg_before") + F.col("neg") * F.lit(0.5))
-    return ranked.agg(
-        F.try_divide(F.sum(credit), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc_rank_sum")
-    )
+def raw_score(predictions: DataFrame, raw_col: str = "rawPrediction") -> DataFrame:
+    """``label``, ``prediction`` and ``score``: the class-1 raw score by which the evaluator ranks."""
+    return predictions.select("label", "prediction", vector_to_array(F.col(raw_col))[1].alias("score"))
 
 
 # ── importance (H15, H16) ──────────────────────────────────────────────────
@@ -312,35 +198,20 @@ def model_summary(model: Model) -> dict[str, float | None]:
     return {"areaUnderROC": getattr(s, "areaUnderROC", None), "accuracy": getattr(s, "accuracy", None)}
 
 
-# ── one training run (H9, H13, H14, A6) ────────────────────────────────────
+# ── one training run (H9, H13, H14) ────────────────────────────────────────
 
-IMPORTANCE_TYPE = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("score", T.DoubleType())]))
-COMBO_TYPE = T.StructType(
-    [
-        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("cv_auc", T.DoubleType()),
-        T.StructField("is_best", T.BooleanType()),
-    ]
-)
-TUNING_TYPE = T.StructType(
-    [
-        T.StructField("combos", T.ArrayType(COMBO_TYPE)),
-        T.StructField("best_params", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("best_auc", T.DoubleType()),
-        T.StructField("num_folds", T.IntegerType()),
-    ]
-)
-RESULTS_SCHEMA = T.StructType(
+METRICS = ["auc", "accuracy", "precision", "recall", "f1", "recall_dropout", "cv_auc"]
+RUN_SCHEMA = T.StructType(
     [
         T.StructField("name", T.StringType()),
         T.StructField("run_id", T.StringType()),
         T.StructField("position", T.IntegerType()),
-        *[T.StructField(m, T.DoubleType()) for m in
-          ("auc", "accuracy", "precision", "recall", "f1", "recall_dropout", "cv_auc", "composite_score", "training_time")],
-        T.StructField("is_best", T.BooleanType()),
+        *[T.StructField(m, T.DoubleType()) for m in METRICS],
+        T.StructField("training_time", T.DoubleType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("importance", IMPORTANCE_TYPE),
         T.StructField("tuning", TUNING_TYPE),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -350,10 +221,14 @@ class TrainingRun:
     run_id: str
     results: DataFrame
     models: dict[str, Model] = field(default_factory=dict)
-    tuning: dict[str, dict] = field(default_factory=dict)
     best_name: str = ""
     test: DataFrame | None = None
 
+    def release(self) -> None:
+        """Drop the kept test frame."""
+        if self.test is not None:
+            self.test.unpersist()
+
 
 def run_training(
     features: DataFrame,
@@ -365,165 +240,67 @@ def run_training(
     parallelism: int = 4,
     weights_from: str = "all",
 ) -> TrainingRun:
-    """Weights, split, optional tuning, fit + evaluate + CV per model, select.
-
-    The weighted and vectorised train/test frames are persisted for the many
-    passes the fits make, and released at the end.
+    """Weights, split, optional tuning, fit, evaluation and cross-validation of each model, selection.
+
+    The features are materialised once: that pass gives the counts per class
+    and split, from which weights and partition counts follow.  Models are
+    trained one after the other, so their times can be compared; within a
+    cross-validation the fits run side by side.  A tuning or cross-validation
+    that fails leaves the default settings or an AUC of 0 and its message in
+    ``error``; a model that cannot be fitted or evaluated stops the run.
     """
     spark: SparkSession = features.sparkSession
-    run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    if weights_from == "train":
-        # Option: class weights from the training split only (no test leakage).
-        train0, test0 = train_test_split(features)
-        weights = class_counts(train0).select("label", "weight")
-        weighted = features.join(F.broadcast(weights), "label", "left").withColumn(
-            "weight", F.coalesce("weight", F.lit(1.0))
-        )
-    else:
-        weighted = with_class_weights(features)
-    train, test = train_test_split(assemble(weighted))
-    cols = ["label", "weight", "features", *ENROLLMENT_KEYS]
-    train = sized_partitions(train.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
-    test = sized_partitions(test.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
-
-    ests = estimators or classifiers()
-    tuning: dict[str, dict] = {}
-    if do_tune:
-        ests, tuning = tune(ests, train, folds=tune_folds, parallelism=parallelism)
-
-    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-
-    def fit_one(item):
-        name, est = item
-        t0 = time.perf_counter()
-        model = est.fit(train)
-        elapsed = round(time.perf_counter() - t0, 2)
-        metrics = evaluate(model.transform(test))
-        metrics["cv_auc"] = cross_validate(cv_estimator(est), train, folds=cv_folds, parallelism=parallelism)
-        metrics["training_time"] = elapsed
-        return name, model, metrics
-
-    # Independent models: their Spark jobs run concurrently from driver threads
-    # (fixed seeds, so results do not depend on the interleaving).
-    with ThreadPoolExecutor(max_workers=max(1, len(ests))) as pool:
-        fitted = list(pool.map(fit_one, ests.items()))
+    now = datetime.now(timezone.utc)
+    run_id = run_id or now.strftime("%Y%m%d_%H%M%S_%f")
+    columns = ["label", *FEATURE_COLUMNS, *ENROLLMENT_KEYS]
+    held = features.select(*columns, (split_bucket() < TEST_SHARE).alias("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {(r.label, r.is_test): r["count"] for r in held.groupBy("label", "is_test").count().collect()}
+
+    counted = {k: n for k, n in counts.items() if weights_from == "all" or not k[1]}
+    per_class: dict = {}
+    for (label, _), n in counted.items():
+        per_class[label] = per_class.get(label, 0) + n
+    weight = F.lit(1.0)
+    for label, n in per_class.items():
+        weight = F.when(F.col("label").eqNullSafe(F.lit(label)), sum(per_class.values()) / (2.0 * n)).otherwise(weight)
+    vectors = assemble(held.withColumn("weight", weight)).select("label", "weight", "features", *ENROLLMENT_KEYS, "is_test")
+
+    def part(is_test: bool) -> DataFrame:
+        rows = sum(n for (_, test), n in counts.items() if test == is_test)
+        return sized_partitions(vectors.filter(F.col("is_test") == is_test).drop("is_test"), rows).persist(StorageLevel.MEMORY_AND_DISK)
+
+    train, test = part(False), part(True)
+    train.count(), test.count()
+    held.unpersist()
 
     rows, models = [], {}
-    best_name, best_score = "", -1.0
-    for position, (name, model, metrics) in enumerate(fitted):
-        score = composite_score(metrics)
-        metrics["composite_score"] = round(score, 4)
-        models[name] = model
-        if score > best_score:  # strictly greater: the first wins ties
-            best_name, best_score = name, score
-        imp = [(f, round(float(s), 4)) for f, s in ranked_importance(model)]
-        tune_row = tuning.get(name)
-        if tune_row:
-            tune_row = {
-                "combos": [
-                    {"params": {k: str(v) for k, v in c["params"].items()}, "cv_auc": c["cv_auc"], "is_best": c["is_best"]}
-                    for c in tune_row["combos"]
-                ],
-                "best_params": {k: str(v) for k, v in tune_row["best_params"].items()},
-                "best_auc": tune_row["best_auc"],
-                "num_folds": tune_row["num_folds"],
-            }
+    for position, (name, estimator) in enumerate((estimators or classifiers()).items()):
+        errors, search, cv_auc = [], None, 0.0
+        if do_tune and name in GRIDS:
+            try:
+                search = grid_search(estimator, GRIDS[name], train, tune_folds, parallelism)
+                estimator = estimator.copy(search.maps[search.best])
+            except Exception as e:  # noqa: BLE001 - the default settings stay
+                errors.append(f"tuning: {e}")
+        began = time.perf_counter()
+        models[name] = estimator.fit(train)
+        took = round(time.perf_counter() - began, 2)
+        try:
+            cv_auc = fold_auc(lighter(estimator), train, ParamGridBuilder().build(), cv_folds, parallelism)[0]
+        except Exception as e:  # noqa: BLE001 - an AUC of 0 stands for none
+            errors.append(f"cross-validation: {e}")
+        metrics = {**evaluate(models[name].transform(test)), "cv_auc": cv_auc}
+        importance = [(f, round(float(v), 4)) for f, v in ranked_importance(models[name])]
         rows.append(
-            (name, run_id, position,
-             *[round(float(metrics[m]), 4) for m in ("auc", "accuracy", "precision", "recall", "f1", "recall_dropout",
-                                                     "cv_auc", "composite_score")],
-             float(metrics["training_time"]), False, stamp, imp, tune_row)
+            (name, run_id, position, *(float(metrics[m]) for m in METRICS), took, now.strftime("%Y-%m-%d %H:%M:%S"),
+             importance, search and search.document(), "; ".join(errors)[:500] or None)
         )
-    rows = [r[:12] + (r[0] == best_name,) + r[13:] for r in rows]
-    results = spark.createDataFrame(rows, RESULTS_SCHEMA)  # one row per model
     train.unpersist()
-    return TrainingRun(run_id, results, models, tuning, best_name, test)
-
-
-# ── evaluations table views (E2-E5, H14, H17, F6, B22) ─────────────────────
-
-
-def latest_runs(results: DataFrame) -> DataFrame:
-    """Latest run per model (largest run id), sorted by composite score."""
-    w = Window.partitionBy("name").orderBy(F.desc("run_id"))
-    return (
-        results.withColumn("_rn", F.row_number().over(w))
-        .filter("_rn = 1")
-        .drop("_rn")
-        .orderBy(F.desc(F.coalesce("composite_score", "auc")), "name")
-    )
-
-
-def run_history(results: DataFrame) -> DataFrame:
-    """Every run per model in run-id order with its ordinal."""
-    w = Window.partitionBy("name").orderBy("run_id")
-    return results.select("name", "run_id", "auc", "composite_score", F.row_number().over(w).alias("run_ordinal"))
-
-
-def best_model(results: DataFrame) -> DataFrame:
-    """Flagged best model, else the first by composite score (stable)."""
-    pos = F.coalesce(F.col("position"), F.lit(0))
-    return results.orderBy(F.desc("is_best"), F.desc("composite_score"), pos).limit(1)
-
-
-def select_best(results: DataFrame) -> DataFrame:
-    """Strictly greatest composite score; ties go to the earlier model."""
-    return results.orderBy(F.desc("composite_score"), "position").limit(1)
-
-
-def importance_table(results: DataFrame, top: int | None = None) -> DataFrame:
-    """``(name, run_id, rank, feature, score)`` ranked by score."""
-    out = results.select("name", "run_id", F.posexplode("importance").alias("pos", "imp")).select(
-        "name", "run_id", (F.col("pos") + 1).alias("rank"), "imp.feature", "imp.score"
-    )
-    return out.filter(F.col("rank") <= top) if top else out
-
-
-def comparison_table(results: DataFrame) -> DataFrame:
-    """Model comparison sorted by composite score; CV AUC 0 shown as missing."""
-    return results.select(
-        "name", "run_id", "auc", F.nullif(F.col("cv_auc"), F.lit(0.0)).alias("cv_auc"), "accuracy", "precision",
-        "recall", "f1", "composite_score", "training_time",
-        F.when(F.col("auc") >= AUC_TARGET, "meets target").when(F.col("auc") >= AUC_WATCH, "watch")
-        .otherwise("critical").alias("auc_band"),
-    ).orderBy(F.desc("composite_score"), "name")
-
-
-EVALUATION_METRICS = ["auc", "accuracy", "precision", "recall", "f1", "cv_auc", "composite_score"]
-
-
-def evaluation_rows(results: DataFrame) -> DataFrame:
-    """Evaluation rows in stored form: one per model and run, keyed ``model|run_id``.
-
-    Metrics are rounded to 4 places; importance and tuning are JSON documents.
-    """
-    return results.select(
-        F.concat_ws("|", "name", "run_id").alias("row_key"),
-        "name",
-        "run_id",
-        *[F.round(m, 4).alias(m) for m in EVALUATION_METRICS],
-        "training_time",
-        "is_best",
-        "timestamp",
-        F.to_json("importance").alias("importance_json"),
-        F.to_json("tuning").alias("tuning_json"),
-    )
-
-
-def append_evaluations(results: DataFrame, path: str) -> None:
-    """Append a run's evaluation rows to the evaluations table (distributed write)."""
-    evaluation_rows(results).write.mode("append").parquet(path)
-
-
-def importance_json(results: DataFrame) -> DataFrame:
-    """Importance and tuning documents as JSON text, and parsed back."""
-    enc = results.select("name", "run_id", F.to_json("importance").alias("importance_json"),
-                         F.to_json("tuning").alias("tuning_json"))
-    return enc.select(
-        "name", "run_id", "importance_json", "tuning_json",
-        F.from_json("importance_json", IMPORTANCE_TYPE).alias("importance"),
-        F.from_json("tuning_json", TUNING_TYPE).alias("tuning"),
-    )
+    # one row per model; selection uses the unrounded metrics
+    results = flag_best(spark.createDataFrame(rows, RUN_SCHEMA).withColumn("composite_score", composite_column()))
+    results = results.withColumns({m: F.round(m, 4) for m in [*METRICS, "composite_score"]})
+    best = results.filter("is_best").first()
+    return TrainingRun(run_id, results, models, best.name if best else "", test)
 
 
 # ── model registry (A10) ───────────────────────────────────────────────────

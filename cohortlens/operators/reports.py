@@ -141,6 +141,22 @@ def _disability_text(empty: str) -> Column:
     return F.when(d == "Y", "Yes").when(d == "N", "No").otherwise(F.lit(empty))
 
 
+def _disability_shown() -> Column:
+    """The flag, else what the code says."""
+    code = F.col("disability_encoded")
+    return F.coalesce(
+        F.when(F.col("disability") == "Y", "Yes").when(F.col("disability") == "N", "No").when(code == 1, "Yes").when(code == 0, "No"), F.lit(EM_DASH)
+    )
+
+
+def _imd_shown() -> Column:
+    """The band, else the band of a code from 0 to 9; other codes are unknown, a negative or missing one is none."""
+    code = F.col("imd_band_encoded")
+    span = F.concat((code * 10).cast("string"), F.lit("–"), (code * 10 + 10).cast("string"), F.lit("%"))
+    named = F.when(code.between(0, 9), span).when(code > 9, "Unknown").otherwise(F.lit(EM_DASH))
+    return F.coalesce(F.when(F.col("imd_band") != "", F.col("imd_band")), named)
+
+
 def _or_dash(c: str) -> Column:
     v = F.coalesce(F.col(c), F.lit(""))
     return F.when(v == "", F.lit(EM_DASH)).otherwise(v)
@@ -180,8 +196,8 @@ def profile_values() -> list[tuple[str, str, Column]]:
         (background, "Age Band", _or_dash("age_band")),
         (background, "Region", _or_dash("region")),
         (background, "Highest Education", _or_dash("highest_education")),
-        (background, "IMD Band", _or_dash("imd_band")),
-        (background, "Disability", _disability_text(EM_DASH)),
+        (background, "IMD Band", _imd_shown()),
+        (background, "Disability", _disability_shown()),
         (background, "Studied Credits", F.coalesce(F.col("studied_credits").cast("string"), F.lit(EM_DASH))),
         (background, "Prev Attempts", _num("num_prev_attempts", 0).cast("string")),
         (background, "Days Before Start", F.concat(_num("days_before_start").cast("long").cast("string"), F.lit(" days"))),

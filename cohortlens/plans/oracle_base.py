@@ -254,12 +254,3 @@ scored AS (
 )
 """
 
-
-def with_base(body: str) -> str:
-    """Prefix a query body with the shared CTEs.
-
-    ``body`` is either ``"SELECT ..."`` or ``", extra AS (...) SELECT ..."``.
-    """
-    body = body.strip()
-    sep = "\n" if body.startswith(",") else "\n"
-    return "WITH " + BASE_CTES.strip() + sep + body

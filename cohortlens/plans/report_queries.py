@@ -146,7 +146,10 @@ def _profile_sql() -> str:
     whole = lambda c: grp(f"coalesce({c}, 0)")
     gender = "CASE WHEN coalesce(gender, '') = 'M' THEN 'Male' WHEN coalesce(gender, '') = 'F' THEN 'Female' " \
              "WHEN coalesce(gender, '') = '' THEN '—' ELSE gender END"
-    dis = "CASE WHEN disability = 'Y' THEN 'Yes' WHEN disability = 'N' THEN 'No' ELSE '—' END"
+    dis = "CASE WHEN disability = 'Y' OR (disability NOT IN ('Y', 'N') AND disability_encoded = 1) THEN 'Yes' " \
+          "WHEN disability = 'N' OR disability_encoded = 0 THEN 'No' ELSE '—' END"
+    imd = "CASE WHEN imd_band <> '' THEN imd_band WHEN imd_band_encoded BETWEEN 0 AND 9 THEN (imd_band_encoded * 10) || '–' || " \
+          "(imd_band_encoded * 10 + 10) || '%' WHEN imd_band_encoded > 9 THEN 'Unknown' ELSE '—' END"
     a, v, b = "Academic Performance", "VLE Engagement", "Student Background"
     items = [
         (a, "Average Score", o100("score")), (a, "Weighted Score", o100("weighted_score")),
@@ -160,7 +163,7 @@ def _profile_sql() -> str:
         (v, "Forum Clicks", whole("forum_clicks")), (v, "Quiz Clicks", whole("quiz_clicks")),
         (v, "Resource Clicks", whole("resource_clicks")),
         (b, "Gender", gender), (b, "Age Band", _dash("age_band")), (b, "Region", _dash("region")),
-        (b, "Highest Education", _dash("highest_education")), (b, "IMD Band", _dash("imd_band")),
+        (b, "Highest Education", _dash("highest_education")), (b, "IMD Band", imd),
         (b, "Disability", dis), (b, "Studied Credits", "coalesce(CAST(studied_credits AS VARCHAR), '—')"),
         (b, "Prev Attempts", f"CAST({_P} AS VARCHAR)"),
         (b, "Days Before Start", "CAST(CAST(trunc(coalesce(days_before_start, 0)) AS BIGINT) AS VARCHAR) || ' days'"),

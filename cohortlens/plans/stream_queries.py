@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from cohortlens.plans.core_queries import KEYS_SQL, tables
 from cohortlens.plans.registry import register
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path
 from cohortlens.sources.schemas import SCHEMAS
 from cohortlens.streaming import activity_refresh
 
@@ -25,7 +24,7 @@ def q_stream_activity_refresh(spark, sf_dir):
     """Click files arrive in several parts; the stream's final state must equal
     the batch click features over the same rows."""
     t = tables(spark, sf_dir)
-    root = os.path.join(shared_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
+    root = scratch_path(spark, "stream")
     source = os.path.join(root, "clicks")
     cols = [f.name for f in SCHEMAS["student_vle"].fields]
     t["student_vle"].select(*cols).repartition(ARRIVING_FILES).write.parquet(source)

@@ -2,12 +2,17 @@
 
 Replaces the source's periodic full reload: a Structured Streaming query
 reads new click files, enriches them with the site dimension (stream-static
-broadcast join) and keeps one state row per enrollment-day (update mode).
-Each micro-batch writes its changed rows to ``updates/epoch=<id>``; writing
-the same epoch again overwrites the same folder, so a replayed batch after a
-failure is harmless.  Current totals are the latest row per enrollment-day
-(``max_by`` over epochs, a partial hash aggregate) rolled up exactly as
-the batch feature job does, so the final state equals the batch result.
+broadcast join) and keeps one state row per enrollment-day (update mode) in
+the RocksDB state store, off the executors' heap.  Each micro-batch writes its
+changed rows to ``updates/epoch=<id>``; writing the same epoch again overwrites
+the same folder, so a replayed batch after a failure is harmless.  Current
+totals are the latest row per enrollment-day rolled up exactly as the batch
+feature job does, so the final state equals the batch result.
+
+A query that starts with a new checkpoint counts its epochs from 0 again and
+its totals from nothing: epochs are therefore written under the checkpoint's
+generation, and only the newest generation is read.  ``compact`` folds the
+epochs so far into one, so reading does not slow down with the query's age.
 
 Count-distinct is not allowed on a stream; the enrollment-day grouping
 itself gives the distinct days.  State and checkpoints live under the
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortlens.operators.features import KEYS, activity_from_daily, daily_clicks, typed_clicks
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path, shared_checkpoint_dir
 from cohortlens.sources.schemas import SCHEMAS
 
 DAY_KEYS = [*KEYS, "date"]
@@ -43,13 +48,41 @@ def click_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: in
     )
 
 
-def _write_updates(out_dir: str):
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _listed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``prefix<number>``, through the folder's own file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [x.getPath().getName() for x in store.listStatus(path)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _generation(spark: SparkSession, out_dir: str, checkpoint: str) -> int:
+    """The checkpoint's own number; a checkpoint without one gets the next and notes it."""
+    noted = _listed(spark, os.path.join(checkpoint, "generation"), "g")
+    if noted:
+        return noted[-1]
+    number = max([-1, *_listed(spark, os.path.join(out_dir, "updates"), "generation=")]) + 1
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "generation", f"g{number}"))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+    return number
+
+
+def _write_updates(folder: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        (
-            batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
-            .write.mode("overwrite")
-            .parquet(os.path.join(out_dir, "updates", f"epoch={int(epoch_id)}"))
-        )
+        batch.write.mode("overwrite").parquet(os.path.join(folder, f"epoch={int(epoch_id)}"))
 
     return write
 
@@ -66,10 +99,12 @@ def start_activity_refresh(
 ) -> StreamingQuery:
     """Start the refresh query (``availableNow`` drains what is there and stops)."""
     checkpoint = checkpoint or os.path.join(shared_checkpoint_dir(spark), "streams", "activity_refresh")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = os.path.join(out_dir, "updates", f"generation={_generation(spark, out_dir, checkpoint)}")
     daily = daily_clicks(typed_clicks(click_stream(spark, source_dir, max_files_per_trigger), vle))
     writer = (
         daily.writeStream.outputMode("update")
-        .foreachBatch(_write_updates(out_dir))
+        .foreachBatch(_write_updates(folder))
         .option("checkpointLocation", checkpoint)
         .queryName("activity_refresh")
     )
@@ -77,24 +112,45 @@ def start_activity_refresh(
     return writer.start()
 
 
-def current_daily(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest state row per enrollment-day across all written epochs."""
-    updates = spark.read.parquet(os.path.join(out_dir, "updates"))
+def _newest(spark: SparkSession, out_dir: str) -> str:
+    generations = _listed(spark, os.path.join(out_dir, "updates"), "generation=")
+    return os.path.join(out_dir, "updates", f"generation={generations[-1]}")
+
+
+def _latest_rows(updates: DataFrame) -> DataFrame:
     # An epoch holds one row per enrollment-day, so taking each total from
     # the latest epoch separately gives the latest row; fixed-width values
     # keep this a hash aggregate.
-    return updates.groupBy(*DAY_KEYS).agg(
-        *[F.max_by(c, "epoch").alias(c) for c in ("clicks", "forum", "quiz", "resource")]
-    )
+    return updates.groupBy(*DAY_KEYS).agg(*[F.max_by(c, "epoch").alias(c) for c in ("clicks", "forum", "quiz", "resource")])
+
+
+def current_daily(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest state row per enrollment-day across the newest generation's epochs."""
+    return _latest_rows(spark.read.parquet(_newest(spark, out_dir)))
+
+
+def compact(spark: SparkSession, out_dir: str, keep: int = 1) -> None:
+    """Fold all epochs but the last ``keep`` into one, under the number of the last folded epoch.
+
+    For the time between two runs of the query.  The folded rows are written
+    beside the epochs first; a run that breaks off leaves the epochs, or a
+    folded copy that holds the same rows.
+    """
+    folder = _newest(spark, out_dir)
+    epochs = _listed(spark, folder, "epoch=")
+    old = epochs[: len(epochs) - keep]
+    if len(old) < 2:
+        return
+    rows = spark.read.option("basePath", folder).parquet(*(os.path.join(folder, f"epoch={e}") for e in old))
+    # written under the shared folder first, as the last old epoch is read and replaced
+    aside = scratch_path(spark, "compact")
+    _latest_rows(rows).write.parquet(aside)
+    spark.read.parquet(aside).write.mode("overwrite").parquet(os.path.join(folder, f"epoch={old[-1]}"))
+    for e in old[:-1]:
+        _delete(spark, os.path.join(folder, f"epoch={e}"))
 
 
 def current_activity(spark: SparkSession, out_dir: str, courses: DataFrame) -> DataFrame:
     """Current enrollment click features (same columns as the batch job)."""
     return activity_from_daily(current_daily(spark, out_dir), courses)
 
-
-def refresh_snapshot(spark: SparkSession, out_dir: str, courses: DataFrame) -> str:
-    """Write the current totals as a table next to the updates; return its path."""
-    path = os.path.join(out_dir, "activity")
-    current_activity(spark, out_dir, courses).write.mode("overwrite").parquet(path)
-    return path

@@ -2,17 +2,21 @@
 
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ml
+from cohortlens.operators import evaluation, ml
 from cohortlens.plans.core_queries import feature_frame
+from cohortlens.sources import io
 from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
 def run(spark):
     ests = {k: v for k, v in ml.classifiers().items() if k in ("Logistic Regression", "Random Forest")}
-    return ml.run_training(feature_frame(spark, SF_SMALL), do_tune=False, cv_folds=2, estimators=ests)
+    run = ml.run_training(feature_frame(spark, SF_SMALL), do_tune=False, cv_folds=2, estimators=ests)
+    yield run
+    run.release()
 
 
 def test_models_beat_chance(run):
@@ -31,13 +35,51 @@ def test_importance_sums_to_one(run):
         assert sum(i.score for i in r.importance) == pytest.approx(1.0, abs=1e-3)
 
 
-def test_sql_confusion_matches_evaluator(run):
+def test_confusion_metrics_equal_the_evaluators(run):
     preds = run.models["Logistic Regression"].transform(run.test)
-    acc = ml.confusion_metrics(preds).collect()[0].accuracy
-    assert acc == pytest.approx(ml.evaluate(preds)["accuracy"])
+    got = evaluation.classification_metrics(preds).first()
+    names = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1": "weightedFMeasure"}
+    for mine, theirs in names.items():
+        judge = MulticlassClassificationEvaluator(labelCol="label", metricName=theirs)
+        assert got[mine] == pytest.approx(judge.evaluate(preds)), mine
+    assert got.recall_dropout == pytest.approx(
+        MulticlassClassificationEvaluator(labelCol="label", metricName="recallByLabel", metricLabel=1.0).evaluate(preds)
+    )
     assert 0.5 < ml.exact_auc(preds) <= 1.0
 
 
+def test_metrics_of_a_class_that_is_never_predicted(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 0, 0), ("b", 1, 1)], "g string, label int, prediction int")
+    got = {r.g: r for r in evaluation.classification_metrics(rows, ["g"]).collect()}
+    assert (got["a"].accuracy, got["a"].precision, got["a"].recall_dropout) == (0.5, 0.25, 0.0)
+    assert (got["b"].accuracy, got["b"].f1) == (1.0, 1.0)
+
+
+def test_failing_searches_are_recorded(spark):
+    features = feature_frame(spark, SF_SMALL).limit(200)
+    ests = {"Linear SVC": ml.classifiers()["Linear SVC"]}
+    run = ml.run_training(features, do_tune=False, cv_folds=1, estimators=ests)  # one fold is not allowed
+    row = run.results.first()
+    assert row.cv_auc == 0.0 and row.error.startswith("cross-validation")
+    run.release()
+
+
+def test_grid_search_document(spark):
+    from pyspark.ml.param import Param
+
+    svc = ml.classifiers()["Linear SVC"]
+    grid = [{svc.maxIter: 5}, {svc.maxIter: 9}, {svc.maxIter: 7}]
+    assert all(isinstance(k, Param) for m in grid for k in m)
+    doc = ml.GridSearch(grid, [0.5, 0.71239, 0.71239], 2).document()
+    assert doc["best_params"] == {"maxIter": "9"} and doc["best_auc"] == 0.7124
+    assert [c["is_best"] for c in doc["combos"]] == [False, True, False]
+
+
+def test_training_partitions_follow_the_rows_alone(spark):
+    df = spark.range(10).selectExpr("id AS id_student", "'m' AS code_module", "'p' AS code_presentation")
+    assert ml.sized_partitions(df, 10_000, 10).rdd.getNumPartitions() == 1000
+
+
 def test_split_is_about_a_fifth(spark):
     f = feature_frame(spark, SF_SMALL)
     share = f.select((ml.split_bucket() < 2).cast("int").alias("t")).agg(F.avg("t")).collect()[0][0]
@@ -62,34 +104,79 @@ def test_views_of_the_evaluations_table(spark):
         ("Linear SVC", "20240102_000000", 1, 0.9, 0.0, False),
     ]
     res = spark.createDataFrame(rows, "name string, run_id string, position int, composite_score double, cv_auc double, is_best boolean").withColumn("auc", F.col("composite_score"))
-    latest = {r.name: r.run_id for r in ml.latest_runs(res).collect()}
+    latest = {r.name: r.run_id for r in evaluation.latest_runs(res).collect()}
     assert latest == {"Random Forest": "20240102_000000", "Linear SVC": "20240102_000000"}
-    hist = {(r.name, r.run_id): r.run_ordinal for r in ml.run_history(res).collect()}
+    hist = {(r.name, r.run_id): r.run_ordinal for r in evaluation.run_history(res).collect()}
     assert hist[("Random Forest", "20240102_000000")] == 2
-    assert ml.best_model(res).collect()[0].name == "Random Forest"
-    assert ml.select_best(res).collect()[0].name == "Linear SVC"
+    assert evaluation.best_model(res).collect()[0].name == "Random Forest"
+    flagged = evaluation.flag_best(res.drop("is_best"), ["run_id"]).filter("is_best").collect()
+    assert {(r.run_id, r.name) for r in flagged} == {("20240101_000000", "Random Forest"), ("20240102_000000", "Linear SVC")}
 
 
-def test_evaluation_rows_round_trip(spark, run, tmp_path):
+def test_publishing_a_run_twice_keeps_one_copy(spark, run, tmp_path):
     path = str(tmp_path / "evaluations")
-    ml.append_evaluations(run.results, path)
-    ml.append_evaluations(run.results, path)  # append keeps both copies
-    stored = spark.read.parquet(path)
+    evaluation.publish_evaluations(run.results, path, run.run_id)
+    evaluation.publish_evaluations(run.results, path, run.run_id)
+    evaluation.publish_evaluations(run.results.withColumn("run_id", F.lit("other")), path, "other")
+    stored = evaluation.stored_evaluations(spark, path)
     assert stored.count() == 2 * run.results.count()
-    row = stored.filter(F.col("is_best")).first()
-    assert row.row_key == f"{row.name}|{row.run_id}"
-    assert row.auc == round(row.auc, 4)
-    parsed = stored.select(F.from_json("importance_json", ml.IMPORTANCE_TYPE).alias("imp")).first().imp
-    assert abs(sum(x.score for x in parsed) - 1.0) < 1e-3
+    typed = io.model_rows_readback(stored)
+    best = typed.filter(F.col("is_best") & (F.col("run_id") == run.run_id)).first()
+    assert best.name == run.best_name and best.auc == round(best.auc, 4)
+    assert abs(sum(x.score for x in best.importance) - 1.0) < 1e-3
+    untuned = stored.select("tuning_json").distinct().collect()
+    assert [r.tuning_json for r in untuned] == ["{}"]
+
+
+def test_model_queries_built_twice_give_the_same_rows(spark):
+    from cohortlens.plans import REGISTRY
+
+    for name in ("model_results_rows", "model_comparison"):
+        first, again = (sorted(map(tuple, REGISTRY[name].build(spark, SF_SMALL).collect())) for _ in range(2))
+        assert first == again and first
+
+
+def test_model_rows_with_bad_values(spark):
+    numbers = {c: "0.5" for c in io.MODEL_NUMBERS}
+    rows = [
+        ("Random_Forest|20240101", {**numbers, "auc": "nan", "f1": "x"}, "true", None, "[]", "not json"),
+        ("Linear_SVC", numbers, "TRUE?", "t", None, None),
+    ]
+    schema = "row_key string, " + ", ".join(f"`{c}` string" for c in io.MODEL_NUMBERS) + ", is_best string, timestamp string, importance_json string, tuning_json string"
+    stored = spark.createDataFrame([(k, *n.values(), *rest) for k, n, *rest in rows], schema)
+    got = {r.name: r for r in io.model_rows_readback(stored).collect()}
+    assert got["Random Forest"].run_id == "20240101" and got["Random Forest"].f1 == 0.0 and got["Random Forest"].is_best
+    assert got["Linear SVC"].run_id == io.DEFAULT_RUN_ID and not got["Linear SVC"].is_best
+    assert got["Linear SVC"].importance == [] and got["Random Forest"].timestamp == ""
+
+
+def test_json_documents_are_decoded_in_the_plan(spark):
+    from cohortlens.plans import REGISTRY
+
+    plan = REGISTRY["importance_json"].build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan
 
 
 def test_rank_sum_auc_equals_exact_evaluator(run):
     for name, model in run.models.items():
         preds = model.transform(run.test)
-        got = ml.rank_sum_auc(preds).first()["auc_rank_sum"]
+        got = evaluation.rank_sum_auc(ml.raw_score(preds)).first()["auc"]
         assert got == pytest.approx(ml.exact_auc(preds), abs=1e-9), name
 
 
+def test_grouped_auc_counts_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, rng.randint(0, 1), float(rng.randint(0, 6))) for g in "abc" for _ in range(40)] + [("d", 1, 0.5)]
+    got = {r.g: r.auc for r in evaluation.rank_sum_auc(spark.createDataFrame(rows, "g string, label int, score double"), ["g"]).collect()}
+    for g in "abc":
+        pos, neg = ([s for h, y, s in rows if h == g and y == v] for v in (1, 0))
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert got[g] == pytest.approx(want)
+    assert got["d"] is None
+
+
 def test_running_totals_match_a_cumulative_sum(spark):
     from cohortlens.functions.positions import running_totals
 
