@@ -33,6 +33,8 @@ from cohortlens.llm.common import ship_package, text_bytes, text_steps, with_col
 
 SEGMENT, HIDDEN, BLOCK = 64, 16, 4096
 PER_LANGUAGE, SEGMENTS_PER_DOCUMENT = 1000, 3
+#: The network has this many labels at most, the most frequent ones.
+LANGUAGES = 256
 #: A language's sample is cut to this many segments (the smallest hashes stay).
 SEGMENTS_PER_LANGUAGE = 3000
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 20
@@ -206,12 +208,12 @@ def train_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     )
     rows = rows.filter(F.col("_text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Network.fresh([])
     place = F.xxhash64(F.col("_id").cast("string"))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    sample = rows.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
     found = sample.select("_id", "_text", "lang", "place").mapInArrow(_sampled_segments, "lang string, place long, nth long, segment binary").collect()
     languages = sorted(counts)
     rows = []

@@ -12,7 +12,7 @@ from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.language_id import identify_languages, train_language_id
 from cohortlens.llm.lm_scoring import score_documents
 from cohortlens.llm.ngram_join import ngram_jaccard_join
-from cohortlens.llm.secret_scan import scan_secrets, span_text
+from cohortlens.llm.secret_scan import ASSIGN, SCOPE, scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
@@ -56,6 +56,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, len(ws) < 3 AS short, array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ') AS gram
+  FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS r(i)
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.short = y.short AND x.doc_id <> y.doc_id
+  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 90 * (nx.n + ny.n - count(*))
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,6 +88,32 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+_WORDS = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op5_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
+  FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS r(i) WHERE len(ws) > 0
+),
+sizes AS (SELECT DISTINCT n FROM items),
+spots AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM d, sizes, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS r(i)
+),
+hits AS (SELECT doc_id, i, items.n AS n, item_id FROM spots JOIN items ON spots.k = items.k AND spots.n = items.n),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hits), unnest(range(0, n)) AS r(j) GROUP BY doc_id
+),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
@@ -82,6 +127,43 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _parts_sql(kind: str, rank: int, pattern: str, test: str) -> str:
+    """Spans of a pattern: the texts between its matches and the matches alternate."""
+    pattern = pattern.replace("'", "''")
+    at = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, CAST({at} AS BIGINT) AS s, {rank} AS rank, '{kind}' AS kind, CAST({at} AS BIGINT) + length(ms[i]) AS e
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS ms, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps
+          FROM documents), unnest(range(1, len(ms) + 1)) AS r(i) WHERE {test.format(m='ms[i]', p=pattern)}"""
+
+
+_KINDS = [
+    ("assign", ASSIGN, "length(regexp_extract({m}, '{p}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length({m}) >= 20"),
+    ("hex", "[0-9a-f]{24,}", "true"),
+    ("key40", "[A-Za-z0-9+/]{40,}", "length({m}) = 40 AND regexp_matches({m}, '[A-Z]') AND regexp_matches({m}, '[a-z]') AND regexp_matches({m}, '[0-9]')"),
+    ("endpoint", "(?:https?|s3|jdbc:[a-z]+|ftp)://[A-Za-z0-9.:@/_-]+", "length({m}) >= 10"),
+]
+ORACLES["op7_secret_scan"] = f"""
+WITH parts AS ({" UNION ALL ".join(_parts_sql(k, i, p, t) for i, (k, p, t) in enumerate(_KINDS))}),
+linked AS (
+  SELECT DISTINCT w.* FROM parts w JOIN parts q ON w.doc_id = q.doc_id AND w.rank > 2 AND q.rank < 3 AND (w.kind = 'endpoint' OR q.kind = 'access')
+    AND q.s < w.e + {SCOPE} AND q.e > w.s - {SCOPE} AND (q.s >= w.e OR q.e <= w.s)
+),
+spans AS (
+  SELECT doc_id, rank < 3 AS base, s, rank, kind || ':' || s || ':' || e AS t, kind FROM parts WHERE rank < 3
+  UNION ALL SELECT doc_id, false, s, rank, kind || ':' || s || ':' || e, kind FROM linked
+),
+sums AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         count(*) FILTER (NOT base) AS n_linked, string_agg(t, ',' ORDER BY s, rank) FILTER (base) AS b, string_agg(t, ',' ORDER BY s, rank) AS a
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM documents LEFT JOIN sums USING (doc_id)
+"""
+
+
 def held_out():
     """A quarter of the documents, never learned from."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
