@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from cohortlens.session import scratch_path
 
-#: Text bytes that one numpy step handles; one longer text is a step alone.
-STEP_BYTES = 4 << 20
+#: Text bytes that one numpy step handles (one longer text is a step alone), and of an Arrow batch that Spark sends a worker.
+STEP_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,8 +43,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives this package to the Python workers (Spark's own file distribution), once per application."""
+    """Gives this package to the Python workers (Spark's own file distribution), once per application.
+
+    Arrow batches are held to BATCH_BYTES unless the session asks for less: texts
+    differ in length by orders of magnitude, so a row count does not bound them.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(context, "_cohortlens_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -35,7 +35,7 @@ SIDE, HIDDEN, CODE_BITS = 2, 24, 6
 BORDER, OTHER = 0, 1
 CODES = 1 << CODE_BITS
 VOCABULARY = CODES - 2
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 ROUNDS, SHARD_ROWS, STEPS, BATCH, RATE, SEED = 3, 1 << 20, 100, 2048, 0.02, 9
 BLOCK = 1 << 14
 _SHAPES = {"near": (2 * SIDE, CODES, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CODES), "base": (CODES,)}
