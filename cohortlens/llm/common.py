@@ -37,6 +37,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Slots of ``without_ids``: 2 MB broadcast at most.
+ID_SLOTS = 1 << 17
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``.
+
+    The slots of the ids (hash modulo ID_SLOTS) are broadcast; rows in free slots
+    stay where they are, and only the others are shuffled for the exact anti-join.
+    """
+    ids = checkpointed(ids.toDF("_gone").distinct())
+
+    def slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(ID_SLOTS))
+
+    own = F.col(f"d.`{id_col}`")
+    taken = F.broadcast(ids.select(slot(F.col("_gone")).alias("_slot")).distinct())
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    free = docs.alias("d").join(taken, slot(own) == F.col("_slot"), "left_anti").select(*columns)
+    rest = docs.alias("d").join(taken, slot(own) == F.col("_slot"), "left_semi").join(ids, own == F.col("_gone"), "left_anti")
+    return free.union(rest.select(*columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -22,8 +22,9 @@ Groups of near copies do not produce all their pairs.  In a first product
 each row meets only the row of its column with the fewest columns before it
 (the one with the least of its own), and the links found are contracted to
 components.  The second product takes only pairs whose components still
-differ, so a group that the first product joined costs nothing more.  Pairs
-that neither product forms are either below the bound or already connected.
+differ, and tests their parities (folded to half the blocks) inside the join,
+so a group that the first product joined costs nothing more and near misses
+do not come out as rows.  Pairs that neither product forms are either below the bound or already connected.
 
 Column order: tasks count their n-grams in chunks and report those seen three
 times or more in a chunk; the ``HEAVY_ROWS`` most frequent in sum get a level
@@ -44,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import SLOTS, checkpointed, grams, keyed, mix, slot_bitmap, text_bytes, text_steps, word_mask, words
@@ -208,14 +209,17 @@ def ngram_jaccard_join(
     def chance(n1: str, r1: str, n2: str, r2: str):
         return F.expr(f"{num + den} * least({r1}, {r2}) >= {num} * (cast({n1} as long) + {n2})")
 
+    def parity_chance(odd1: Column, odd2: Column, n1: Column, n2: Column) -> Column:
+        apart = F.aggregate(F.zip_with(odd1, odd2, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+        return F.lit(num + den) * apart <= (den - num) * (n1.cast("long") + n2)
+
     def side(rows: DataFrame, key: str, *columns: str) -> DataFrame:
         return rows.select(F.col("rid").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that pass the parity bound and whose whole rows overlap enough."""
         pairs = pairs.join(side(heads, "x", "n", "odd"), "x").join(side(heads, "y", "n", "odd"), "y")
-        apart = F.aggregate(F.zip_with("odd_x", "odd_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.filter(F.lit(num + den) * apart <= (den - num) * (F.col("n_x").cast("long") + F.col("n_y")))
+        pairs = pairs.filter(parity_chance(F.col("odd_x"), F.col("odd_y"), F.col("n_x"), F.col("n_y")))
         pairs = checkpointed(pairs.select("x", "y"))
         wanted = spark.sparkContext.broadcast(slot_bitmap(pairs.select("x").union(pairs.select("y")), "x"))
         sets = checkpointed(texts.mapInArrow(_whole_sets(k, wanted), "rid long, grams array<long>"))
@@ -229,11 +233,26 @@ def ngram_jaccard_join(
     near = checkpointed(linked(star))
     label = components(near)
     open_ = shared.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    open_ = checkpointed(open_.join(mixed, "key", "left_semi"))
+    ends = open_.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("low"), F.max("r").alias("high"))
+    # an entry goes on if a row of the key's smallest size and largest rest would have a chance with it
+    least = F.expr(f"greatest(low, ceil(cast(n as long) * {num} / {den}))")
+    open_ = open_.join(ends.filter("a <> b").drop("a", "b"), "key").filter(
+        (num + den) * F.least("r", "high") >= num * (F.col("n").cast("long") + least)
+    )
+    open_ = checkpointed(open_.drop("low", "high"))
+    # both halves of the parity bits laid on each other still bound the difference from below
+    folded = F.zip_with(F.slice("odd", 1, BLOCKS // 128), F.slice("odd", BLOCKS // 128 + 1, BLOCKS // 128), lambda a, b: a.bitwiseXOR(b))
+    open_ = open_.join(heads.select("rid", folded.alias("odd")), "rid")
     one, two = open_.alias("one"), open_.alias("two")
-    more = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rid") < F.col("two.rid")) & (F.col("one.component") != F.col("two.component")))
-    more = more.filter(chance("one.n", "one.r", "two.n", "two.r")).select(F.col("one.rid").alias("x"), F.col("two.rid").alias("y")).distinct()
+    more = one.join(
+        two,
+        (F.col("one.key") == F.col("two.key"))
+        & (F.col("one.rid") < F.col("two.rid"))
+        & (F.col("one.component") != F.col("two.component"))
+        & chance("one.n", "one.r", "two.n", "two.r")
+        & parity_chance(F.col("one.odd"), F.col("two.odd"), F.col("one.n"), F.col("two.n")),
+    )
+    more = more.select(F.col("one.rid").alias("x"), F.col("two.rid").alias("y")).distinct()
     more = checkpointed(more.join(star, ["x", "y"], "left_anti"))
     if not more.isEmpty():
         label = components(near.union(linked(more)))
