@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import table
+from cohortlens.llm.common import table, without_ids
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.language_id import UNKNOWN, identify_languages, train_language_id
@@ -40,13 +40,13 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each linked group the document with the smallest doc_id stays."""
     groups = ngram_jaccard_join(docs, k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, groups.filter("doc_id <> component_id").select("doc_id"))
 
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.filter("n_hit > 0").select("doc_id"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
