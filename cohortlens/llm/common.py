@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from cohortlens.session import scratch_path
 
 #: Text bytes that one numpy step handles (one longer text is a step alone), and of an Arrow batch that Spark sends a worker.
-STEP_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+STEP_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -54,7 +54,7 @@ from cohortlens.llm.components import components
 #: Words are runs of anything but space and 0x09-0x0D.
 WORD = word_mask(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 HEAVY_ROWS = 1 << 17
-CHUNK_GRAMS, CHUNK_TIMES = 1 << 22, 3
+CHUNK_GRAMS, CHUNK_TIMES = 1 << 21, 3
 #: Column blocks of the parity bound: 256 bytes a row.
 BLOCKS = 2048
 

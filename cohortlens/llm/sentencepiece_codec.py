@@ -45,7 +45,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Words of the newer of the cache's two halves, and characters of a word that is kept.
-CACHE_ROWS, CACHE_CHARS = 150_000, 64
+CACHE_ROWS, CACHE_CHARS = 80_000, 64
 _codecs: dict[tuple[str, int], "Codec"] = {}
 
 
