@@ -16,7 +16,7 @@ from cohortlens.llm.secret_scan import ASSIGN, SCOPE, scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
-from cohortlens.llm.tool_calls import link_tool_calls, turns_as_calls
+from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, turns_as_calls, turns_as_messages
 
 QUERIES, ORACLES = {}, {}
 TOKEN_LIMIT = 1024
@@ -215,3 +215,57 @@ SELECT c.conv_id, c.turn, c.call_id, c.name, a.answer IS NOT NULL AS answered, a
        to_json({'arguments': {'prompt': c.text, 'turn': c.turn}, 'id': c.call_id, 'name': c.name, 'result': a.answer.content})::varchar AS json
 FROM calls c LEFT JOIN answers a USING (conv_id, call_id)
 """
+
+
+@query
+def op8_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, where op8_chat_formatting has the calls alone."""
+    return chat_messages(turns_as_messages(table(spark, sf_dir, "conversations")), REPLY)
+
+
+ORACLES["op8_chat_messages"] = """
+WITH RECURSIVE m AS (SELECT *, ((length(text) + turn) % 8 + 8) % 8 AS k FROM conversations),
+calls AS (
+  SELECT conv_id, turn, role, text, conv_id || '-' || turn AS call_id,
+         CASE k WHEN 0 THEN conv_id || '-' || (turn + 2) WHEN 1 THEN conv_id || '-' || (turn - 2) END AS after
+  FROM m WHERE role = 'user'
+),
+nodes AS (SELECT conv_id, call_id, min(turn) AS turn FROM calls GROUP BY ALL),
+edges AS (
+  SELECT DISTINCT c.conv_id, c.call_id, n.call_id AS dep, n.turn FROM calls c JOIN nodes n ON n.conv_id = c.conv_id AND n.call_id = c.after
+),
+sizes AS (SELECT conv_id, count(*) AS n FROM nodes GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, call_id, call_id AS dep, turn, 0 AS far FROM nodes
+  UNION
+  SELECT w.conv_id, w.call_id, e.dep, e.turn, w.far + 1
+  FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.call_id = w.dep JOIN sizes s ON s.conv_id = w.conv_id AND w.far < s.n
+),
+-- a walk of n steps over n calls passes one of them twice
+places AS (
+  SELECT w.conv_id, w.call_id, max(far) >= any_value(n) AS cyclic, max({'p': w.turn, 'b': far}) AS key
+  FROM walk w JOIN sizes s USING (conv_id) GROUP BY w.conv_id, w.call_id
+),
+answers AS (
+  SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'content': text}) AS answer
+  FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
+),
+parts AS (SELECT *, strpos(text, chr(10)) AS line FROM calls),
+formed AS (
+  SELECT *, CASE WHEN text IS NULL THEN to_json({'turn': turn})
+                 WHEN line = 0 THEN to_json({'prompt': text, 'turn': turn})
+                 ELSE to_json({'prompt': text[:line - 1], 'rest': text[line + 1:], 'turn': turn}) END AS arguments
+  FROM parts
+)
+SELECT c.conv_id, c.turn, c.role, c.call_id, 'reply' AS name, a.answer IS NOT NULL AS answered, a.answer.turn AS answer_turn, NULL AS answers,
+       coalesce(line = 0, false) AS valid, CASE WHEN cyclic THEN c.turn ELSE key.p END AS position,
+       CASE WHEN cyclic THEN 0 ELSE key.b END AS bump, cyclic,
+       to_json({'answers': NULL, 'call': {'arguments': c.arguments, 'id': c.call_id, 'name': 'reply', 'result': a.answer.content},
+                'content': c.text, 'role': c.role, 'turn': c.turn})::varchar AS json
+FROM formed c JOIN places p ON p.conv_id = c.conv_id AND p.call_id = c.call_id LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+UNION ALL
+SELECT m.conv_id, m.turn, m.role, NULL, NULL, NULL, NULL, n.call_id, NULL, m.turn, 0, false,
+       to_json({'answers': n.call_id, 'call': NULL, 'content': m.text, 'role': m.role, 'turn': m.turn})::varchar
+FROM m LEFT JOIN nodes n ON m.role = 'assistant' AND n.conv_id = m.conv_id AND n.call_id = m.conv_id || '-' || (m.turn - 1)
+WHERE m.role IS DISTINCT FROM 'user'
+"""

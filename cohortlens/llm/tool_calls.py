@@ -3,15 +3,16 @@
 Calls and their results are hash-joined by conversation and call id (calls
 without an id are never answered).  A call may name earlier calls whose
 results it uses.  Calls are put in a topological order: every call starts at its own
-turn, and a call that does not stand behind all it depends on moves directly
-behind the last of them, round by round, as long as there are such calls.  In a
-transcript whose calls refer backwards only, no round is needed.  Of n calls a
-chain has n at most; a call that has moved n times after 2n rounds hangs on a
-cycle, keeps its turn and is marked.
+turn, and a call that does not stand behind all it depends on stands directly
+behind the last of them.  In a transcript whose calls refer backwards only, no
+round is needed.  In the other conversations each round places the calls whose
+dependencies all have their place, so a chain of n calls takes n rounds; calls that
+are left on or behind a cycle keep their turn and are marked.
 
 Arguments are parsed as JSON and validated against their tool's schema: the
 required fields are there, no field is unknown, and each field has a listed
-type.  Every message comes out as one canonical JSON object: keys sorted, no
+type.  ``link_tool_calls`` gives one canonical JSON object per call, and
+``chat_messages`` one per message, whatever its role: keys sorted, no
 white space, arguments and results nested in it.  Messages stay rows of their
 own, in the order of ``(position, bump)``, so a conversation of any length is
 never gathered in one place.
@@ -61,60 +62,59 @@ def topological_order(calls: DataFrame) -> DataFrame:
     wrong = edges.filter("p_from >= p_to").select("conv_id").distinct()
     if wrong.isEmpty():
         return nodes.withColumn("cyclic", F.lit(False))
+    wrong = checkpointed(wrong)
     edges = checkpointed(edges.join(wrong, "conv_id", "left_semi").select("conv_id", "from", "to"))
-    moving = checkpointed(nodes.join(wrong, "conv_id", "left_semi"))
-    sizes = moving.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    rounds = sizes.agg(F.max("n")).first()[0]
-    for _ in range(2 * rounds):
-        key = F.struct("position", "bump")
-        least = edges.join(moving.select("conv_id", F.col("call_id").alias("from"), key.alias("key")), ["conv_id", "from"])
-        least = least.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max("key").alias("key"))
-        moved = moving.join(least, ["conv_id", "call_id"], "left")
-        behind = F.coalesce(key > F.col("key"), F.lit(True))
-        moved = moved.select(
-            "conv_id",
-            "call_id",
-            F.when(behind, F.col("position")).otherwise(F.col("key.position")).alias("position"),
-            F.when(behind, F.col("bump")).otherwise(F.col("key.bump") + 1).alias("bump"),
-            (~behind).alias("moved"),
-        )
-        moved = checkpointed(moved)
-        moving = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return nodes.join(wrong, "conv_id", "left_anti").union(moving).withColumn("cyclic", F.lit(False))
-    # a place behind n others needs n bumps at most, so what has more hangs on a cycle
-    stuck = moving.join(sizes, "conv_id").filter("bump >= n").select("conv_id", "call_id", F.lit(True).alias("cyclic"))
-    settled = nodes.join(moving.withColumnsRenamed({"position": "p", "bump": "b"}), ["conv_id", "call_id"], "left")
-    settled = settled.join(stuck, ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
-    own = F.col("cyclic") | F.col("p").isNull()
-    return settled.select(
-        "conv_id",
-        "call_id",
-        F.when(own, F.col("position")).otherwise(F.col("p")).alias("position"),
-        F.when(own, F.lit(0)).otherwise(F.col("b")).alias("bump"),
-        "cyclic",
-    )
-
-
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call with its result, place, validity and canonical JSON.
-
-    ``calls``: conv_id, turn, call_id, name, arguments (JSON text), after
-    (array of call ids).  ``results``: conv_id, turn, call_id, content.
-    """
+    waiting = checkpointed(nodes.join(wrong, "conv_id", "left_semi"))
+    placed = nodes.join(wrong, "conv_id", "left_anti")
+    while True:
+        # calls whose dependencies all have their place
+        blocked = edges.select("conv_id", F.col("to").alias("call_id")).distinct()
+        ready = checkpointed(waiting.join(blocked, ["conv_id", "call_id"], "left_anti"))
+        if ready.isEmpty():
+            return placed.withColumn("cyclic", F.lit(False)).union(waiting.withColumn("cyclic", F.lit(True)).withColumn("bump", F.lit(0)))
+        placed = placed.union(ready)
+        ends = ready.select("conv_id", F.col("call_id").alias("from"), F.struct("position", (F.col("bump") + 1).alias("bump")).alias("key"))
+        least = edges.join(ends, ["conv_id", "from"]).groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max("key").alias("key"))
+        waiting = waiting.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(least, ["conv_id", "call_id"], "left")
+        key = F.greatest(F.struct("position", "bump"), F.col("key"))
+        waiting = checkpointed(waiting.select("conv_id", "call_id", key.alias("key")).select("conv_id", "call_id", "key.position", "key.bump"))
+        edges = checkpointed(edges.join(ends.select("conv_id", "from"), ["conv_id", "from"], "left_anti"))
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """The calls with their answer, place, parsed arguments and validity."""
     first = F.min(F.struct("turn", "content"))
     answers = results.filter("call_id is not null").groupBy("conv_id", "call_id").agg(first.alias("answer"))
     order = topological_order(calls)
     linked = calls.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
     linked = linked.withColumn("parsed", F.try_parse_json("arguments"))
-    linked = linked.withColumn("valid", valid_arguments(F.col("name"), F.col("parsed"), schemas))
-    message = F.struct(
+    return linked.withColumn("valid", valid_arguments(F.col("name"), F.col("parsed"), schemas))
+
+
+def _call() -> Column:
+    return F.struct(
         F.col("parsed").alias("arguments"),
         F.col("call_id").alias("id"),
         F.col("name").alias("name"),
         F.col("answer.content").alias("result"),
     )
-    return linked.select(
+
+
+def _place() -> list[Column]:
+    return [
+        F.coalesce("position", "turn").alias("position"),
+        F.coalesce("bump", F.lit(0)).alias("bump"),
+        F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+    ]
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """One row per call with its result, place, validity and canonical JSON.
+
+    ``calls``: conv_id, turn, call_id, name, arguments (JSON text), after
+    (array of call ids).  ``results``: conv_id, turn, call_id, content.
+    """
+    return _linked(calls, results, schemas).select(
         "conv_id",
         "turn",
         "call_id",
@@ -122,11 +122,60 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
         F.col("answer").isNotNull().alias("answered"),
         F.col("answer.turn").alias("answer_turn"),
         "valid",
-        F.coalesce("position", "turn").alias("position"),
-        F.coalesce("bump", F.lit(0)).alias("bump"),
-        F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
-        F.to_json(message, {"ignoreNullFields": "false"}).alias("json"),
+        *_place(),
+        F.to_json(_call(), {"ignoreNullFields": "false"}).alias("json"),
+    )
+
+
+def chat_messages(messages: DataFrame, schemas: Schemas) -> DataFrame:
+    """One row per message of any role, with its place and canonical JSON.
+
+    ``messages``: conv_id, turn, role, text, and of messages that call a tool
+    call_id, name, arguments (JSON text) and after (array of call ids); of
+    messages that answer one, answers (call id).  A message is a call if it has a
+    name.  An answer to no call of its conversation names none.
+    """
+    calls = messages.filter("name is not null")
+    others = messages.filter("name is null")
+    results = others.filter("answers is not null").select("conv_id", "turn", F.col("answers").alias("call_id"), F.col("text").alias("content"))
+    linked = _linked(calls, results, schemas).select(
+        "conv_id",
+        "turn",
+        "role",
+        "call_id",
+        "name",
+        F.col("answer").isNotNull().alias("answered"),
+        F.col("answer.turn").alias("answer_turn"),
+        F.lit(None).cast("string").alias("answers"),
+        "valid",
+        *_place(),
+        F.to_json(_message(_call(), F.lit(None).cast("string")), {"ignoreNullFields": "false"}).alias("json"),
+    )
+    known = calls.filter("call_id is not null").select("conv_id", F.col("call_id").alias("answers"), F.lit(True).alias("known")).distinct()
+    # the rows that answer nothing have no key and stay out of the join
+    answering = others.filter("answers is not null").join(known, ["conv_id", "answers"], "left")
+    answering = answering.withColumn("answers", F.when(F.col("known"), F.col("answers")))
+    columns = ["conv_id", "turn", "role", "text", "answers"]
+    plain = others.filter("answers is null").select(*columns).union(answering.select(*columns)).select(
+        "conv_id",
+        "turn",
+        "role",
+        F.lit(None).cast("string").alias("call_id"),
+        F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("boolean").alias("answered"),
+        F.lit(None).cast("long").alias("answer_turn"),
+        "answers",
+        F.lit(None).cast("boolean").alias("valid"),
+        F.col("turn").alias("position"),
+        F.lit(0).alias("bump"),
+        F.lit(False).alias("cyclic"),
+        F.to_json(_message(F.lit(None).cast("string"), F.col("answers")), {"ignoreNullFields": "false"}).alias("json"),
     )
+    return linked.unionByName(plain)
+
+
+def _message(call: Column, answers: Column) -> Column:
+    return F.struct(answers.alias("answers"), call.alias("call"), F.col("text").alias("content"), F.col("role").alias("role"), F.col("turn").alias("turn"))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,3 +196,34 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
     )
     return calls, results
+
+
+def turns_as_messages(messages: DataFrame) -> DataFrame:
+    """A plain transcript as input of ``chat_messages``; every row stays.
+
+    A user turn is a call of the tool ``reply`` with its first line as prompt and
+    the other lines, if any, as ``rest``.  Where length and turn add up to a
+    multiple of 8 it uses the call two turns later, at one more the call two turns
+    before.  An assistant turn answers the call directly before it.
+    """
+    def call_id(turn: Column) -> Column:
+        return F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+
+    text, turn = F.col("text"), F.col("turn")
+    line = F.instr(text, "\n")
+    prompt = F.when(line > 0, F.substring_index(text, "\n", 1)).otherwise(text)
+    rest = F.when(line > 0, F.substr(text, line + 1))
+    k = F.pmod(F.length("text") + turn, F.lit(8))
+    after = F.when(k == 0, F.array(call_id(turn + 2))).when(k == 1, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>"))
+    user = F.col("role") == "user"
+    return messages.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(user, call_id(turn)).alias("call_id"),
+        F.when(user, F.lit("reply")).alias("name"),
+        F.when(user, F.to_json(F.struct(prompt.alias("prompt"), rest.alias("rest"), turn.alias("turn")))).alias("arguments"),
+        F.when(user, after).alias("after"),
+        F.when(F.col("role") == "assistant", call_id(turn - 1)).alias("answers"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.decontamination import GRAM, SPAN, WINDOW, decontaminate, winnow
 from cohortlens.llm.secret_scan import SCOPE, scan_secrets, span_text
-from cohortlens.llm.tool_calls import link_tool_calls, topological_order, turns_as_calls
+from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, topological_order, turns_as_calls, turns_as_messages
 from tests.llm.fixtures import FOLD, edge_texts, frame
 
 
@@ -175,3 +175,27 @@ def test_plain_transcripts_with_nulls(spark, rows):
     calls, results = turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = link_tool_calls(calls, results, {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}).collect()
     assert len(got) == sum(r[2] == "user" for r in rows)
+
+
+def test_every_message_has_a_row_and_calls_may_point_forward(spark):
+    rows = [
+        (1, 0, "system", "rules"),
+        (1, 1, "user", "x" * 7),  # uses the call at turn 3
+        (1, 2, "assistant", "a"),
+        (1, 3, "user", "one\ntwo"),
+        (1, 4, "assistant", "b"),
+        (1, 5, "assistant", "c"),
+        (1, 6, "tool", "t"),
+        (1, 7, None, None),
+        (2, 0, "user", "y" * 8),  # and (2, 2) use each other
+        (2, 2, "user", "y" * 7),
+        (2, 4, "user", None),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    schemas = {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}
+    got = {(r.conv_id, r.turn): r for r in chat_messages(turns_as_messages(messages), schemas).collect()}
+    assert {k: (r.role, json.loads(r.json)["content"]) for k, r in got.items()} == {(c, t): (role, text) for c, t, role, text in rows}
+    assert [(got[k].position, got[k].bump, got[k].cyclic) for k in ((1, 1), (1, 3), (2, 0), (2, 2))] == [(3, 1, False), (3, 0, False), (0, 0, True), (2, 0, True)]
+    assert [got[k].valid for k in ((1, 1), (1, 3), (2, 0), (2, 4), (1, 2))] == [True, False, True, False, None]
+    assert [got[1, t].answers for t in (0, 2, 4, 5, 6, 7)] == [None, "1-1", "1-3", None, None, None]
+    assert json.loads(got[1, 3].json)["call"] == {"arguments": {"prompt": "one", "rest": "two", "turn": 3}, "id": "1-3", "name": "reply", "result": "b"}
