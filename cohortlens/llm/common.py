@@ -190,12 +190,17 @@ def word_mask(is_word) -> np.ndarray:
     return np.array([is_word(b) for b in range(256)], bool)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts after lower-casing A-Z: hashes, byte starts, byte ends, and n + 1 word offsets."""
+def words(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, splits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts after lower-casing A-Z: hashes, byte starts, byte ends, and n + 1 word offsets.
+
+    A word also ends before each byte marked in ``splits``.
+    """
     n = len(data)
     inside = mask[data]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
+    if splits is not None:
+        border[:n] |= splits
     first = inside.copy()
     first[1:] &= ~inside[:-1] | border[1:n]
     last = inside

@@ -186,7 +186,7 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = substring_dedup(docs)
+    cleaned = substring_dedup(docs, content_cuts=True)
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
 
 

@@ -1,7 +1,14 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences: at words that end in ``.``, ``!`` or ``?``, at
-line breaks, and after ``SENTENCE_WORDS`` words.  Every run of at least
+line breaks, and after ``SENTENCE_WORDS`` words.  With ``content_cuts`` (as the
+registered query has it) the end may be followed by closing quotes or brackets
+and be a mark of another script, each ideograph, kana, Thai or Lao letter is a word, and
+sentences of over ``CUT_ABOVE`` words are cut by content: before a word whose
+hash with the word before it is the least among ``REACH`` places on both sides, so that a
+passage gets the same cuts behind any words.  What is still over
+``SENTENCE_WORDS`` long (periodic text, few minima) is cut at the least hash
+within that many words, from its own start on.  Every run of at least
 ``MIN_SENTENCES`` consecutive sentences with at least ``MIN_WORDS`` words that
 is the shortest from its first or to its last sentence is hashed (words after
 lower-casing A-Z, white space ignored).  The shortest runs from and to every
@@ -36,8 +43,20 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import SLOTS, checkpointed, keyed, mix, slot_bitmap, text_bytes, text_steps, with_columns, word_mask, words
 
 MIN_SENTENCES, MIN_WORDS, SENTENCE_WORDS = 2, 20, 25
+#: Longer sentences are cut by content, at hashes that are least among so many places on both sides.
+CUT_ABOVE, REACH = 12, 3
 _WORD = word_mask(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 _END = word_mask(lambda b: b in b".!?")
+_CLOSING = word_mask(lambda b: b in b"\"')]}")
+
+
+def _marks(characters: str) -> dict[int, np.ndarray]:
+    """UTF-8 of the characters as numbers, by length."""
+    coded = [c.encode() for c in characters]
+    return {n: np.array([int.from_bytes(c) for c in coded if len(c) == n]) for n in (2, 3)}
+
+
+_END_MARKS, _CLOSING_MARKS = _marks("؟۔…।॥。！？．｡"), _marks("»”’›」』）】》〉〕｣")
 _ODD = 0xD1342543DE82EF95
 _UP: np.ndarray = np.zeros(0, np.uint64)
 _DOWN: np.ndarray = np.zeros(0, np.uint64)
@@ -56,6 +75,69 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP, _DOWN
 
 
+def script_words(data: np.ndarray) -> np.ndarray | None:
+    """Marks the bytes where a character of a script without spaces begins: ideographs, kana, Thai and Lao letters."""
+    if not len(data) or data.max() < 0xE0:
+        return None
+    b1, b2 = np.append(data[1:], [0]), np.append(data[2:], [0, 0])[: len(data)]
+    out = (data >= 0xE3) & (data <= 0xE9)
+    # the space, commas, ends and closing brackets stay with the word before them
+    out &= ~((data == 0xE3) & (b1 == 0x80) & np.isin(b2, [0x80, 0x81, 0x82, 0x83, 0x89, 0x8B, 0x8D, 0x8F, 0x91, 0x95]))
+    out |= (data == 0xEF) & (b1 == 0xBC) & (b2 == 0x88)
+    out |= (data == 0xF0) & (b1 >= 0xA0)
+    # vowel and tone marks stay with their letter
+    thai = ((b1 == 0xB8) & (b2 != 0xB1) & ((b2 < 0xB4) | (b2 > 0xBA))) | ((b1 == 0xB9) & (b2 < 0x87))
+    lao = ((b1 == 0xBA) & (b2 != 0xB1) & ((b2 < 0xB4) | (b2 > 0xBC))) | ((b1 == 0xBB) & (b2 < 0x88))
+    return out | ((data == 0xE0) & (thai | lao))
+
+
+def closing_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word ends in an end mark, with closing quotes and brackets behind it or none."""
+    out = _END[data[ends - 1]]
+    left = np.flatnonzero(_CLOSING[data[ends - 1]] | (data[ends - 1] >= 128))
+    at = ends[left] - 1
+    while len(left):
+        b = data[at].astype(np.int64)
+        two = (data[np.maximum(at - 1, 0)].astype(np.int64) << 8) | b
+        three = (data[np.maximum(at - 2, 0)].astype(np.int64) << 16) | two
+        done = _END[b] | np.isin(two, _END_MARKS[2]) | np.isin(three, _END_MARKS[3])
+        out[left[done]] = True
+        width = np.where(_CLOSING[b], 1, np.where(np.isin(two, _CLOSING_MARKS[2]), 2, np.where(np.isin(three, _CLOSING_MARKS[3]), 3, 0)))
+        on = ~done & (width > 0) & (at - width >= starts[left])
+        left, at = left[on], at[on] - width[on]
+    return out
+
+
+def content_starts(h: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a sentence, with the word count at the end; long sentences are cut by content."""
+    n = len(h)
+    if not n:
+        return np.zeros(1, np.int64)
+    begins = np.zeros(n, bool)
+    begins[0] = True
+    begins[1:] = closes[:-1]
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, n))
+    if sizes.max() <= CUT_ABOVE:
+        return np.append(first, n)
+    value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    value[1:] = mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:])
+    least = np.repeat(sizes > CUT_ABOVE, sizes)
+    for k in range(1, min(REACH, n - 1) + 1):
+        least[k:] &= value[k:] < value[:-k]
+        least[:-k] &= value[:-k] <= value[k:]
+    first = np.flatnonzero(begins | least)
+    sizes = np.diff(np.append(first, n))
+    more = []
+    for i in np.flatnonzero(sizes > SENTENCE_WORDS):
+        a, b = int(first[i]), int(first[i] + sizes[i])
+        while b - a > SENTENCE_WORDS:
+            part = value[a + REACH : a + SENTENCE_WORDS + 1]
+            a += REACH + int(np.argmin(part))
+            more.append(a)
+    return np.append(np.sort(np.append(first, np.array(more, np.int64))), n)
+
+
 def sentence_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line_breaks: np.ndarray) -> np.ndarray:
     """Numbers of the words that begin a sentence, with the word count at the end."""
     n = len(starts)
@@ -87,40 +169,47 @@ def runs(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), first, past
 
 
-def _sentences(texts: pa.Array):
+def _sentences(texts: pa.Array, content_cuts: bool):
     """Per text its word hashes, byte starts of the words, and sentence bounds."""
     data, offsets = text_bytes(texts)
-    h, starts, ends, at = words(data, offsets, _WORD)
+    h, starts, ends, at = words(data, offsets, _WORD, script_words(data) if content_cuts else None)
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=breaks[1:])
+    if content_cuts:
+        closes = closing_words(data, starts, ends)
+        closes[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
     for i in range(len(texts)):
         part = slice(at[i], at[i + 1])
-        yield h[part], starts[part] - offsets[i], sentence_starts(data, starts[part], ends[part], breaks)
+        bounds = content_starts(h[part], closes[part]) if content_cuts else sentence_starts(data, starts[part], ends[part], breaks)
+        yield h[part], starts[part] - offsets[i], bounds
 
 
 def _first_places(h: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(h, return_index=True)[1])
 
 
-def _hashes(batches):
-    for batch in text_steps(batches):
-        docs, found = [], []
-        for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
-            own = np.unique(runs(h, bounds)[0])
-            docs.append(np.full(len(own), i))
-            found.append(own)
-        take = pa.array(np.concatenate(docs), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
+def _hashes(content_cuts):
+    def run(batches):
+        for batch in text_steps(batches):
+            docs, found = [], []
+            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1), content_cuts)):
+                own = np.unique(runs(h, bounds)[0])
+                docs.append(np.full(len(own), i))
+                found.append(own)
+            take = pa.array(np.concatenate(docs), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
+
+    return run
 
 
-def _candidates(bitmap):
+def _candidates(bitmap, content_cuts):
     """The runs whose hash is marked: each one's first place in its document."""
 
     def run(batches):
         bits = bitmap.value
         for batch in text_steps(batches):
             docs, found, first, past = [], [], [], []
-            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
+            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1), content_cuts)):
                 own, a, b = runs(h, bounds)
                 slot = (own & np.uint64(SLOTS - 1)).astype(np.int64)
                 at = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1)
@@ -143,24 +232,24 @@ def _candidates(bitmap):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_cuts: bool = False) -> DataFrame:
     """``docs`` with ``n_sentences``, ``n_removed``, ``removed`` (sentence numbers) and ``clean_text``."""
     spark = docs.sparkSession
     texts = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    hashes = texts.mapInArrow(_hashes, f"doc {kind}, h long")
+    hashes = texts.mapInArrow(_hashes(content_cuts), f"doc {kind}, h long")
     # the same id again is the same document, so a run is repeated if its smallest and largest id differ
     repeated = hashes.groupBy("h").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).filter("keeper <> last").select("h", "keeper")
     repeated = checkpointed(repeated)
     bitmap = spark.sparkContext.broadcast(slot_bitmap(repeated, "h"))
-    places = texts.mapInArrow(_candidates(bitmap), f"doc {kind}, h long, first int, past int")
+    places = texts.mapInArrow(_candidates(bitmap, content_cuts), f"doc {kind}, h long, first int, past int")
     extra = places.join(repeated, "h").filter("doc <> keeper").groupBy("doc").agg(F.collect_set(F.struct("first", "past")).alias("_spans"))
 
     new = T.StructType().add("n_sentences", "long").add("n_removed", "long").add("removed", T.ArrayType(T.IntegerType())).add("clean_text", "string")
 
     def clean(texts: pa.Array, spans: pa.Array) -> list[pa.Array]:
         counts, removed, cleaned, spans = [], [], [], spans.to_pylist()
-        for i, (h, starts, bounds) in enumerate(_sentences(texts)):
+        for i, (h, starts, bounds) in enumerate(_sentences(texts, content_cuts)):
             n = len(bounds) - 1
             own, first, past = runs(h, bounds)
             gone = np.zeros(n + 1, np.int64)

@@ -171,3 +171,29 @@ def test_substring_dedup_nulls_repeated_rows_and_empty_table(spark):
     assert [r.n_removed for r in got if r.doc_id == 3] == [6]
     assert substring_dedup(frame(spark, [])).count() == 0
 
+
+
+def test_content_cuts_find_passages_behind_other_words(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    passage = " ".join(word() for _ in range(60))
+    rows = [(k, " ".join(word() for _ in range(3 + 4 * k)) + " " + passage + " " + " ".join(word() for _ in range(5 + k))) for k in range(6)]
+    quoted = [" ".join(word() for _ in range(11)) + mark for mark in ('."', ".)", "!”", "。", "？」")]
+    rows += [(10 + k, f"{word()} {word()}\n{' '.join(quoted)} {word()} {word()}") for k in range(2)]
+    kana = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90))
+    rows += [(20 + k, "".join(chr(0x3041 + rng.randrange(60)) for _ in range(7 + 5 * k)) + kana) for k in range(2)]
+    inner = " ".join(word() for _ in range(24)) + "."
+    rows += [(30 + k, f"{word()} {word()} " + " ".join(f"{x}{i}" for x in "ab" for i in range(14)) + f". {inner} " + " ".join(f"c{i}" for i in range(14)) + f" {word()}.") for k in range(2)]
+    rows += [(40 + k, " ".join(word() for _ in range(k + 1)) + " " + "p q r s t " * 60) for k in range(2)]
+    got = {r.doc_id: r for r in substring_dedup(frame(spark, rows), content_cuts=True).collect()}
+    texts = dict(rows)
+    for i, r in got.items():
+        if i in (0, 10, 20, 30):
+            assert not r.removed and r.clean_text == texts[i]
+        elif i not in (40, 41):
+            assert r.n_removed >= 2, i
+    for i in range(1, 6):  # the words before and behind the passage stay
+        kept = got[i].clean_text.split()
+        assert kept[: 3 + 4 * i] == texts[i].split()[: 3 + 4 * i] and kept[-5 - i :] == texts[i].split()[-5 - i :]
+    assert got[11].clean_text.count("w") <= 2 + 2 + 1
+    assert len(got[41].clean_text.split()) < 60
