@@ -203,3 +203,30 @@ def test_lm_training_ignores_the_order_of_windows():
     order = rng.permutation(3000)
     b = lm_scoring.train_shard(lm_scoring.fresh_network(), w[order], n[order], 0)
     assert all((a[k] == b[k]).all() for k in a)
+
+
+def test_lm_tells_fluent_from_shuffled_text_of_a_minority_script(spark):
+    rng = np.random.default_rng(4)
+    latin = [chr(c) for c in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0xFF))]
+    assert len(latin) > 62
+    fluent = "мамамыларамуипапапилчай" * 8
+    rows = [(i, "".join(rng.choice(latin, 3000))) for i in range(60)] + [(100 + i, fluent) for i in range(30)]
+    rows.append((200, "".join(rng.permutation(list(fluent)))))
+    got = {r.doc_id: r.mean_log_likelihood for r in lm_scoring.score_documents(frame(spark, rows)).collect()}
+    assert got[100] > got[200] + 0.5
+
+
+def test_lm_codes_and_shares_of_many_characters():
+    characters = np.arange(0x4E00, 0x4E00 + 5000)
+    table, rare = lm_scoring._code_table(characters), lm_scoring.rare_shares(characters, np.arange(5000, 0, -1))
+    assert len(np.unique(table[characters[: lm_scoring.VOCABULARY]])) == lm_scoring.VOCABULARY and table[-1] == lm_scoring.OTHER
+    assert abs(np.exp(rare[characters[lm_scoring.VOCABULARY :]]).sum() - 1) < 1e-9
+    net = lm_scoring.fresh_network(4096)
+    codes, at = lm_scoring._padded_codes(["".join(map(chr, characters[:300]))], table)
+    w = lm_scoring._windows(codes, at, 12)
+    assert (((w >> 24) & 4095) == codes[at]).all() and w.min() >= 0
+    wide = lm_scoring.Scorer(net).log_probabilities(codes, at)
+    h = np.tanh(sum(net["near"][k][codes[at + o]] for k, o in enumerate((-2, -1, 1, 2))))
+    assert np.allclose(wide, (h @ net["out"])[np.arange(300), codes[at]] - np.log(np.exp(h @ net["out"]).sum(1)), atol=1e-4)
+    again = lm_scoring.unflat(lm_scoring.flat(net))
+    assert all((again[k] == net[k]).all() for k in net)
