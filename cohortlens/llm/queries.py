@@ -218,12 +218,12 @@ FROM calls c LEFT JOIN answers a USING (conv_id, call_id)
 
 
 @query
-def op8_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_chat_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message, where op8_chat_formatting has the calls alone."""
     return chat_messages(turns_as_messages(table(spark, sf_dir, "conversations")), REPLY)
 
 
-ORACLES["op8_chat_messages"] = """
+ORACLES["every_chat_message"] = """
 WITH RECURSIVE m AS (SELECT *, ((length(text) + turn) % 8 + 8) % 8 AS k FROM conversations),
 calls AS (
   SELECT conv_id, turn, role, text, conv_id || '-' || turn AS call_id,
