@@ -27,8 +27,9 @@ SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in the language that the network gives them; null and letterless texts go."""
-    found = identify_languages(docs, train_language_id(docs)).filter(F.col("lang_pred") != UNKNOWN)
+    """Documents with letters, in the language that the network gives them (``und`` where it learned none); null and letterless texts go."""
+    found = identify_languages(docs, train_language_id(docs))
+    found = found.filter((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}"))
     return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 

@@ -70,3 +70,10 @@ def test_stages_with_nulls_copies_and_an_empty_table(spark, tmp_path):
 def test_guard_stands_in_the_entry_alone():
     for module in (corpus_pipeline, *(__import__(f"cohortlens.llm.{m}", fromlist=["x"]) for m in ("queries", "common", "ngram_join"))):
         assert not re.search(r"except \(?(ImportError|ModuleNotFoundError)", open(module.__file__).read())
+
+
+def test_documents_stay_where_no_language_could_be_learned(spark):
+    rows = [(1, "clean text", None, "a", 10), (2, "日本語", None, "a", 3), (3, "12 34", None, "a", 5), (4, None, None, "a", None), (5, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identified(spark, docs, SF_SMALL).collect()
+    assert {(r.doc_id, r.lang) for r in got} == {(1, "und"), (2, "und")}
