@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import ascii_lower, table
 from cohortlens.llm.decontamination import decontaminate
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.hard_negatives import mine_hard_negatives
 from cohortlens.llm.language_id import identify_languages, train_language_id
 from cohortlens.llm.lm_scoring import score_documents
 from cohortlens.llm.ngram_join import ngram_jaccard_join
+from cohortlens.llm.quality_classifier import score_quality, train_quality
 from cohortlens.llm.secret_scan import ASSIGN, SCOPE, scan_secrets, span_text
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
+from cohortlens.llm.spelling_variants import letter_runs, pieces, spelling_variants
 from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, turns_as_calls, turns_as_messages
@@ -269,3 +272,57 @@ SELECT m.conv_id, m.turn, m.role, NULL, NULL, NULL, NULL, n.call_id, NULL, m.tur
 FROM m LEFT JOIN nodes n ON m.role = 'assistant' AND n.conv_id = m.conv_id AND n.call_id = m.conv_id || '-' || (m.turn - 1)
 WHERE m.role IS DISTINCT FROM 'user'
 """
+
+
+LETTERS = "A-Za-z\u00C0-\u00FF"
+WORD_LETTERS, WORD_COUNT, TYPO_EVERY = 7, 2, 31
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
+    parts = docs.select("doc_id", F.explode(pieces(F.col("text"), LETTERS)).alias("part"))
+    runs = parts.select("doc_id", F.explode(letter_runs(F.col("part"), LETTERS, WORD_LETTERS)).alias("run"))
+    runs = runs.select(ascii_lower(F.col("run")).alias("run"), "doc_id")
+    runs = runs.withColumn("h", F.crc32(F.concat("doc_id", F.lit(":"), "run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.select(F.when(F.col("h") % TYPO_EVERY == 0, cut).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= WORD_LETTERS)
+    return spelling_variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= WORD_COUNT))
+
+
+GOOD = 0.7
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = train_quality(docs.filter(~held_out()), table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = score_quality(docs, weights, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST, other) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.r = p.r AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.id NULLS LAST, n.other)
+QUALIFY row_number() OVER w <= 5
+"""

@@ -17,7 +17,7 @@ def _rows(columns, records):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     with duckdb.connect() as con:
-        for t in ("documents", "benchmark", "conversations"):
+        for t in ("documents", "benchmark", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
         sql = con.sql(ORACLES[name])
         want = _rows(sql.columns, sql.fetchall())
