@@ -51,6 +51,13 @@ FEATURE_COLUMNS = [
     "num_prev_attempts", "imd_band_encoded", "disability_encoded",
 ]
 
+# Types of the click features.
+CLICK_TYPES = {
+    "total_clicks": "long", "active_days": "long", "active_weeks": "long",
+    "forum_clicks": "long", "quiz_clicks": "long", "resource_clicks": "long",
+    "clicks_per_day": "double", "engagement_ratio": "double",
+}
+
 DEMOGRAPHIC_COLUMNS = [
     "gender", "region", "highest_education", "imd_band",
     "age_band", "studied_credits", "disability", "final_result",
@@ -206,6 +213,23 @@ def demographic_features(student_info: DataFrame) -> DataFrame:
     )
 
 
+def static_features(tables: dict[str, DataFrame]) -> DataFrame:
+    """The feature groups that no click changes: demographics, assessments and registration of every enrollment."""
+    base = demographic_features(tables["student_info"])
+    assess = assessment_features(tables["student_assessment"], tables["assessments"])
+    reg = registration_features(tables["student_registration"])
+    return base.join(assess, KEYS, "left").join(reg, KEYS, "left")
+
+
+def assembled(static: DataFrame, clicks: DataFrame | None) -> DataFrame:
+    """Feature rows of the enrollments in ``static`` with their click features (none: all 0); the 20 features are zero-filled."""
+    if clicks is None:
+        joined = static.select("*", *(F.lit(0).cast(t).alias(c) for c, t in CLICK_TYPES.items()))
+    else:
+        joined = static.join(clicks, KEYS, "left")
+    return joined.select(*KEYS, "label", *FEATURE_COLUMNS, *DEMOGRAPHIC_COLUMNS).fillna(0, subset=FEATURE_COLUMNS)
+
+
 def feature_table(tables: dict[str, DataFrame]) -> DataFrame:
     """Assemble the enrollment feature table (left joins on the three keys).
 

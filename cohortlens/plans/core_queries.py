@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.positions import with_positions
-from cohortlens.operators import cohort, features, ranking, stats
+from cohortlens.operators import cohort, cube, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path, shared_checkpoint_dir
@@ -51,6 +51,7 @@ def refresh(spark: SparkSession, sf_dir: str) -> None:
     """Drop what is kept for the folder, so the next query reads its files again."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     _TABLES.pop(key, None)
+    _CUBES.pop(key, None)
     frame = _SCORED.pop(key, None)
     if frame is not None:
         frame.unpersist()
@@ -212,6 +213,43 @@ def q_tier_summary(spark, sf_dir):
     return cohort.tier_summary(scored_frame(spark, sf_dir))
 
 
+# Module lists of the payload query; an empty one means all modules.
+PAYLOAD_MODULES = [["M1", "M3"], ["M2"], []]
+
+
+def _payload_sql(modules: list[str]) -> str:
+    rows = f"SELECT * FROM scored WHERE coalesce(code_module, '') IN ({', '.join(map(repr, modules))})" if modules else "SELECT * FROM scored"
+    return f"""SELECT '{",".join(modules)}' AS modules, CAST(coalesce(sum(n), 0) AS BIGINT) AS enrollments,
+       count(*) FILTER (WHERE sid IS NOT NULL) AS unique_students,
+       count(*) FILTER (WHERE sid IS NOT NULL AND worst = 0) AS safe, count(*) FILTER (WHERE sid IS NOT NULL AND worst = 1) AS watch,
+       count(*) FILTER (WHERE sid IS NOT NULL AND worst = 2) AS high_risk, count(*) FILTER (WHERE sid IS NOT NULL AND worst = 3) AS critical
+       FROM (SELECT CASE WHEN {VALID_ID} THEN id END AS sid, count(*) AS n, max({CLAMP}) AS worst FROM ({rows}) GROUP BY 1)"""
+
+
+# One cube per application and input folder, stored in the scratch folder by module.
+_CUBES: dict[tuple[str, str], str] = {}
+
+
+def cube_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _CUBES:
+        path = scratch_path(spark, "cube")
+        cube.summary_cube(scored_frame(spark, sf_dir)).write.partitionBy("code_module").parquet(path)
+        _CUBES[key] = path
+    return spark.read.parquet(_CUBES[key])
+
+
+@register("payload_summary", oracle=" UNION ALL ".join(map(_payload_sql, PAYLOAD_MODULES)), survey_ids="I4 D6 D19")
+def q_payload_summary(spark, sf_dir):
+    """Summary over the rows that a user may see, for three lists of modules, from the stored cube alone."""
+    cells = cube_frame(spark, sf_dir)
+    parts = [cube.payload_summary(cells, m).select(F.lit(",".join(m)).alias("modules"), "*") for m in PAYLOAD_MODULES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register(
     "per_student_means",
     ctes=f""", ps AS (SELECT id, avg(coalesce(score, 0)) AS s, avg(coalesce(engagement_ratio, 0)) AS e,

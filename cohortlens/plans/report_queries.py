@@ -295,7 +295,7 @@ def q_prediction_rows(spark, sf_dir):
 def q_predictions_readback(spark, sf_dir):
     path = scratch_path(spark, "prediction-store")
     io.publish_predictions(scored_frame(spark, sf_dir), path)
-    return io.predictions_readback(spark.read.parquet(path))
+    return io.predictions_readback(io.published_predictions(spark, path))
 
 
 @register(

@@ -1,14 +1,14 @@
-"""Registered query: the streaming activity refresh (re-aimed reload loop)."""
+"""Registered queries: the streaming refreshes (re-aimed reload loop)."""
 
 from __future__ import annotations
 
 import os
 
-from cohortlens.plans.core_queries import KEYS_SQL, tables
+from cohortlens.plans.core_queries import _SCORED_DOUBLES, CLAMP, KEYS_SQL, VALID_ID, tables
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
 from cohortlens.sources.schemas import SCHEMAS
-from cohortlens.streaming import activity_refresh
+from cohortlens.streaming import activity_refresh, scored_refresh
 
 ARRIVING_FILES = 4
 
@@ -34,3 +34,45 @@ def q_stream_activity_refresh(spark, sf_dir):
     )
     query.awaitTermination()
     return activity_refresh.current_activity(spark, os.path.join(root, "out"), t["courses"])
+
+
+# One run of the scored refresh per application and input folder: both queries read its tables.
+_REFRESHED: dict[tuple[str, str], scored_refresh.ScoredRefresh] = {}
+
+
+def _scored_refresh(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _REFRESHED:
+        t = tables(spark, sf_dir)
+        root = scratch_path(spark, "scored-stream")
+        source, out = os.path.join(root, "clicks"), os.path.join(root, "out")
+        cols = [f.name for f in SCHEMAS["student_vle"].fields]
+        t["student_vle"].select(*cols).repartition(ARRIVING_BATCHES).write.parquet(source)
+        query = scored_refresh.start_scored_refresh(
+            spark, source, t, out, checkpoint=os.path.join(root, "checkpoint"), max_files_per_trigger=1
+        )
+        query.awaitTermination()
+        _REFRESHED[key] = scored_refresh.refreshed(spark, out, t["courses"])
+    return _REFRESHED[key]
+
+
+ARRIVING_BATCHES = 3
+
+
+@register("scored_refresh_rows", oracle="SELECT * FROM scored", doubles=_SCORED_DOUBLES, survey_ids="S1")
+def q_scored_refresh_rows(spark, sf_dir):
+    """The scored table after three micro-batches of clicks, each of which updates the changed enrollments alone."""
+    return _scored_refresh(spark, sf_dir).current_scored()
+
+
+@register(
+    "scored_refresh_summary",
+    ctes=f""", worst AS (SELECT id, max({CLAMP}) AS risk FROM scored WHERE {VALID_ID} GROUP BY id)""",
+    oracle="""SELECT count(*) AS unique_students, count(*) FILTER (WHERE risk = 0) AS safe,
+       count(*) FILTER (WHERE risk = 1) AS watch, count(*) FILTER (WHERE risk = 2) AS high_risk,
+       count(*) FILTER (WHERE risk = 3) AS critical FROM worst""",
+    survey_ids="S1 I4",
+)
+def q_scored_refresh_summary(spark, sf_dir):
+    """The tier summary kept by differences of old and new worst tiers."""
+    return _scored_refresh(spark, sf_dir).current_summary()

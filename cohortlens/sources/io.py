@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.expressions import float_text
 from cohortlens.operators.scoring import row_key
+from cohortlens.sources import snapshots
 from cohortlens.sources.schemas import ENROLLMENT_KEYS, RAW_FILE_NAMES, SCHEMAS
 
 DEFAULT_RUN_ID = "00000000_000000"
@@ -134,8 +135,16 @@ def prediction_rows(scored: DataFrame) -> DataFrame:
 
 
 def publish_predictions(scored: DataFrame, path: str) -> None:
-    """Full reload of the store: one distributed overwrite, no driver batches."""
-    prediction_rows(scored).write.mode("overwrite").parquet(path)
+    """Full reload of the store: one distributed write of a new version, then the switch (no driver batches).
+
+    Readers see the version before until the new one is whole.
+    """
+    snapshots.publish(prediction_rows(scored), path)
+
+
+def published_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the store's current version; a reload does not change a frame that is being read."""
+    return snapshots.read(spark, path)
 
 
 def safe_double(text: Column, default: float = 0.0) -> Column:

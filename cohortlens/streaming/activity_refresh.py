@@ -12,7 +12,8 @@ feature job does, so the final state equals the batch result.
 A query that starts with a new checkpoint counts its epochs from 0 again and
 its totals from nothing: epochs are therefore written under the checkpoint's
 generation, and only the newest generation is read.  ``compact`` folds the
-epochs so far into one, so reading does not slow down with the query's age.
+epochs so far into one snapshot, so reading does not slow down with the query's
+age; readers see every row at any moment of it.
 
 Count-distinct is not allowed on a stream; the enrollment-day grouping
 itself gives the distinct days.  State and checkpoints live under the
@@ -26,13 +27,17 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cohortlens.operators.features import KEYS, activity_from_daily, daily_clicks, typed_clicks
-from cohortlens.session import scratch_path, shared_checkpoint_dir
+from cohortlens.session import shared_checkpoint_dir
+from cohortlens.sources import snapshots
 from cohortlens.sources.schemas import SCHEMAS
+from cohortlens.streaming.epochs import EpochTable, numbers
 
 DAY_KEYS = [*KEYS, "date"]
+DAY_VALUES = ["clicks", "forum", "quiz", "resource"]
 
 
 # Files per micro-batch: bounds the work of one batch when a backlog arrives.
@@ -51,40 +56,43 @@ def click_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: in
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _listed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of the sub-folders ``prefix<number>``, through the folder's own file system."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(context._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    names = [x.getPath().getName() for x in store.listStatus(path)]
-    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _generation(spark: SparkSession, out_dir: str, checkpoint: str) -> int:
-    """The checkpoint's own number; a checkpoint without one gets the next and notes it."""
-    noted = _listed(spark, os.path.join(checkpoint, "generation"), "g")
+def generation(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """The checkpoint's own number under ``folder``; a checkpoint without one gets the next and notes it."""
+    noted = numbers(spark, os.path.join(checkpoint, "generation"), "g")
     if noted:
         return noted[-1]
-    number = max([-1, *_listed(spark, os.path.join(out_dir, "updates"), "generation=")]) + 1
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint, "generation", f"g{number}"))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+    number = max([-1, *numbers(spark, folder, "generation=")]) + 1
+    snapshots.created(spark, os.path.join(checkpoint, "generation", f"g{number}"))
     return number
 
 
-def _write_updates(folder: str):
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(folder, f"epoch={int(epoch_id)}"))
+def newest(spark: SparkSession, folder: str) -> str:
+    """The folder of the newest generation."""
+    return os.path.join(folder, f"generation={numbers(spark, folder, 'generation=')[-1]}")
+
+
+def day_table(spark: SparkSession, folder: str, bucketed: bool = False) -> EpochTable:
+    """Enrollment-day totals by epoch; a bucketed one has a ``bucket`` that readers prune by."""
+    fields = [SCHEMAS["student_vle"][c] for c in DAY_KEYS] + [T.StructField(c, T.LongType()) for c in DAY_VALUES]
+    if not bucketed:
+        return EpochTable(spark, folder, T.StructType(fields))
+    return EpochTable(spark, folder, T.StructType([*fields, T.StructField("bucket", T.IntegerType())]), ("bucket",))
 
-    return write
+
+def with_rocksdb(spark: SparkSession, start):
+    """Starts a query whose state is kept in RocksDB, unless the session names a store; the setting is put back."""
+    own = spark.conf.get(PROVIDER, None)
+    default = own is None or own.endswith("HDFSBackedStateStoreProvider")
+    if default:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return start()
+    finally:
+        if default:
+            spark.conf.unset(PROVIDER) if own is None else spark.conf.set(PROVIDER, own)
 
 
 def start_activity_refresh(
@@ -99,55 +107,39 @@ def start_activity_refresh(
 ) -> StreamingQuery:
     """Start the refresh query (``availableNow`` drains what is there and stops)."""
     checkpoint = checkpoint or os.path.join(shared_checkpoint_dir(spark), "streams", "activity_refresh")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    folder = os.path.join(out_dir, "updates", f"generation={_generation(spark, out_dir, checkpoint)}")
+    updates = os.path.join(out_dir, "updates")
+    days = day_table(spark, os.path.join(updates, f"generation={generation(spark, updates, checkpoint)}"))
     daily = daily_clicks(typed_clicks(click_stream(spark, source_dir, max_files_per_trigger), vle))
     writer = (
         daily.writeStream.outputMode("update")
-        .foreachBatch(_write_updates(folder))
+        .foreachBatch(lambda batch, epoch: days.write(batch, epoch))
         .option("checkpointLocation", checkpoint)
         .queryName("activity_refresh")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return writer.start()
-
-
-def _newest(spark: SparkSession, out_dir: str) -> str:
-    generations = _listed(spark, os.path.join(out_dir, "updates"), "generation=")
-    return os.path.join(out_dir, "updates", f"generation={generations[-1]}")
+    return with_rocksdb(spark, writer.start)
 
 
-def _latest_rows(updates: DataFrame) -> DataFrame:
+def latest_days(updates: DataFrame) -> DataFrame:
+    """The latest row of each enrollment-day."""
     # An epoch holds one row per enrollment-day, so taking each total from
     # the latest epoch separately gives the latest row; fixed-width values
     # keep this a hash aggregate.
-    return updates.groupBy(*DAY_KEYS).agg(*[F.max_by(c, "epoch").alias(c) for c in ("clicks", "forum", "quiz", "resource")])
+    keys = [*DAY_KEYS, *(c for c in updates.columns if c == "bucket")]
+    return updates.groupBy(*keys).agg(*[F.max_by(c, "epoch").alias(c) for c in DAY_VALUES])
 
 
 def current_daily(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest state row per enrollment-day across the newest generation's epochs."""
-    return _latest_rows(spark.read.parquet(_newest(spark, out_dir)))
+    return latest_days(day_table(spark, newest(spark, os.path.join(out_dir, "updates"))).rows())
 
 
-def compact(spark: SparkSession, out_dir: str, keep: int = 1) -> None:
-    """Fold all epochs but the last ``keep`` into one, under the number of the last folded epoch.
+def compact(spark: SparkSession, out_dir: str, keep: int = 1, wait_seconds: float = 0.0) -> None:
+    """Fold all epochs but the last ``keep`` into one snapshot.
 
-    For the time between two runs of the query.  The folded rows are written
-    beside the epochs first; a run that breaks off leaves the epochs, or a
-    folded copy that holds the same rows.
+    Folders that it replaces stay for ``wait_seconds``, for readers that still use them.
     """
-    folder = _newest(spark, out_dir)
-    epochs = _listed(spark, folder, "epoch=")
-    old = epochs[: len(epochs) - keep]
-    if len(old) < 2:
-        return
-    rows = spark.read.option("basePath", folder).parquet(*(os.path.join(folder, f"epoch={e}") for e in old))
-    # written under the shared folder first, as the last old epoch is read and replaced
-    aside = scratch_path(spark, "compact")
-    _latest_rows(rows).write.parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(os.path.join(folder, f"epoch={old[-1]}"))
-    for e in old[:-1]:
-        _delete(spark, os.path.join(folder, f"epoch={e}"))
+    day_table(spark, newest(spark, os.path.join(out_dir, "updates"))).fold(latest_days, keep, wait_seconds)
 
 
 def current_activity(spark: SparkSession, out_dir: str, courses: DataFrame) -> DataFrame:
