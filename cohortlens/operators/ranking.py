@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.expressions import clamp_tier
 from cohortlens.functions.positions import TOPK_ROWS, ordered_slice
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
+from cohortlens.sources.sorted_store import SortedStore, write_sorted
 
 # Fields the student table can be sorted by, and page sizes.
 SORT_FIELDS = [
@@ -140,6 +141,26 @@ def student_page(
     )
 
 
+def store_sorted(rows: DataFrame, root: str, sort_by: str = "risk", order: str = "desc") -> None:
+    """Stores the rows in a table order, once, for ``stored_page``."""
+    write_sorted(rows, sort_keys(sort_by, order), root)
+
+
+def stored_page(store: SortedStore, page: int = 1, page_size: int = 50) -> DataFrame:
+    """``student_page`` from rows stored in its order: a page at any depth reads the parts that hold it."""
+    if page_size not in PAGE_SIZES:
+        page_size = 50
+    total = store.total()
+    page, total_pages = page_bounds(total, page, page_size)
+    return (
+        store.slice((page - 1) * page_size, page_size)
+        .withColumn("position", F.col("position").cast("int"))
+        .withColumn("page", F.lit(page))
+        .withColumn("total_pages", F.lit(total_pages))
+        .withColumn("total_records", F.lit(total).cast("long"))
+    )
+
+
 # ── lookups and top-k ──────────────────────────────────────────────────────
 
 
@@ -155,6 +176,27 @@ def student_lookup(
     return rows.orderBy("code_module", "code_presentation").limit(1)
 
 
+def store_by_student(scored: DataFrame, root: str) -> None:
+    """Stores the rows sorted by student, module and presentation, once, for ``stored_lookup``."""
+    write_sorted(scored, [F.col(c).asc() for c in TIE_KEYS], root, key_columns=TIE_KEYS)
+
+
+def stored_lookup(store: SortedStore, student_id: str, module: str | None = None, presentation: str | None = None) -> DataFrame:
+    """``student_lookup`` by key: reads the one part that holds the student's first row.
+
+    A presentation without a module is no leading key: then all parts of the student are read.
+    """
+    key = {"id": str(student_id)}
+    if module:
+        key["code_module"] = module
+        if presentation:
+            key["code_presentation"] = presentation
+    rows = store.lookup(first_only=bool(module) or not presentation, **key)
+    if presentation:
+        rows = rows.filter(F.col("code_presentation") == presentation)
+    return rows.orderBy("code_module", "code_presentation").limit(1)
+
+
 def representative_row(scored: DataFrame) -> DataFrame:
     """One row per student: worst tier, then lowest score, module, presentation, row key.
 
@@ -212,6 +254,10 @@ __all__ = [
     "page_bounds",
     "representative_row",
     "sort_keys",
+    "store_by_student",
+    "store_sorted",
+    "stored_lookup",
+    "stored_page",
     "student_filter",
     "student_lookup",
     "student_page",

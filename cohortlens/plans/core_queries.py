@@ -20,6 +20,7 @@ from cohortlens.operators import cohort, cube, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path, shared_checkpoint_dir
+from cohortlens.sources.sorted_store import SortedStore
 from cohortlens.sources.testdata import load_source_tables
 
 KEYS_SQL = "id_student, code_module, code_presentation"
@@ -52,6 +53,8 @@ def refresh(spark: SparkSession, sf_dir: str) -> None:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     _TABLES.pop(key, None)
     _CUBES.pop(key, None)
+    for stored in [k for k in _SORTED if k[:2] == key]:
+        _SORTED.pop(stored)
     frame = _SCORED.pop(key, None)
     if frame is not None:
         frame.unpersist()
@@ -504,6 +507,22 @@ def q_student_sort(spark, sf_dir):
     return with_positions(scored_frame(spark, sf_dir), keys).withColumn("position", F.col("position").cast("int"))
 
 
+# Sorted copies of the scored rows, each written once per application and input folder when it is first asked for.
+_SORTED: dict[tuple[str, str, str, str], str] = {}
+
+
+def sorted_rows(spark: SparkSession, sf_dir: str, sort_by: str = "student", order: str = "asc") -> SortedStore:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), sort_by, order)
+    if key not in _SORTED:
+        path = scratch_path(spark, f"sorted-{sort_by}-{order}")
+        if sort_by == "student":
+            ranking.store_by_student(scored_frame(spark, sf_dir), path)
+        else:
+            ranking.store_sorted(scored_frame(spark, sf_dir), path, sort_by, order)
+        _SORTED[key] = path
+    return SortedStore(spark, _SORTED[key])
+
+
 PAGE, PAGE_SIZE = 3, 50
 
 
@@ -535,12 +554,8 @@ def q_student_page(spark, sf_dir):
     survey_ids="F2",
 )
 def q_student_page_last(spark, sf_dir):
-    """The last page (a page number past the end is clamped), numbered by the
-    distributed range sort: ``topk_rows=0`` sends every page that way, as a
-    deep page of a large table would be."""
-    return ranking.student_page(
-        scored_frame(spark, sf_dir), page=10**9, page_size=PAGE_SIZE, sort_by="clicks", order="asc", topk_rows=0
-    )
+    """The last page (a page number past the end is clamped), read from the rows stored in this order."""
+    return ranking.stored_page(sorted_rows(spark, sf_dir, "clicks", "asc"), page=10**9, page_size=PAGE_SIZE)
 
 
 LOOKUP_ID = "7"
@@ -553,7 +568,8 @@ LOOKUP_ID = "7"
     survey_ids="C6",
 )
 def q_student_lookup(spark, sf_dir):
-    return ranking.student_lookup(scored_frame(spark, sf_dir), LOOKUP_ID)
+    """From the rows stored by student: one part of them is read."""
+    return ranking.stored_lookup(sorted_rows(spark, sf_dir), LOOKUP_ID)
 
 
 @register(

@@ -60,14 +60,14 @@ def _pointers(spark: SparkSession, root: str) -> list[Snapshot]:
     return sorted(found)
 
 
-def publish(df: DataFrame, root: str, note: str = "", partition_by: list[str] | None = None) -> Snapshot:
-    """Writes ``df`` as the next version and makes it current."""
+def publish(df: DataFrame, root: str, note: str = "", partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> Snapshot:
+    """Writes ``df`` as the next version (with the writer's ``options``) and makes it current."""
     spark = df.sparkSession
     number = max([0, *(int(n) for n, _ in listed(spark, f"{root}/claims") if n.isdigit())]) + 1
     while not created(spark, f"{root}/claims/{number}"):
         number += 1
     path = f"{root}/versions/{number}"
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).partitionBy(*(partition_by or [])).parquet(path)
     created(spark, f"{root}/pointers/{number}" + (f"-{note}" if note else ""))
     return Snapshot(number, path, note, time.time())
 
