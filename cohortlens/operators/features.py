@@ -13,7 +13,9 @@ Scale notes
   grouping itself, so no ``Expand`` of the raw rows is needed.
 * Site, course and assessment dimensions and the per-module totals get a
   size-checked broadcast, so no submission or activity row is shuffled on one
-  of their few hundred keys before it is aggregated.
+  of their few hundred keys before it is aggregated.  Site and assessment
+  dimensions beyond the bound are joined with their heavy keys apart
+  (``dimension_join``).
 * All feature groups end hash-partitioned on the enrollment keys, so the
   final left joins line up without re-shuffling the aggregates.
 """
@@ -30,7 +32,7 @@ from cohortlens.functions.expressions import (
     safe_ratio,
     week_index,
 )
-from cohortlens.functions.joins import bounded_broadcast
+from cohortlens.functions.joins import bounded_broadcast, dimension_join
 from cohortlens.sources.schemas import ENROLLMENT_KEYS
 
 KEYS = ENROLLMENT_KEYS
@@ -69,10 +71,9 @@ def _clicks_of(types: list[str]):
 
 
 def typed_clicks(student_vle: DataFrame, vle: DataFrame) -> DataFrame:
-    """Click rows with their site's activity type (size-checked broadcast)."""
-    return student_vle.select(*KEYS, "id_site", "date", "sum_click").join(
-        bounded_broadcast(vle.select("id_site", "activity_type")), "id_site", "left"
-    )
+    """Click rows with their site's activity type."""
+    clicks = student_vle.select(*KEYS, "id_site", "date", "sum_click")
+    return dimension_join(clicks, vle.select("id_site", "activity_type"), "id_site")
 
 
 def daily_clicks(typed: DataFrame) -> DataFrame:
@@ -143,13 +144,8 @@ def assessment_features(student_assessment: DataFrame, assessments: DataFrame) -
     submissions = student_assessment.filter(F.col("is_banked") == 0).select(
         "id_assessment", "id_student", "date_submitted", "score"
     )
-    joined = submissions.join(
-        bounded_broadcast(
-            assessments.select("id_assessment", "code_module", "code_presentation", "weight", "date", "assessment_type")
-        ),
-        "id_assessment",
-        "left",
-    )
+    assessment = assessments.select("id_assessment", "code_module", "code_presentation", "weight", "date", "assessment_type")
+    joined = dimension_join(submissions, assessment, "id_assessment")
     score, weight = F.col("score"), F.col("weight")
     scores = joined.groupBy(*KEYS).agg(
         F.avg(score).alias("avg_score"),
@@ -182,11 +178,8 @@ def assessment_features(student_assessment: DataFrame, assessments: DataFrame) -
 def score_by_type(student_assessment: DataFrame, assessments: DataFrame) -> DataFrame:
     """Average score per enrollment and assessment type (long form)."""
     submissions = student_assessment.filter(F.col("is_banked") == 0).select("id_assessment", "id_student", "score")
-    joined = submissions.join(
-        bounded_broadcast(assessments.select("id_assessment", "code_module", "code_presentation", "assessment_type")),
-        "id_assessment",
-        "inner",
-    )
+    assessment = assessments.select("id_assessment", "code_module", "code_presentation", "assessment_type")
+    joined = dimension_join(submissions, assessment, "id_assessment", "inner")
     return joined.groupBy(*KEYS, "assessment_type").agg(
         F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("n_submissions")
     )

@@ -2,7 +2,9 @@
 
 The feature joins assume unique enrollment keys and drop submissions whose
 assessment is unknown; these checks make both visible.  Duplicate counts are
-``groupBy(...).count()`` (partial aggregation), orphans are left-anti joins.
+``groupBy(...).count()`` (partial aggregation).  Orphans are counted per key
+first, map-side, and the distinct keys alone are anti-joined, so a hot key is
+one row of the join.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ def _duplicates(df: DataFrame, keys: list[str], table: str) -> DataFrame:
 
 
 def _orphans(df: DataFrame, ref: DataFrame, keys: list[str], table: str, check: str) -> DataFrame:
-    missing = df.select(*keys).join(ref.select(*keys).distinct(), keys, "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias("rows")).select(
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    missing = counts.join(ref.select(*keys).distinct(), keys, "left_anti")
+    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows")).select(
         F.lit(table).alias("table"), F.lit(check).alias("check"), F.lit(None).cast("long").alias("groups"), "rows"
     )
 

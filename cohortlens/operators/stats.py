@@ -1,18 +1,19 @@
 """Feature statistics per tier: histogram, box-plot quantiles, correlations.
 
-All three start from the scored frame in long form ``(risk, field, v)``
-(``unpivot``), keep valid values only (present, not NaN, not negative) and
-run as distributed aggregations: exact quantiles come from
-``exact_percentiles`` (a range sort, no per-group collection) and the
-correlation matrix is one aggregate holding 171 small moment buffers.
+All three keep valid values only (present, not NaN, not negative).  Histogram
+and box plot start from the scored frame in long form ``(risk, field, v)``
+(``unpivot``); their exact quantiles come from ``exact_percentiles`` (sketched
+brackets, one count, a thin slice).  The correlation matrix is a sum of one
+block of Gram sums for each partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import fixed, valid_number
@@ -22,6 +23,8 @@ from cohortlens.operators.scoring import SCORED_FEATURES
 HISTOGRAM_BUCKETS = 20
 # Box-plot percentiles (p1, quartiles, p99) and their names.
 BOX_PERCENTILES = {"min": 0.01, "q1": 0.25, "median": 0.50, "q3": 0.75, "max": 0.99}
+#: A variance below this part of the mean square is taken for rounding.
+CONSTANT_SHARE = 1e-12
 DEFAULT_BOX_FIELDS = SCORED_FEATURES[:6]
 
 
@@ -112,31 +115,71 @@ def feature_boxplot(scored: DataFrame, fields: Sequence[str] = DEFAULT_BOX_FIELD
     )
 
 
+def _gram_sums(centres: Sequence[float]):
+    """Masked Gram sums of one partition: joint counts, sums, squares and products of the centred fields, one row."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, middle = len(centres), np.array(centres)
+
+    def run(batches):
+        sums = np.zeros((4, n, n))
+        for batch in batches:
+            x = np.empty((batch.num_rows, n))
+            for j in range(n):
+                x[:, j] = batch.column(j).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            there = x >= 0  # a NaN compares false
+            x = np.where(there, x - middle, 0.0)
+            mask = there.astype(np.float64)
+            sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
 def feature_correlation(scored: DataFrame, fields: Sequence[str] = SCORED_FEATURES) -> DataFrame:
     """Pearson r for every field pair (upper triangle), pairwise complete.
 
     A pair uses the rows where both values are valid.  A constant or empty
-    pair gives 0 instead of a division error.  Each row's valid values form
-    one array; two ``posexplode`` steps turn it into ``(a, b, x, y)`` rows for
-    ``a < b`` (bounded by the field count, not the data), grouped by pair:
-    three moment aggregates with map-side partial aggregation, so the shuffle
-    carries one small buffer per pair and map task.
+    pair gives 0 instead of a division error.  Each partition returns one block
+    of masked Gram sums (matrix products over its rows); blocks are merged by
+    addition, so no row is multiplied and only the blocks are shuffled.  Values
+    are centred at the fields' means first, which keeps the sums stable.
     """
     fields = list(fields)
-    masked = F.array(*[F.when(valid_number(F.col(f).cast("double")), F.col(f).cast("double")) for f in fields])
-    per_row = scored.select(masked.alias("vals"))
-    first = per_row.select(F.posexplode("vals").alias("a", "x"), "vals").filter(F.col("x").isNotNull())
-    pairs = first.select("a", "x", F.posexplode("vals").alias("b", "y")).filter(
-        (F.col("b") > F.col("a")) & F.col("y").isNotNull()
-    )
-    moments = pairs.groupBy("a", "b").agg(
-        F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
+    spark, n = scored.sparkSession, len(fields)
+    wide = scored.select(*(F.col(f).cast("double").alias(f) for f in fields))
+    valid = [F.when(valid_number(F.col(f)), F.col(f)) for f in fields]
+    means = wide.agg(*(F.coalesce(F.avg(v), F.lit(0.0)).alias(f) for f, v in zip(fields, valid, strict=True))).first()
+    centres = [float(m) if math.isfinite(m) else 0.0 for m in means]
+    blocks = wide.mapInArrow(_gram_sums(centres), "sums array<double>")
+    merged = blocks.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    # one row for each of the four numbers of a pair of fields, in either order
+    cell = F.col("at") % (n * n)
+    kind, a, b = F.floor(F.col("at") / (n * n)), F.floor(cell / n), cell % n
+    i, j = F.least(a, b).cast("int").alias("a"), F.greatest(a, b).cast("int").alias("b")
+    first = a <= b
+
+    def of(k: int, forward: bool = True) -> Column:
+        return F.max(F.when((kind == k) & (first if forward else ~first), F.col("x")))
+
+    moments = merged.filter(a != b).groupBy(i, j).agg(
+        of(0).alias("n"), of(1).alias("sx"), of(1, False).alias("sy"), of(2).alias("sxx"), of(2, False).alias("syy"), of(3).alias("sxy")
     )
-    names = scored.sparkSession.createDataFrame(
-        [(i, j, fields[i], fields[j]) for i, j in combinations(range(len(fields)), 2)],
+    both = F.col("n")
+    cov = F.try_divide(F.col("sxy"), both) - F.try_divide(F.col("sx"), both) * F.try_divide(F.col("sy"), both)
+
+    def deviation(total: str, squares: str) -> Column:
+        mean_square = F.try_divide(F.col(squares), both)
+        variance = mean_square - F.pow(F.try_divide(F.col(total), both), 2)
+        # what rounding leaves of a constant field is no deviation
+        return F.when(variance > mean_square * CONSTANT_SHARE, F.sqrt(variance)).otherwise(0.0)
+
+    names = spark.createDataFrame(
+        [(i, j, fields[i], fields[j]) for i, j in combinations(range(n), 2)],
         "a int, b int, feature_x string, feature_y string",
     )
-    r = F.coalesce(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(cov, deviation("sx", "sxx") * deviation("sy", "syy")), F.lit(0.0))
     # Both sides hold at most one row per pair; the moments are the build side
     # so the left outer join (pairs without valid rows give 0) needs no shuffle.
     return names.join(F.broadcast(moments), ["a", "b"], "left").select("feature_x", "feature_y", r.alias("r"))

@@ -77,7 +77,10 @@ def rule_predictions(features: DataFrame) -> DataFrame:
 def evaluations(features: DataFrame) -> DataFrame:
     """Typed evaluation rows of all rules and runs, metrics not yet rounded."""
     spark = features.sparkSession
-    preds = rule_predictions(features)
+    # written once: three branches and their range sorts read the predictions, not the feature pipeline
+    path = scratch_path(spark, "rule-predictions")
+    rule_predictions(features).write.parquet(path)
+    preds = spark.read.parquet(path)
     keys = ["name", "position", "run_id"]
     folds = evaluation.rank_sum_auc(preds.filter("cross_validated"), [*keys, "fold"])
     cross = folds.groupBy(*keys).agg((F.sum(F.coalesce("auc", F.lit(0.0))) / FOLDS).alias("cv_auc"))

@@ -43,14 +43,42 @@ def test_click_features_broadcast_the_site_dimension(spark):
     assert "BroadcastHashJoin" in plan and "BroadcastExchange" in plan
 
 
-def test_correlation_pairs_are_combined_before_the_shuffle(spark):
-    # The pair rows (up to 171 per enrollment) must meet a partial aggregate
-    # in the same stage: only one moment buffer per pair and task is shuffled.
+def test_correlation_multiplies_no_row(spark):
+    # One block of Gram sums leaves each partition: nothing is generated below the first Python step.
     plan = _plan(REGISTRY["feature_correlation"].build(spark, SF_SMALL))
-    lines = [line for line in plan.splitlines() if any(k in line for k in ("Generate", "Exchange", "HashAggregate"))]
-    first_generate = next(i for i, line in enumerate(lines) if "Generate" in line)
-    above = lines[first_generate - 1]
-    assert "HashAggregate" in above and "partial_covar_pop" in above
+    lines = [line for line in plan.splitlines() if any(k in line for k in ("Generate", "Exchange", "MapInArrow"))]
+    step = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any("Generate" in line or "Exchange" in line for line in lines[step + 1 :])
+
+
+def test_a_hot_site_beyond_the_broadcast_bound_is_in_no_task_alone(spark):
+    """Half of all clicks on one site, some without a site, some sites twice in the dimension: no partition over twice the median."""
+    from pyspark.sql import functions as F
+
+    from cohortlens.functions import joins
+
+    n = 200_000
+    site = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 20 == 1, None).otherwise(F.col("id") % 5000)
+    fact = spark.range(n).repartition(8).select(site.cast("long").alias("id_site"), (F.col("id") % 9).alias("sum_click"))
+    dim = spark.range(4000).union(spark.range(7, 9)).select(F.col("id").alias("id_site"), F.concat(F.lit("t"), F.col("id") % 3).alias("activity_type"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = joins.dimension_join(fact, dim, "id_site", max_bytes=0)
+        plain = fact.join(dim, "id_site", "left")
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        worst = sorted(r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect())
+        same = got.groupBy("id_site", "activity_type", "sum_click").count().exceptAll(plain.groupBy("id_site", "activity_type", "sum_click").count())
+        assert same.isEmpty() and got.count() == plain.count()
+        inner = joins.dimension_join(fact, dim, "id_site", "inner", max_bytes=0)
+        assert inner.count() == fact.join(dim, "id_site").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    median = sizes[len(sizes) // 2]
+    assert sizes[-1] <= 2 * median < worst[-1]
 
 
 def test_clicks_are_combined_per_enrollment_day_before_the_shuffle(spark):
