@@ -7,8 +7,9 @@ of a language is the mean of its letter positions' probabilities, over the whole
 
 The network is trained in numpy by backpropagation through time, on the driver,
 from a bounded sample of labelled documents: ``PER_LANGUAGE`` documents of each
-language in expectation, chosen by a hash of their id, and at most
-``SEGMENTS_PER_DOCUMENT`` segments of each, spread over the text.  Prediction
+language in expectation, chosen by a hash of their id and text, at most
+``SEGMENTS_PER_DOCUMENT`` segments of each, spread over the text, and at most
+``SEGMENTS_PER_LANGUAGE`` segments of a language.  Every label is learned.  Prediction
 runs in the tasks over whole texts, in blocks of ``BLOCK`` segments.
 
 Edge cases: a null text and a text without letters get ``und`` with score 0; a
@@ -25,17 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import ship_package, text_bytes, text_steps, with_columns
+from cohortlens.llm.common import checkpointed, ship_package, text_bytes, text_steps, with_columns
 
 SEGMENT, HIDDEN, BLOCK = 64, 16, 4096
 PER_LANGUAGE, SEGMENTS_PER_DOCUMENT = 1000, 3
-#: The network has this many labels at most, the most frequent ones.
-LANGUAGES = 256
-#: A language's sample is cut to this many segments (the smallest hashes stay).
+#: A language's sample is cut to this many segments (the smallest hashes stay) before it reaches the driver.
 SEGMENTS_PER_LANGUAGE = 3000
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 20
 UNKNOWN = "und"
@@ -208,18 +207,19 @@ def train_language_id(labelled: DataFrame, id_col: str = "doc_id", text_col: str
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     )
     rows = rows.filter(F.col("_text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = checkpointed(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    place = F.xxhash64(F.col("_id").cast("string"), "_text")
+    # one row for each label, all of which the network holds
+    sample = rows.withColumn("place", place).join(F.broadcast(counts), "lang").filter(F.pmod("place", F.lit(1 << 20)) * F.col("n") < PER_LANGUAGE * (1 << 20))
+    segments = sample.select("_id", "_text", "lang", "place").mapInArrow(_sampled_segments, "lang string, place long, nth long, segment binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "nth", "segment"))
+    found = segments.withColumn("rank", first).filter(F.col("rank") <= SEGMENTS_PER_LANGUAGE).collect()
+    if not found:
         return Network.fresh([])
-    place = F.xxhash64(F.col("_id").cast("string"))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    sample = rows.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
-    found = sample.select("_id", "_text", "lang", "place").mapInArrow(_sampled_segments, "lang string, place long, nth long, segment binary").collect()
-    languages = sorted(counts)
-    rows = []
-    for lang in languages:
-        rows += sorted((r.place, r.nth, bytes(r.segment), lang) for r in found if r.lang == lang)[:SEGMENTS_PER_LANGUAGE]
-    return train_network(languages, [r[2] for r in rows], np.array([languages.index(r[3]) for r in rows]))
+    languages = sorted(r.lang for r in counts.select("lang").collect())
+    index = {lang: j for j, lang in enumerate(languages)}
+    rows = sorted((r.lang, r.place, r.nth, bytes(r.segment)) for r in found)
+    return train_network(languages, [r[3] for r in rows], np.array([index[r[0]] for r in rows]))
 
 
 def document_probabilities(net: Network, texts: pa.Array) -> np.ndarray:

@@ -19,7 +19,7 @@ from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
 from cohortlens.llm.spelling_variants import letter_runs, pieces, spelling_variants
 from cohortlens.llm.substring_dedup import substring_dedup
 from cohortlens.llm.token_counts import token_counts
-from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, turns_as_calls, turns_as_messages
+from cohortlens.llm.tool_calls import chat_messages, turns_as_messages
 
 QUERIES, ORACLES = {}, {}
 TOKEN_LIMIT = 1024
@@ -134,9 +134,9 @@ def _parts_sql(kind: str, rank: int, pattern: str, test: str) -> str:
     """Spans of a pattern: the texts between its matches and the matches alternate."""
     pattern = pattern.replace("'", "''")
     at = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)"
-    return f"""SELECT doc_id, CAST({at} AS BIGINT) AS s, {rank} AS rank, '{kind}' AS kind, CAST({at} AS BIGINT) + length(ms[i]) AS e
-    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS ms, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps
-          FROM documents), unnest(range(1, len(ms) + 1)) AS r(i) WHERE {test.format(m='ms[i]', p=pattern)}"""
+    return f"""SELECT r, CAST({at} AS BIGINT) AS s, {rank} AS rank, '{kind}' AS kind, CAST({at} AS BIGINT) + length(ms[i]) AS e
+    FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps
+          FROM d), unnest(range(1, len(ms) + 1)) AS m(i) WHERE {test.format(m='ms[i]', p=pattern)}"""
 
 
 _KINDS = [
@@ -147,23 +147,24 @@ _KINDS = [
     ("endpoint", "(?:https?|s3|jdbc:[a-z]+|ftp)://[A-Za-z0-9.:@/_-]+", "length({m}) >= 10"),
 ]
 ORACLES["op7_secret_scan"] = f"""
-WITH parts AS ({" UNION ALL ".join(_parts_sql(k, i, p, t) for i, (k, p, t) in enumerate(_KINDS))}),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS ({" UNION ALL ".join(_parts_sql(k, i, p, t) for i, (k, p, t) in enumerate(_KINDS))}),
 linked AS (
-  SELECT DISTINCT w.* FROM parts w JOIN parts q ON w.doc_id = q.doc_id AND w.rank > 2 AND q.rank < 3 AND (w.kind = 'endpoint' OR q.kind = 'access')
+  SELECT DISTINCT w.* FROM parts w JOIN parts q ON w.r = q.r AND w.rank > 2 AND q.rank < 3 AND (w.kind = 'endpoint' OR q.kind = 'access')
     AND q.s < w.e + {SCOPE} AND q.e > w.s - {SCOPE} AND (q.s >= w.e OR q.e <= w.s)
 ),
 spans AS (
-  SELECT doc_id, rank < 3 AS base, s, rank, kind || ':' || s || ':' || e AS t, kind FROM parts WHERE rank < 3
-  UNION ALL SELECT doc_id, false, s, rank, kind || ':' || s || ':' || e, kind FROM linked
+  SELECT r, rank < 3 AS base, s, rank, kind || ':' || s || ':' || e AS t, kind FROM parts WHERE rank < 3
+  UNION ALL SELECT r, false, s, rank, kind || ':' || s || ':' || e, kind FROM linked
 ),
 sums AS (
-  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
          count(*) FILTER (NOT base) AS n_linked, string_agg(t, ',' ORDER BY s, rank) FILTER (base) AS b, string_agg(t, ',' ORDER BY s, rank) AS a
-  FROM spans GROUP BY doc_id
+  FROM spans GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_linked, 0) AS n_linked,
        sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
-FROM documents LEFT JOIN sums USING (doc_id)
+FROM d LEFT JOIN sums USING (r)
 """
 
 
@@ -203,30 +204,10 @@ REPLY = {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}
 
 @query
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
-
-
-ORACLES["op8_chat_formatting"] = """
-WITH calls AS (
-  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, 'reply' AS name, text FROM conversations WHERE role = 'user'
-), answers AS (
-  SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min({'turn': turn, 'content': text}) AS answer
-  FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
-)
-SELECT c.conv_id, c.turn, c.call_id, c.name, a.answer IS NOT NULL AS answered, a.answer.turn AS answer_turn,
-       c.text IS NOT NULL AS valid, c.turn AS position, 0 AS bump, false AS cyclic,
-       to_json({'arguments': {'prompt': c.text, 'turn': c.turn}, 'id': c.call_id, 'name': c.name, 'result': a.answer.content})::varchar AS json
-FROM calls c LEFT JOIN answers a USING (conv_id, call_id)
-"""
-
-
-@query
-def every_chat_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message, where op8_chat_formatting has the calls alone."""
     return chat_messages(turns_as_messages(table(spark, sf_dir, "conversations")), REPLY)
 
 
-ORACLES["every_chat_message"] = """
+ORACLES["op8_chat_formatting"] = """
 WITH RECURSIVE m AS (SELECT *, ((length(text) + turn) % 8 + 8) % 8 AS k FROM conversations),
 calls AS (
   SELECT conv_id, turn, role, text, conv_id || '-' || turn AS call_id,

@@ -11,13 +11,15 @@ stretch of one document, and the join is a semi-join: no pairs come out.
 
 Spark's functions give matches without their places, so places are summed up:
 the pieces between matches (``split``) and the matches (``regexp_extract_all``)
-alternate, and their lengths in code points give every start and end.  Spans
-cover the whole match; ends are exclusive.
+alternate, and their lengths in code points give every start and end, in
+chunks of ``CHUNK`` matches, so the time of a long text grows in proportion to
+it.  Spans cover the whole match; ends are exclusive.  All patterns run once;
+the spans are written, and the join reads them.
 
 Edge cases: null text counts as empty and has no spans; equal spans of
-different kinds are reported for each kind; repeated rows of one id are
-scanned one by one for base spans and share their links; an empty table gives
-an empty result; other columns are not read.
+different kinds are reported for each kind; every row is scanned and linked by
+itself, also rows that share an id or have none; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import checkpointed
+
 SCOPE = 400
+#: Matches that one step sums up.
+CHUNK = 256
 #: Kind, pattern, and the test a match must pass, in the order in which equal starts are reported (fixed values).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = [
@@ -40,6 +46,7 @@ WEAK = [
 ]
 #: What must stand in the scope of a weak candidate: an identifier for a key, a secret for an endpoint.
 COMPLEMENTS = {"key40": ["access"], "endpoint": ["assign", "access", "hex"]}
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 _ORDER = {kind: k for k, (kind, _, _) in enumerate(BASE + WEAK)}
 
 
@@ -48,8 +55,10 @@ def _spans(text: Column, kind: str, pattern: str, passes) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    span = "struct<start:int,rank:int,kind:string,end:int>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def length(x: Column) -> Column:
+        return x["gap"] + F.length(x["m"])
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -57,8 +66,31 @@ def _spans(text: Column, kind: str, pattern: str, passes) -> Column:
         one = F.struct(start.alias("start"), F.lit(_ORDER[kind]).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(passes(x["m"]), F.concat(state["spans"], F.array(one))).otherwise(state["spans"]).alias("spans"))
 
+    def walked(steps: Column) -> Column:
+        return F.aggregate(steps, zero, step)["spans"]
+
+    def chunk(steps: Column, i: Column) -> Column:
+        return F.slice(steps, i * CHUNK + 1, F.lit(CHUNK))
+
+    def in_chunks(steps: Column) -> Column:
+        """Each chunk is walked from 0 and then moved to where it starts: arrays grow within a chunk alone."""
+        chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int"))
+        sums = F.transform(chunks, lambda i: F.aggregate(chunk(steps, i), F.lit(0), lambda s, x: s + length(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+        moved = F.zip_with(
+            chunks,
+            F.slice(starts, 1, F.size(chunks)),
+            lambda i, at: F.transform(
+                walked(chunk(steps, i)),
+                lambda s: F.struct((s["start"] + at).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + at).alias("end")),
+            ),
+        )
+        return F.flatten(moved)
+
+    # one value bound to a name: the array of matches is made once, however often it is read
+    spans = F.element_at(F.transform(F.array(steps), lambda s: F.when(F.size(s) > CHUNK, in_chunks(s)).otherwise(walked(s))), 1)
     # a text without a match skips the walk
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step)["spans"]).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def span_text(spans: Column) -> Column:
@@ -69,27 +101,27 @@ def span_text(spans: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, one array of spans for each base kind, and ``linked``: the weak spans that a complementary part confirms."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    base = rows.select("doc_id", *(_spans(F.col("_text"), *kind).alias(kind[0]) for kind in BASE))
-
-    weak = rows.filter(F.col("_text").rlike("|".join(p for _, p, _ in WEAK)))
-    weak = weak.select("doc_id", F.explode(F.concat(*(_spans(F.col("_text"), *kind) for kind in WEAK))).alias("s")).distinct()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("_text"))
+    spans = [_spans(F.col("_text"), *kind).alias(kind[0]) for kind in BASE]
+    weak = F.concat(*(_spans(F.col("_text"), *kind) for kind in WEAK)).alias("weak")
+    # numbered when written: a number tells rows apart that share an id
+    rows = checkpointed(rows.select("doc_id", *spans, weak).withColumn("_row", F.monotonically_increasing_id()))
+
+    candidates = rows.filter(F.size("weak") > 0)
+    weak = candidates.select("_row", F.explode("weak").alias("s"))
     cells = F.sequence(F.floor((F.col("s.start") - SCOPE) / SCOPE), F.floor((F.col("s.end") + SCOPE) / SCOPE))
-    weak = weak.select("doc_id", "s", F.explode(cells).alias("cell"))
-
-    quick = "AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)"
-    parts = rows.filter(F.col("_text").rlike("|".join(p for _, p, _ in WEAK)) & F.col("_text").rlike(quick))
-    parts = parts.select("doc_id", F.explode(F.concat(*(_spans(F.col("_text"), *kind) for kind in BASE))).alias("p"))
-    parts = parts.select("doc_id", "p", F.explode(F.sequence(F.floor(F.col("p.start") / SCOPE), F.floor((F.col("p.end") - 1) / SCOPE))).alias("cell"))
+    weak = weak.select("_row", "s", F.explode(cells).alias("cell"))
+    parts = candidates.select("_row", F.explode(F.concat(*(F.col(kind) for kind, _, _ in BASE))).alias("p"))
+    parts = parts.select("_row", "p", F.explode(F.sequence(F.floor(F.col("p.start") / SCOPE), F.floor((F.col("p.end") - 1) / SCOPE))).alias("cell"))
     wants = F.lit(False)
     for kind, complements in COMPLEMENTS.items():
         wants = wants | ((F.col("s.kind") == kind) & F.col("p.kind").isin(complements))
     near = (F.col("p.start") < F.col("s.end") + SCOPE) & (F.col("p.end") > F.col("s.start") - SCOPE)
     apart = (F.col("p.start") >= F.col("s.end")) | (F.col("p.end") <= F.col("s.start"))
     linked = weak.alias("w").join(
-        parts.alias("q"), (F.col("w.doc_id") == F.col("q.doc_id")) & (F.col("w.cell") == F.col("q.cell")) & wants & near & apart, "left_semi"
+        parts.alias("q"), (F.col("w._row") == F.col("q._row")) & (F.col("w.cell") == F.col("q.cell")) & wants & near & apart, "left_semi"
     )
-    linked = linked.select("doc_id", "s").distinct().groupBy("doc_id").agg(F.collect_list("s").alias("linked"))
-    out = base.join(linked, "doc_id", "left")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return out.withColumn("linked", F.coalesce("linked", none))
+    linked = linked.select("_row", "s").distinct().groupBy("_row").agg(F.collect_list("s").alias("linked"))
+    out = rows.drop("weak").join(linked, "_row", "left").drop("_row")
+    return out.withColumn("linked", F.coalesce("linked", F.array().cast(_SPANS)))

@@ -5,8 +5,9 @@ without an id are never answered).  A call may name earlier calls whose
 results it uses.  Calls are put in a topological order: every call starts at its own
 turn, and a call that does not stand behind all it depends on stands directly
 behind the last of them.  In a transcript whose calls refer backwards only, no
-round is needed.  In the other conversations each round places the calls whose
-dependencies all have their place, so a chain of n calls takes n rounds; calls that
+round is needed.  In the other conversations chains of calls with one dependency
+each are shortened by pointer doubling (log n rounds for n calls); then each round
+places the calls of several dependencies all of which have their place.  Calls that
 are left on or behind a cycle keep their turn and are marked.
 
 Arguments are parsed as JSON and validated against their tool's schema: the
@@ -49,6 +50,46 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.coalesce(F.when(keys.isNotNull(), out), F.lit(False))
 
 
+def _later(*keys: Column) -> Column:
+    """The last of several (position, bump) places; nulls do not count."""
+    return F.greatest(*keys) if len(keys) > 1 else keys[0]
+
+
+def _behind(position: str, bump: str, steps: Column | int) -> Column:
+    return F.struct(F.col(position).alias("position"), (F.col(bump) + steps).cast("int").alias("bump"))
+
+
+def _jumps(single: DataFrame) -> DataFrame:
+    """Calls of one dependency with the first call up their chain that has none or several.
+
+    ``single``: conv_id, call_id, up, position.  Gives ``up``, the number of ``steps`` to
+    it and the last place that the calls between ask for; pointers double, so a
+    chain of n calls takes log n rounds.  A chain that ends nowhere runs into a
+    circle: its calls come out with a null ``up``.
+    """
+    longest = single.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    inner = single.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("more"))
+    place = F.struct(F.col("position"), F.lit(0).alias("bump")).alias("place")
+    now = checkpointed(single.select("conv_id", "call_id", "up", F.lit(1).alias("steps"), place).join(inner, ["conv_id", "up"], "left"))
+    reach = 1
+    while reach <= longest and not now.filter("more").isEmpty():
+        a, b = now.alias("a"), now.alias("b")
+        far = _later(F.col("a.place"), F.when(F.col("b.place").isNotNull(), _behind("b.place.position", "b.place.bump", F.col("a.steps"))))
+        doubled = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.up") == F.col("b.call_id")) & F.col("a.more"), "left")
+        now = checkpointed(
+            doubled.select(
+                "a.conv_id",
+                F.coalesce("b.up", "a.up").alias("up"),
+                "a.call_id",
+                (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"),
+                F.coalesce(far, F.col("a.place")).alias("place"),
+                F.when(F.col("b.call_id").isNotNull(), F.col("b.more")).alias("more"),
+            )
+        )
+        reach *= 2
+    return now.withColumn("up", F.when(F.col("more").isNull(), F.col("up"))).drop("more")
+
+
 def topological_order(calls: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id``, ``position``, ``bump``, ``cyclic`` of distinct calls ``conv_id``, ``call_id``, ``turn``, ``after`` (array of ids)."""
     nodes = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("position"))
@@ -64,21 +105,58 @@ def topological_order(calls: DataFrame) -> DataFrame:
         return nodes.withColumn("cyclic", F.lit(False))
     wrong = checkpointed(wrong)
     edges = checkpointed(edges.join(wrong, "conv_id", "left_semi").select("conv_id", "from", "to"))
-    waiting = checkpointed(nodes.join(wrong, "conv_id", "left_semi"))
-    placed = nodes.join(wrong, "conv_id", "left_anti")
+    moving = checkpointed(nodes.join(wrong, "conv_id", "left_semi"))
+    placed = nodes.join(wrong, "conv_id", "left_anti").withColumn("cyclic", F.lit(False))
+
+    counts = checkpointed(edges.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count(F.lit(1)).alias("deps"), F.min("from").alias("up")))
+    single = moving.join(counts.filter("deps = 1"), ["conv_id", "call_id"]).select("conv_id", "call_id", "up", "position")
+    jumps = _jumps(checkpointed(single))
+    # calls of none or several dependencies wait for the ends of the chains that lead to them
+    rest = checkpointed(moving.join(counts.filter("deps = 1"), ["conv_id", "call_id"], "left_anti"))
+    several = edges.join(counts.filter("deps > 1").select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi")
+    chains = jumps.select("conv_id", F.col("call_id").alias("from"), "up", "steps", "place")
+    several = several.join(chains, ["conv_id", "from"], "left").select(
+        "conv_id",
+        "to",
+        F.coalesce("up", "from").alias("from"),  # a chain out of a circle is a call that never gets its place
+        (F.coalesce("steps", F.lit(0)) + 1).alias("steps"),
+        F.when(F.col("place").isNotNull(), _behind("place.position", "place.bump", 1)).alias("place"),
+    )
+    several = checkpointed(several)
+    waiting, done, rounds = rest, [], 0
     while True:
         # calls whose dependencies all have their place
-        blocked = edges.select("conv_id", F.col("to").alias("call_id")).distinct()
+        blocked = several.select("conv_id", F.col("to").alias("call_id")).distinct()
         ready = checkpointed(waiting.join(blocked, ["conv_id", "call_id"], "left_anti"))
         if ready.isEmpty():
-            return placed.withColumn("cyclic", F.lit(False)).union(waiting.withColumn("cyclic", F.lit(True)).withColumn("bump", F.lit(0)))
-        placed = placed.union(ready)
-        ends = ready.select("conv_id", F.col("call_id").alias("from"), F.struct("position", (F.col("bump") + 1).alias("bump")).alias("key"))
-        least = edges.join(ends, ["conv_id", "from"]).groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max("key").alias("key"))
+            break
+        done.append(ready)
+        rounds += 1
+        if rounds % 16 == 0:  # the union stays short however many rounds there are
+            done = [checkpointed(_union(done))]
+        ends = ready.select("conv_id", F.col("call_id").alias("from"), F.col("position").alias("p"), F.col("bump").alias("b"))
+        met = several.join(ends, ["conv_id", "from"]).select("conv_id", F.col("to").alias("call_id"), _later(_behind("p", "b", F.col("steps")), F.col("place")).alias("key"))
+        least = met.groupBy("conv_id", "call_id").agg(F.max("key").alias("key"))
         waiting = waiting.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(least, ["conv_id", "call_id"], "left")
-        key = F.greatest(F.struct("position", "bump"), F.col("key"))
+        key = _later(F.struct("position", "bump"), F.col("key"))
         waiting = checkpointed(waiting.select("conv_id", "call_id", key.alias("key")).select("conv_id", "call_id", "key.position", "key.bump"))
-        edges = checkpointed(edges.join(ends.select("conv_id", "from"), ["conv_id", "from"], "left_anti"))
+        several = checkpointed(several.join(ends.select("conv_id", "from"), ["conv_id", "from"], "left_anti"))
+    ordered = checkpointed(_union(done)) if done else rest.limit(0)
+    stuck = waiting.select("conv_id", "call_id").join(moving, ["conv_id", "call_id"]).select(*moving.columns, F.lit(True).alias("cyclic"))
+    ends = ordered.select("conv_id", F.col("call_id").alias("up"), F.col("position").alias("p"), F.col("bump").alias("b"))
+    behind = jumps.join(ends, ["conv_id", "up"], "left").join(moving.select("conv_id", "call_id", F.col("position").alias("own")), ["conv_id", "call_id"])
+    cyclic = F.col("p").isNull() & F.col("b").isNull()
+    key = _later(F.col("place"), _behind("p", "b", F.col("steps")))
+    behind = behind.select("conv_id", "call_id", F.when(~cyclic, key).alias("key"), "own", cyclic.alias("cyclic"))
+    behind = behind.select("conv_id", "call_id", F.when(F.col("cyclic"), F.col("own")).otherwise(F.col("key.position")).alias("position"), F.coalesce("key.bump", F.lit(0)).alias("bump"), "cyclic")
+    return placed.unionByName(ordered.withColumn("cyclic", F.lit(False))).unionByName(stuck).unionByName(behind)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -178,26 +256,6 @@ def _message(call: Column, answers: Column) -> Column:
     return F.struct(answers.alias("answers"), call.alias("call"), F.col("text").alias("content"), F.col("role").alias("role"), F.col("turn").alias("turn"))
 
 
-def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A plain transcript as calls and results.
-
-    A user turn is a call of the tool ``reply`` that uses the call two turns before
-    it; an assistant turn is the result of the user turn directly before it.
-    """
-    def call_id(turn: Column) -> Column:
-        return F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
-
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
-    earlier = F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = messages.filter("role = 'user'").select(
-        "conv_id", "turn", call_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), earlier.alias("after")
-    )
-    results = messages.filter("role = 'assistant'").select(
-        "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
-    )
-    return calls, results
-
-
 def turns_as_messages(messages: DataFrame) -> DataFrame:
     """A plain transcript as input of ``chat_messages``; every row stays.
 

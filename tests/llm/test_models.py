@@ -230,3 +230,43 @@ def test_lm_codes_and_shares_of_many_characters():
     assert np.allclose(wide, (h @ net["out"])[np.arange(300), codes[at]] - np.log(np.exp(h @ net["out"]).sum(1)), atol=1e-4)
     again = lm_scoring.unflat(lm_scoring.flat(net))
     assert all((again[k] == net[k]).all() for k in net)
+
+
+def test_language_id_learns_every_label(spark):
+    rows = [(i, f"text of label {i % 300} " + chr(97 + i % 26) * 5, f"l{i % 300:03}") for i in range(900)]
+    net = language_id.train_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == [f"l{i:03}" for i in range(300)]
+
+
+def test_language_sample_of_rows_without_ids_is_bounded(spark, monkeypatch):
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    monkeypatch.setattr(language_id, "train_network", lambda languages, segments, labels: seen.append(len(segments)) or language_id.Network.fresh(languages))
+    language_id.train_language_id(docs)
+    assert 500 < seen[0] <= language_id.SEGMENTS_PER_LANGUAGE
+
+
+def test_document_probabilities_equal_a_naive_forward_pass():
+    net = language_id.Network.fresh(["a", "b", "c"])
+    rng = np.random.default_rng(3)
+    texts = ["", "x", "héllo wörld " * 9, "1234", "".join(chr(97 + i) for i in rng.integers(0, 26, 200))]
+    got = language_id.document_probabilities(net, pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        total, letters = np.zeros(3), 0
+        for at in range(0, len(data), language_id.SEGMENT):
+            piece = data[at : at + language_id.SEGMENT]
+            alone = np.tile(net.w["c"].astype(float), (len(piece), 1))
+            for d, order in (("f", range(len(piece))), ("b", range(len(piece) - 1, -1, -1))):
+                h = np.zeros(language_id.HIDDEN)
+                for t in order:
+                    z, r = (1 / (1 + np.exp(-(net.w[f"x{d}{g}"][piece[t]] + h @ net.w[f"u{d}{g}"]))) for g in "zr")
+                    new = np.tanh(net.w[f"x{d}n"][piece[t]] + r * (h @ net.w[f"u{d}n"]))
+                    h = z * h + (1 - z) * new
+                    alone[t] += h @ net.w[f"o{d}"]
+            p = np.exp(alone - alone.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            inside = language_id._LETTER[piece]
+            total += p[inside].sum(0)
+            letters += inside.sum()
+        assert np.allclose(row, total / max(1, letters), atol=1e-5)

@@ -3,6 +3,7 @@
 import collections
 import json
 import random
+import time
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.decontamination import GRAM, SPAN, WINDOW, decontaminate, winnow
 from cohortlens.llm.secret_scan import SCOPE, scan_secrets, span_text
-from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, topological_order, turns_as_calls, turns_as_messages
+from cohortlens.llm.tool_calls import chat_messages, link_tool_calls, topological_order, turns_as_messages
 from tests.llm.fixtures import FOLD, edge_texts, frame
 
 
@@ -125,6 +126,31 @@ def test_secret_links_equal_brute_force_over_distances(spark):
     assert got == {d: int(d < SCOPE) for d, _ in rows}
 
 
+LINKED = "key id AKIA" + "Q" * 16 + " then " + "aB3" * 13 + "c and more"
+
+
+def test_secrets_of_rows_without_an_id_or_with_equal_ids_are_their_own(spark):
+    rows = [(1, LINKED), (None, LINKED), (None, "aB3" * 13 + "c alone"), (2, "AKIA" + "Q" * 16), (2, "x " + "aB3" * 13 + "c")]
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, len(r.access), len(r.linked)) for r in got), key=str) == sorted(
+        [(1, 1, 1), (None, 1, 1), (None, 0, 0), (2, 1, 0), (2, 0, 0)], key=str
+    )
+
+
+def test_time_of_a_text_with_many_spans_grows_in_proportion(spark):
+    def seconds(n):
+        runs = [f"{i:024x}" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(runs))], "doc_id long, text string")
+        start = time.time()
+        got = scan_secrets(docs).first()
+        assert [(s.start, s.end) for s in got.hex] == [(25 * i, 25 * i + 24) for i in range(n)]
+        return time.time() - start
+
+    seconds(100)
+    few, many = seconds(16_000), seconds(64_000)
+    assert many < 8 * few + 5
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 SCHEMAS = {"add": {"a": (("BIGINT", "DECIMAL(2,1)"), True), "b": (("BIGINT",), False)}, "say": {"text": (("STRING",), True)}}
 
@@ -170,11 +196,57 @@ def test_topological_order_moves_calls_behind_what_they_use(spark):
     assert {r.call_id for r in got if r.cyclic} == {"a", "b"} and len(got) == 19
 
 
+def places(rows):
+    """Places by walking: the last of a call's own turn and, behind each dependency, that one's place."""
+    after = {}
+    turns = {}
+    for conv, turn, call, deps in rows:
+        after.setdefault((conv, call), set()).update((conv, d) for d in deps)
+        turns[conv, call] = min(turn, turns.get((conv, call), turn))
+    after = {c: {d for d in deps if d in turns} for c, deps in after.items()}
+    done = {}
+    while True:
+        ready = [c for c in turns if c not in done and all(d in done for d in after[c])]
+        if not ready:
+            return {c: (*done[c], False) if c in done else (turns[c], 0, True) for c in turns}
+        for c in ready:
+            done[c] = max([(turns[c], 0), *((done[d][0], done[d][1] + 1) for d in after[c])])
+
+
+def ordered(spark, rows):
+    got = topological_order(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>")).collect()
+    out = {(r.conv_id, r.call_id): (r.position, r.bump, r.cyclic) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+def test_topological_order_equals_walking(spark):
+    rng = random.Random(8)
+    rows = []
+    for conv in range(60):
+        n = rng.randint(1, 14)
+        for t in range(n):
+            deps = rng.sample(range(n + 1), min(n, rng.choice([0, 1, 1, 1, 1, 2])))
+            rows.append((conv, t, f"c{t}", [f"c{d}" for d in deps]))
+    want = places(rows)
+    assert ordered(spark, rows) == want
+    assert len({c for _, _, c in want.values()}) == 2 and max(b for _, b, _ in want.values()) > 4
+
+
+def test_a_chain_of_5000_calls_takes_few_rounds(spark):
+    n = 5000
+    rows = [(1, t, str(t), [str(t + 1)]) for t in range(n)] + [(1, n, str(n), [])] + [(2, t, str(t), [str((t + 1) % 300)]) for t in range(300)]
+    start = time.time()
+    got = ordered(spark, rows)
+    assert time.time() - start < 60
+    assert all(got[1, str(t)] == (n, n - t, False) for t in range(n + 1)) and all(got[2, str(t)] == (t, 0, True) for t in range(300))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 0, None, None)], [(None, 0, "user", "x"), (1, None, "user", None), (1, 1, "assistant", None)]])
 def test_plain_transcripts_with_nulls(spark, rows):
-    calls, results = turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = link_tool_calls(calls, results, {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}).collect()
-    assert len(got) == sum(r[2] == "user" for r in rows)
+    messages = turns_as_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_messages(messages, {"reply": {"prompt": (("STRING",), True), "turn": (("BIGINT",), True)}}).collect()
+    assert len(got) == len(rows) and sum(r.name == "reply" for r in got) == sum(r[2] == "user" for r in rows)
 
 
 def test_every_message_has_a_row_and_calls_may_point_forward(spark):
