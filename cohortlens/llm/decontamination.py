@@ -22,16 +22,18 @@ it is not.
 
 Edge cases: null and empty texts, and texts without words, have no words and
 are never hit; items without words occur nowhere; equal item ids are one item;
-document rows with equal ids (or none) are one document, and each row is given
-its spans and items;
+every document row is judged by itself, also rows that share an id or have none;
 empty tables give an empty result, or clean documents; other columns are not
 read.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,10 +101,12 @@ def _document_rows(bitmap, shorts: list[int]):
     """One row per document and distinct fingerprint of the bitmap, with its places; and one with the word count."""
 
     def run(batches):
-        seen = bitmap.value
+        # rows are numbered: a number tells rows apart that share an id
+        seen, numbers = bitmap.value, itertools.count(TaskContext.get().partitionId() << 40)
         for batch in text_steps(batches):
             data, offsets = text_bytes(batch.column(1))
             h, _, _, at = words(data, offsets, WORD)
+            row = np.array([next(numbers) for _ in range(batch.num_rows)], np.int64)
             doc, key, around, places, counts = [], [], [], [], []
             for i in range(batch.num_rows):
                 own = h[at[i] : at[i + 1]]
@@ -131,15 +135,17 @@ def _document_rows(bitmap, shorts: list[int]):
                 counts.append(len(own))
             n = batch.num_rows
             lists = lambda parts: pa.array([*parts, *[None] * n], pa.list_(pa.int64()))
+            of = np.array([*doc, *range(n)], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array([*doc, *range(n)], pa.int64())),
+                    pa.array(row[of]),
+                    batch.column(0).take(pa.array(of)),
                     pa.array([*[None] * len(doc), *counts], pa.int64()),
                     pa.array([*(int(np.int64(np.uint64(x))) if x < 1 << 63 else int(x) - (1 << 64) for x in map(int, key)), *[None] * n], pa.int64()),
                     lists(around),
                     lists(places),
                 ],
-                names=["doc", "n_words", "key", "around", "places"],
+                names=["row", "doc", "n_words", "key", "around", "places"],
             )
 
     return run
@@ -169,22 +175,22 @@ def decontaminate(
     bitmap[taken] = True
     shorts = sorted(r.short for r in marks.filter("short > 0").select("short").distinct().collect())
     rows = keyed(docs, id_col, text_col).mapInArrow(
-        _document_rows(spark.sparkContext.broadcast(bitmap), shorts), f"doc {doc_kind}, n_words long, {_FINGERPRINT}, places array<long>"
+        _document_rows(spark.sparkContext.broadcast(bitmap), shorts), f"row long, doc {doc_kind}, n_words long, {_FINGERPRINT}, places array<long>"
     )
     rows = checkpointed(rows)
 
-    joined = rows.filter("key is not null").select("doc", "key", F.col("around").alias("d"), "places")
+    joined = rows.filter("key is not null").select("row", "key", F.col("around").alias("d"), "places")
     joined = joined.join(marks.select("key", F.col("around").alias("b"), "short", "items"), "key").filter("(size(d) = 0) = (short > 0)")
     left = F.when(F.col("short") > 0, 0).otherwise(F.expr(_reach(-1)))
     right = F.when(F.col("short") > 0, F.col("short")).otherwise(GRAM + F.expr(_reach(1)))
-    hits = joined.select("doc", "places", "items", "short", left.alias("left"), right.alias("right"))
+    hits = joined.select("row", "places", "items", "short", left.alias("left"), right.alias("right"))
     hits = hits.filter((F.col("short") > 0) | (F.col("left") + F.col("right") >= SPAN))
 
-    found = hits.select("doc", F.explode("items").alias("item")).distinct()
-    found = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    spans = hits.select("doc", "left", "right", F.explode("places").alias("at"))
-    spans = spans.groupBy("doc", (F.col("at") - F.col("left")).alias("first")).agg(F.max(F.col("at") + F.col("right")).alias("past"))
-    spans = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    found = hits.select("row", F.explode("items").alias("item")).distinct()
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
+    spans = hits.select("row", "left", "right", F.explode("places").alias("at"))
+    spans = spans.groupBy("row", (F.col("at") - F.col("left")).alias("first")).agg(F.max(F.col("at") + F.col("right")).alias("past"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "past"))).alias("spans"))
     # words covered by the spans, in order of their first words
     covered = F.aggregate(
         "spans",
@@ -194,11 +200,9 @@ def decontaminate(
             F.greatest(s["past"], x["past"]).alias("past"),
         ),
     )["n"]
-    out = rows.filter("key is null").select("doc", "n_words").alias("r")
-    out = out.join(spans.alias("s"), F.col("r.doc").eqNullSafe(F.col("s.doc")), "left")
-    out = out.join(found.alias("f"), F.col("r.doc").eqNullSafe(F.col("f.doc")), "left")
+    out = rows.filter("key is null").select("row", "doc", "n_words").join(spans, "row", "left").join(found, "row", "left")
     return out.select(
-        F.col("r.doc").alias("doc_id"),
+        F.col("doc").alias("doc_id"),
         "n_words",
         F.coalesce(covered, F.lit(0)).alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<first:long,past:long>>")).alias("spans"),

@@ -36,9 +36,10 @@ Sets are sets of 64-bit n-gram hashes.
 
 Edge cases: null and empty texts, and texts without words, have an empty set
 and link with nothing; a text with fewer than ``k`` words has its whole word
-sequence as its only n-gram; repeated ids and repeated rows are documents of
-their own; rows without an id have none as their component; an empty table
-gives an empty result; other columns are not read.
+sequence as its only n-gram; repeated rows, and different texts under one id,
+are documents of their own; rows without an id link like others, and a component
+without any id has none; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import SLOTS, checkpointed, grams, keyed, mix, slot_bitmap, text_bytes, text_steps, word_mask, words
+from cohortlens.llm.common import SLOTS, checkpointed, grams, mix, ship_package, slot_bitmap, text_bytes, text_steps, word_mask, words
 from cohortlens.llm.components import components
 
 #: Words are runs of anything but space and 0x09-0x0D.
@@ -71,6 +72,8 @@ def gram_sets(texts: pa.Array, k: int):
 def _profile(k: int):
     """Per document its set size and a 128-bit hash of the set; per chunk the n-grams that it repeats."""
 
+    names = ["_id", "doc", "n", "s1", "s2", "h", "times"]
+
     def run(batches):
         chunk, size = [], 0
 
@@ -79,7 +82,7 @@ def _profile(k: int):
             often = times >= CHUNK_TIMES
             h, times = h[often].view(np.int64), times[often]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(h), pa.array(times)], names=["_id", "n", "s1", "s2", "h", "times"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(h), pa.array(times)], names=names)
 
         for batch in text_steps(batches):
             rows = []
@@ -90,7 +93,7 @@ def _profile(k: int):
             n, s1, s2 = (np.array(c, np.uint64).view(np.int64) for c in zip(*rows, strict=True))
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), none, none], names=["_id", "n", "s1", "s2", "h", "times"]
+                [batch.column(0), batch.column(2).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), none, none], names=names
             )
             if size >= CHUNK_GRAMS:
                 yield repeated()
@@ -181,14 +184,20 @@ def parities(grams: np.ndarray) -> np.ndarray:
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` of every document (ids are integers).
+    """``doc_id``, ``n_shingles``, ``component_id``, ``row_key`` and ``keep_key`` of every document row (ids are integers).
 
-    ``component_id`` is the smallest id reachable by links, the document's own included.
+    ``component_id`` is the smallest id reachable by links, the document's own
+    included (null where none has an id).  ``row_key`` is a hash of id and text, and
+    ``keep_key`` that of the component's first row by id.
     """
     spark = docs.sparkSession
-    texts = keyed(docs, id_col, text_col)
-    profile = checkpointed(texts.mapInArrow(_profile(k), "_id long, n long, s1 long, s2 long, h long, times long"))
-    sizes = profile.filter("n is not null").select("_id", "n", "s1", "s2")
+    ship_package(spark)
+    # rows are known by a hash of id and text: rows without an id, or of different texts under one id, stay apart
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"))
+    rows = docs.select(key.alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{id_col}`").cast("long").alias("doc"))
+    texts = rows.select("_id", "_text")
+    profile = checkpointed(rows.mapInArrow(_profile(k), "_id long, doc long, n long, s1 long, s2 long, h long, times long"))
+    sizes = profile.filter("n is not null").select("_id", "doc", "n", "s1", "s2")
 
     often = profile.filter("h is not null").groupBy("h").agg(F.sum("times").alias("times"))
     often = often.orderBy(F.desc("times"), "h").limit(HEAVY_ROWS).toArrow()
@@ -197,7 +206,9 @@ def ngram_jaccard_join(
     levels = np.log2(np.maximum(1, often.column("times").to_numpy())).astype(np.int8)
     heavy = spark.sparkContext.broadcast((h[order], levels[order]))
 
-    rows = sizes.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rid"))
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", F.col("_id").alias("key"))
+    rows = sizes.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rid"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
+    rows = checkpointed(rows)
     heads = texts.mapInArrow(_heads(k, num, den, heavy), "rid long, n int, odd array<long>, key array<long>, before array<int>")
     heads = checkpointed(heads.join(rows.select("rid"), "rid", "left_semi"))
 
@@ -257,5 +268,16 @@ def ngram_jaccard_join(
     if not more.isEmpty():
         label = components(near.union(linked(more)))
 
-    own = sizes.join(rows, ["n", "s1", "s2"], "left").join(label.withColumnRenamed("node", "rid"), "rid", "left")
-    return own.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid", "_id").alias("component_id"))
+    placed = rows.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    placed = checkpointed(placed.join(least, "component").select("n", "s1", "s2", "copies", F.col("least.doc").alias("component_id"), F.col("least.key").alias("keep_key")))
+    # sets of more rows than half a task's share, fewer than twice the tasks, are broadcast; the others meet their rows by shuffle
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = (placed.agg(F.sum("copies")).first()[0] or 0) / (2 * tasks)
+    heavy, light = placed.filter(F.col("copies") > limit).drop("copies"), placed.filter(F.col("copies") <= limit).drop("copies")
+    some = sizes.filter("n > 0").join(F.broadcast(heavy), ["n", "s1", "s2"], "left")
+    columns = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("_id").alias("row_key"), "keep_key"]
+    hot = some.filter("keep_key is not null").select(*columns)
+    rest = some.filter("keep_key is null").drop("component_id", "keep_key").join(light, ["n", "s1", "s2"]).select(*columns)
+    alone = sizes.filter("n = 0").withColumns({"component_id": F.col("doc"), "keep_key": F.col("_id")}).select(*columns)
+    return hot.unionByName(rest).unionByName(alone)

@@ -56,25 +56,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op1_ngram_jaccard_join"] = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+),
 g AS (
-  SELECT DISTINCT doc_id, len(ws) < 3 AS short, array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ') AS gram
-  FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS r(i)
+  SELECT DISTINCT w.r, len(ws) < 3 AS short, array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ') AS gram
+  FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS p(i)
 ),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
 links AS (
-  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.short = y.short AND x.doc_id <> y.doc_id
-  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
-  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 90 * (nx.n + ny.n - count(*))
+  SELECT x.r AS a, y.r AS b FROM g x JOIN g y ON x.gram = y.gram AND x.short = y.short AND x.r <> y.r
+  JOIN n nx ON nx.r = x.r JOIN n ny ON ny.r = y.r
+  GROUP BY x.r, y.r, nx.n, ny.n HAVING 100 * count(*) >= 90 * (nx.n + ny.n - count(*))
 ),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN least USING (r)
 """
 
 
@@ -93,27 +95,27 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 _WORDS = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLES["op5_benchmark_decontamination"] = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 items AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
-  FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS r(i) WHERE len(ws) > 0
+  FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p(i) WHERE len(ws) > 0
 ),
 sizes AS (SELECT DISTINCT n FROM items),
 spots AS (
-  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM d, sizes, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS r(i)
+  SELECT d.r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM d, sizes, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS p(i)
 ),
-hits AS (SELECT doc_id, i, items.n AS n, item_id FROM spots JOIN items ON spots.k = items.k AND spots.n = items.n),
+hits AS (SELECT r, i, items.n AS n, item_id FROM spots JOIN items ON spots.k = items.k AND spots.n = items.n),
 covered AS (
-  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hits), unnest(range(0, n)) AS r(j) GROUP BY doc_id
+  SELECT r, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), unnest(range(0, n)) AS q(j) GROUP BY r
 ),
 found AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
 

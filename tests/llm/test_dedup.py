@@ -197,3 +197,34 @@ def test_content_cuts_find_passages_behind_other_words(spark):
         assert kept[: 3 + 4 * i] == texts[i].split()[: 3 + 4 * i] and kept[-5 - i :] == texts[i].split()[-5 - i :]
     assert got[11].clean_text.count("w") <= 2 + 2 + 1
     assert len(got[41].clean_text.split()) < 60
+
+
+def test_links_through_rows_without_ids_and_texts_that_share_one(spark):
+    base = [f"w{i}" for i in range(200)]
+
+    def text(changed):
+        return " ".join(f"x{i}" if i in changed else w for i, w in enumerate(base))
+
+    # the middle text links with both others, which do not link with each other
+    rows = [(1, text({0, 1})), (None, text({0, 1, 50, 199})), (2, text({50, 199}) + " y")]
+    alone = [(7, "some other words stand here alone"), (7, "nothing of that kind in this one"), (3, "some other words stand here alone"), (9, "nothing of that kind in this one")]
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard_join(frame(spark, rows + alone), num=9, den=10).collect()}
+    want = {(i, c) for (i, _), (_, c) in zip(rows + alone, brute_rows(rows + alone, 3, 9, 10), strict=True)}
+    assert got == want and (None, 1) in got and {(7, 3), (7, 7), (3, 3), (9, 7)} <= got
+    none = [(None, "a b c d"), (None, "a b c d"), (None, ""), (None, None)]
+    assert [r.component_id for r in ngram_jaccard_join(frame(spark, none)).collect()] == [None] * 4
+
+
+def brute_rows(rows, k, num, den):
+    """(set size, smallest id reachable) of every row."""
+    sets = []
+    for _, t in rows:
+        ws = words_of(t)
+        sets.append({tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set()))
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and den * len(a & b) >= num * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    ids = [[rows[j][0] for j in range(len(rows)) if group[j] == g and rows[j][0] is not None] for g in group]
+    return [(len(s), min(found) if s and found else i) for s, found, (i, _) in zip(sets, ids, rows, strict=True)]

@@ -21,7 +21,7 @@ def test_stages_are_the_dealt_ones():
 
 def test_every_operator_is_registered_once():
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -77,3 +77,15 @@ def test_documents_stay_where_no_language_could_be_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.identified(spark, docs, SF_SMALL).collect()
     assert {(r.doc_id, r.lang) for r in got} == {(1, "und"), (2, "und")}
+
+
+def test_rows_without_an_id_are_judged_by_themselves(spark, tmp_path):
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first().text
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "Before. " + item), (None, "clean text of its own"), (3, "other words here"), (3, "Again. " + item), (None, long), (9, long + " more"), (None, "clean second")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["n-gram Jaccard join"](spark, docs, SF_SMALL)
+    assert sorted((r.doc_id, r.text) for r in near.filter("text LIKE 'word%'").collect()) == [(9, long + " more")]
+    clean = stages["benchmark decontamination"](spark, docs, SF_SMALL)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((i, t) for i, t in rows if item not in t), key=str)

@@ -271,3 +271,13 @@ def test_every_message_has_a_row_and_calls_may_point_forward(spark):
     assert [got[k].valid for k in ((1, 1), (1, 3), (2, 0), (2, 4), (1, 2))] == [True, False, True, False, None]
     assert [got[1, t].answers for t in (0, 2, 4, 5, 6, 7)] == [None, "1-1", "1-3", None, None, None]
     assert json.loads(got[1, 3].json)["call"] == {"arguments": {"prompt": "one", "rest": "two", "turn": 3}, "id": "1-3", "name": "reply", "result": "b"}
+
+
+def test_rows_that_share_an_id_have_their_own_hits(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, "clean"), (1, "so " + item), (None, "also clean words"), (None, item), (2, None)]
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in got), key=str) == sorted(
+        [(1, 1, 0, []), (1, 12, 11, ["5"]), (None, 3, 0, []), (None, 11, 11, ["5"]), (2, 0, 0, [])], key=str
+    )
