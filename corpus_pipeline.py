@@ -8,10 +8,8 @@ every document that is left.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import table, without_ids
@@ -20,7 +18,7 @@ from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.language_id import UNKNOWN, identify_languages, train_language_id
 from cohortlens.llm.ngram_join import ngram_jaccard_join
 from cohortlens.llm.sentencepiece_codec import sentencepiece_codec
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path
 
 #: Near copies share this part of their five-word shingles: 4 of 5.
 SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
@@ -38,16 +36,22 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
+def _row_key() -> Column:
+    """A hash of id and text: rows without an id, and different texts under one id, are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each linked group the document with the smallest doc_id stays."""
     groups = ngram_jaccard_join(docs, k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
-    return without_ids(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    return without_ids(docs.withColumn("_row_key", _row_key()), groups.filter("row_key <> keep_key").select("row_key"), "_row_key").drop("_row_key")
 
 
 def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter("n_hit > 0").select("doc_id"))
+    keyed = docs.withColumn("_row_key", _row_key())
+    found = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="_row_key")
+    return without_ids(keyed, found.filter("n_hit > 0").select("doc_id"), "_row_key").drop("_row_key")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written under the shared checkpoint folder and reread."""
-    folder = f"{shared_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows; every stage's result is written to the application's shared folder and reread."""
+    folder = scratch_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
