@@ -23,7 +23,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,34 +114,31 @@ def fold_auc(estimator: Estimator, train: DataFrame, grid: list, folds: int, par
     return [float(auc) for auc in search.fit(train).avgMetrics]
 
 
-@dataclass
-class GridSearch:
-    """The maps of one estimator's grid with their cross-validated AUC."""
-
-    maps: list
-    aucs: list[float]
-    folds: int
-
-    @property
-    def best(self) -> int:
-        return self.aucs.index(max(self.aucs))
-
-    def document(self) -> dict:
-        """The tuning document (``TUNING_TYPE``): parameter values as text, AUC to 4 places."""
-        named = [{param.name: str(value) for param, value in m.items()} for m in self.maps]
-        combos = [
-            {"params": params, "cv_auc": round(auc, 4), "is_best": i == self.best}
-            for i, (params, auc) in enumerate(zip(named, self.aucs, strict=True))
-        ]
-        return {"combos": combos, "best_params": named[self.best], "best_auc": round(max(self.aucs), 4), "num_folds": self.folds}
-
-
-def grid_search(estimator: Estimator, grid: Mapping[str, list], train: DataFrame, folds: int = 2, parallelism: int = 2) -> GridSearch:
+def grid_search(
+    estimator: Estimator, grid: Mapping[str, list], train: DataFrame, folds: int = 2, parallelism: int = 2
+) -> list[tuple[dict, float]]:
+    """Each parameter map of the grid with its cross-validated AUC."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder.addGrid(estimator.getParam(name), values)
     maps = builder.build()
-    return GridSearch(maps, fold_auc(estimator, train, maps, folds, parallelism), folds)
+    return list(zip(maps, fold_auc(estimator, train, maps, folds, parallelism), strict=True))
+
+
+def tuning_document(tried: Column, folds: int) -> Column:
+    """The tuning document (``TUNING_TYPE``) of an array of (params, auc): AUC to 4 places, the first greatest one is the best."""
+    aucs = F.transform(tried, lambda t: t["auc"])
+    best = F.array_position(aucs, F.array_max(aucs))
+    combos = F.transform(
+        tried, lambda t, i: F.struct(t["params"].alias("params"), F.round(t["auc"], 4).alias("cv_auc"), (i + 1 == best).alias("is_best"))
+    )
+    document = F.struct(
+        combos.alias("combos"),
+        F.get(tried, (best - 1).cast("int"))["params"].alias("best_params"),
+        F.round(F.array_max(aucs), 4).alias("best_auc"),
+        F.lit(folds).alias("num_folds"),
+    )
+    return F.when(tried.isNotNull(), document).cast(TUNING_TYPE)
 
 
 # ── evaluation (H9-H12) ────────────────────────────────────────────────────
@@ -201,6 +198,10 @@ def model_summary(model: Model) -> dict[str, float | None]:
 # ── one training run (H9, H13, H14) ────────────────────────────────────────
 
 METRICS = ["auc", "accuracy", "precision", "recall", "f1", "recall_dropout", "cv_auc"]
+# Tried parameter maps with their AUC, as a run collects them; ``tuning_document`` gives the stored form.
+TRIED_TYPE = T.ArrayType(
+    T.StructType([T.StructField("params", T.MapType(T.StringType(), T.StringType())), T.StructField("auc", T.DoubleType())])
+)
 RUN_SCHEMA = T.StructType(
     [
         T.StructField("name", T.StringType()),
@@ -210,7 +211,7 @@ RUN_SCHEMA = T.StructType(
         T.StructField("training_time", T.DoubleType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("importance", IMPORTANCE_TYPE),
-        T.StructField("tuning", TUNING_TYPE),
+        T.StructField("tuning", TRIED_TYPE),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -275,11 +276,12 @@ def run_training(
 
     rows, models = [], {}
     for position, (name, estimator) in enumerate((estimators or classifiers()).items()):
-        errors, search, cv_auc = [], None, 0.0
+        errors, tried, cv_auc = [], None, 0.0
         if do_tune and name in GRIDS:
             try:
-                search = grid_search(estimator, GRIDS[name], train, tune_folds, parallelism)
-                estimator = estimator.copy(search.maps[search.best])
+                found = grid_search(estimator, GRIDS[name], train, tune_folds, parallelism)
+                estimator = estimator.copy(max(found, key=lambda t: t[1])[0])
+                tried = [({param.name: str(value) for param, value in params.items()}, auc) for params, auc in found]
             except Exception as e:  # noqa: BLE001 - the default settings stay
                 errors.append(f"tuning: {e}")
         began = time.perf_counter()
@@ -293,12 +295,13 @@ def run_training(
         importance = [(f, round(float(v), 4)) for f, v in ranked_importance(models[name])]
         rows.append(
             (name, run_id, position, *(float(metrics[m]) for m in METRICS), took, now.strftime("%Y-%m-%d %H:%M:%S"),
-             importance, search and search.document(), "; ".join(errors)[:500] or None)
+             importance, tried, "; ".join(errors)[:500] or None)
         )
     train.unpersist()
     # one row per model; selection uses the unrounded metrics
     results = flag_best(spark.createDataFrame(rows, RUN_SCHEMA).withColumn("composite_score", composite_column()))
     results = results.withColumns({m: F.round(m, 4) for m in [*METRICS, "composite_score"]})
+    results = results.withColumn("tuning", tuning_document(F.col("tuning"), tune_folds))
     best = results.filter("is_best").first()
     return TrainingRun(run_id, results, models, best.name if best else "", test)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators import evaluation, ml
 from cohortlens.plans.core_queries import feature_frame
@@ -64,15 +65,13 @@ def test_failing_searches_are_recorded(spark):
     run.release()
 
 
-def test_grid_search_document(spark):
-    from pyspark.ml.param import Param
-
-    svc = ml.classifiers()["Linear SVC"]
-    grid = [{svc.maxIter: 5}, {svc.maxIter: 9}, {svc.maxIter: 7}]
-    assert all(isinstance(k, Param) for m in grid for k in m)
-    doc = ml.GridSearch(grid, [0.5, 0.71239, 0.71239], 2).document()
-    assert doc["best_params"] == {"maxIter": "9"} and doc["best_auc"] == 0.7124
-    assert [c["is_best"] for c in doc["combos"]] == [False, True, False]
+def test_tuning_document(spark):
+    tried = [({"regParam": "0.0"}, 0.5), ({"regParam": "0.1"}, 0.71239), ({"regParam": "0.2"}, 0.71239)]
+    rows = spark.createDataFrame([(1, tried), (2, None)], T.StructType().add("k", "integer").add("tried", ml.TRIED_TYPE))
+    docs = {r.k: r.doc for r in rows.select("k", ml.tuning_document(F.col("tried"), 2).alias("doc")).collect()}
+    assert docs[2] is None
+    assert [c.cv_auc for c in docs[1].combos] == [0.5, 0.7124, 0.7124] and [c.is_best for c in docs[1].combos] == [False, True, False]
+    assert docs[1].best_params == {"regParam": "0.1"} and docs[1].best_auc == 0.7124 and docs[1].num_folds == 2
 
 
 def test_training_partitions_follow_the_rows_alone(spark):
