@@ -20,6 +20,7 @@ from cohortlens.operators import cohort, cube, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path, shared_checkpoint_dir
+from cohortlens.sources import feature_groups
 from cohortlens.sources.sorted_store import SortedStore
 from cohortlens.sources.testdata import load_source_tables
 
@@ -53,6 +54,8 @@ def refresh(spark: SparkSession, sf_dir: str) -> None:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     _TABLES.pop(key, None)
     _CUBES.pop(key, None)
+    if key in _GROUPS:
+        feature_groups.drop_groups(spark, _GROUPS.pop(key))
     for stored in [k for k in _SORTED if k[:2] == key]:
         _SORTED.pop(stored)
     frame = _SCORED.pop(key, None)
@@ -192,6 +195,30 @@ def q_feature_table(spark, sf_dir):
     return feature_frame(spark, sf_dir)
 
 
+# Stored feature groups per application and input folder: the prefix of their tables.
+_GROUPS: dict[tuple[str, str], str] = {}
+
+
+@register(
+    "feature_table_stored",
+    oracle="SELECT * FROM features",
+    doubles=[
+        "clicks_per_day", "engagement_ratio", "avg_score", "weighted_avg_score", "submission_rate",
+        "avg_days_early", "exam_score", "tma_score", "cma_score",
+    ],
+    survey_ids="C5",
+)
+def q_feature_table_stored(spark, sf_dir):
+    """The feature table assembled from its stored groups, bucket by bucket."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _GROUPS:
+        path = scratch_path(spark, "feature-groups")
+        prefix = os.path.basename(path).replace("-", "_")
+        feature_groups.store_groups(tables(spark, sf_dir), prefix, path)
+        _GROUPS[key] = prefix
+    return feature_groups.assemble_stored(spark, _GROUPS[key])
+
+
 @register(
     "risk_tier",
     oracle=f"SELECT {KEYS_SQL}, label, risk, risk_label FROM scored",

@@ -27,6 +27,31 @@ def test_no_cross_join_udf_or_sort_aggregate(spark, name):
         assert any(f"partial_{x}" in plan for x in ("min(", "max(", "bitmap_")), f"{name} sort-aggregates without a partial step"
 
 
+def test_stored_groups_are_assembled_without_an_exchange(spark):
+    from cohortlens.sources import feature_groups
+
+    from cohortlens.plans import core_queries
+
+    REGISTRY["feature_table_stored"].build(spark, SF_SMALL)
+    prefix = next(p for (_, folder), p in core_queries._GROUPS.items() if folder == SF_SMALL)
+    plan = _plan(feature_groups.assemble_stored(spark, prefix))
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 3 and "Bucketed: true" in plan
+
+
+def test_one_group_is_written_again(spark, tmp_path):
+    from cohortlens.operators.features import feature_table
+    from cohortlens.plans.core_queries import tables
+    from cohortlens.sources import feature_groups
+
+    t = tables(spark, SF_SMALL)
+    feature_groups.store_groups(t, "again", str(tmp_path), buckets=4)
+    fewer = {**t, "student_vle": t["student_vle"].filter("id_site % 2 = 0")}
+    feature_groups.store_group(feature_groups.GROUPS["clicks"](fewer), "again_clicks", str(tmp_path / "clicks"), 4)
+    got, want = feature_groups.assemble_stored(spark, "again"), feature_table(fewer)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    feature_groups.drop_groups(spark, "again")
+
+
 def test_site_filter_reaches_the_scan(spark):
     from cohortlens.sources.testdata import load_source_tables
 
