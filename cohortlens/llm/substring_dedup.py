@@ -1,10 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences: at words that end in ``.``, ``!`` or ``?``, at
-line breaks, and after ``SENTENCE_WORDS`` words.  With ``content_cuts`` (as the
-registered query has it) the end may be followed by closing quotes or brackets
-and be a mark of another script, each ideograph, kana, Thai or Lao letter is a word, and
-sentences of over ``CUT_ABOVE`` words are cut by content: before a word whose
+A text is cut into sentences: at line breaks and at words that end in ``.``,
+``!``, ``?`` or such a mark of another script, also with closing quotes or
+brackets behind it.  Each ideograph, kana, Thai or Lao letter is a word.
+Sentences of over ``CUT_ABOVE`` words are cut by content: before a word whose
 hash with the word before it is the least among ``REACH`` places on both sides, so that a
 passage gets the same cuts behind any words.  What is still over
 ``SENTENCE_WORDS`` long (periodic text, few minima) is cut at the least hash
@@ -138,22 +137,6 @@ def content_starts(h: np.ndarray, closes: np.ndarray) -> np.ndarray:
     return np.append(np.sort(np.append(first, np.array(more, np.int64))), n)
 
 
-def sentence_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line_breaks: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a sentence, with the word count at the end."""
-    n = len(starts)
-    if not n:
-        return np.zeros(1, np.int64)
-    closes = _END[data[ends - 1]]
-    closes[:-1] |= line_breaks[starts[1:]] > line_breaks[ends[:-1]]
-    first = np.concatenate([[0], np.flatnonzero(closes[:-1]) + 1])
-    sizes = np.diff(np.append(first, n))
-    if sizes.max() > SENTENCE_WORDS:
-        parts = -(-sizes // SENTENCE_WORDS)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + nth * SENTENCE_WORDS
-    return np.append(first, n)
-
-
 def runs(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end sentence (exclusive) of the text's shortest runs, in order."""
     n = len(bounds) - 1
@@ -169,47 +152,42 @@ def runs(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), first, past
 
 
-def _sentences(texts: pa.Array, content_cuts: bool):
+def _sentences(texts: pa.Array):
     """Per text its word hashes, byte starts of the words, and sentence bounds."""
     data, offsets = text_bytes(texts)
-    h, starts, ends, at = words(data, offsets, _WORD, script_words(data) if content_cuts else None)
+    h, starts, ends, at = words(data, offsets, _WORD, script_words(data))
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=breaks[1:])
-    if content_cuts:
-        closes = closing_words(data, starts, ends)
-        closes[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    closes = closing_words(data, starts, ends)
+    closes[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
     for i in range(len(texts)):
         part = slice(at[i], at[i + 1])
-        bounds = content_starts(h[part], closes[part]) if content_cuts else sentence_starts(data, starts[part], ends[part], breaks)
-        yield h[part], starts[part] - offsets[i], bounds
+        yield h[part], starts[part] - offsets[i], content_starts(h[part], closes[part])
 
 
 def _first_places(h: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(h, return_index=True)[1])
 
 
-def _hashes(content_cuts):
-    def run(batches):
-        for batch in text_steps(batches):
-            docs, found = [], []
-            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1), content_cuts)):
-                own = np.unique(runs(h, bounds)[0])
-                docs.append(np.full(len(own), i))
-                found.append(own)
-            take = pa.array(np.concatenate(docs), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
-
-    return run
+def _hashes(batches):
+    for batch in text_steps(batches):
+        docs, found = [], []
+        for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
+            own = np.unique(runs(h, bounds)[0])
+            docs.append(np.full(len(own), i))
+            found.append(own)
+        take = pa.array(np.concatenate(docs), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
 
 
-def _candidates(bitmap, content_cuts):
+def _candidates(bitmap):
     """The runs whose hash is marked: each one's first place in its document."""
 
     def run(batches):
         bits = bitmap.value
         for batch in text_steps(batches):
             docs, found, first, past = [], [], [], []
-            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1), content_cuts)):
+            for i, (h, _, bounds) in enumerate(_sentences(batch.column(1))):
                 own, a, b = runs(h, bounds)
                 slot = (own & np.uint64(SLOTS - 1)).astype(np.int64)
                 at = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1)
@@ -232,24 +210,24 @@ def _candidates(bitmap, content_cuts):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_cuts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_sentences``, ``n_removed``, ``removed`` (sentence numbers) and ``clean_text``."""
     spark = docs.sparkSession
     texts = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    hashes = texts.mapInArrow(_hashes(content_cuts), f"doc {kind}, h long")
+    hashes = texts.mapInArrow(_hashes, f"doc {kind}, h long")
     # the same id again is the same document, so a run is repeated if its smallest and largest id differ
     repeated = hashes.groupBy("h").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).filter("keeper <> last").select("h", "keeper")
     repeated = checkpointed(repeated)
     bitmap = spark.sparkContext.broadcast(slot_bitmap(repeated, "h"))
-    places = texts.mapInArrow(_candidates(bitmap, content_cuts), f"doc {kind}, h long, first int, past int")
+    places = texts.mapInArrow(_candidates(bitmap), f"doc {kind}, h long, first int, past int")
     extra = places.join(repeated, "h").filter("doc <> keeper").groupBy("doc").agg(F.collect_set(F.struct("first", "past")).alias("_spans"))
 
     new = T.StructType().add("n_sentences", "long").add("n_removed", "long").add("removed", T.ArrayType(T.IntegerType())).add("clean_text", "string")
 
     def clean(texts: pa.Array, spans: pa.Array) -> list[pa.Array]:
         counts, removed, cleaned, spans = [], [], [], spans.to_pylist()
-        for i, (h, starts, bounds) in enumerate(_sentences(texts, content_cuts)):
+        for i, (h, starts, bounds) in enumerate(_sentences(texts)):
             n = len(bounds) - 1
             own, first, past = runs(h, bounds)
             gone = np.zeros(n + 1, np.int64)

@@ -5,13 +5,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import ascii_lower
+from cohortlens.llm.common import ascii_lower, text_bytes
 from cohortlens.llm.components import components
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.ngram_join import band, ngram_jaccard_join
+from cohortlens.llm import substring_dedup as substring
 from cohortlens.llm.substring_dedup import MIN_SENTENCES, MIN_WORDS, SENTENCE_WORDS, substring_dedup
 from tests.llm.fixtures import CLASHES, FOLD, edge_texts, frame, words_of
 
@@ -118,17 +120,57 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert got == {**{i: 10 for i in range(10, 71)}, **{100 + i: 100 for i in range(40)}, 500: 100}
 
 
+OPENS_NO_WORD = "\u3000\u3001\u3002\u3003\u3009\u300b\u300d\u300f\u3011\u3015"
+ENDS, CLOSERS = ".!?؟۔…।॥。！？．｡", "\"')]}»”’›」』）】》〉〕｣"
+
+
+def naive_sentences(text):
+    """(start, end, lower-cased word) of every word, and the word numbers of every sentence."""
+    ws = []
+    for m in re.finditer(r"[^\x20\t-\r]+", text):
+        at = m.start()
+        for k in range(m.start() + 1, m.end() + 1):
+            if k == m.end() or (0x3000 <= ord(text[k]) <= 0x9FFF and text[k] not in OPENS_NO_WORD):
+                ws.append((at, k, text[at:k].translate(FOLD)))
+                at = k
+    n = len(ws)
+    if not n:
+        return ws, []
+    data, offsets = text_bytes(pa.array([text]))
+    h = substring.words(data, offsets, substring._WORD, substring.script_words(data))[0]
+    assert len(h) == n
+    value = [2**64 - 1] + [int(substring.mix(h[k - 1 : k] * np.uint64(0x9FB21C651E98DF25) + h[k : k + 1])[0]) for k in range(1, n)]
+
+    def closes(k):
+        word = ws[k][2]
+        while word and word[-1] not in ENDS and word[-1] in CLOSERS:
+            word = word[:-1]
+        return bool(word) and word[-1] in ENDS
+
+    cuts = [k for k in range(n) if not k or closes(k - 1) or "\n" in text[ws[k - 1][1] : ws[k][0]]]
+    more = set(cuts)
+    for a, e in zip(cuts, [*cuts[1:], n], strict=True):
+        if e - a > substring.CUT_ABOVE:  # places whose hash is the least around
+            for k in range(a, e):
+                before = value[max(0, k - substring.REACH) : k]
+                behind = value[k + 1 : k + 1 + substring.REACH]
+                if all(value[k] < v for v in before) and all(value[k] <= v for v in behind):
+                    more.add(k)
+    cuts = sorted(more)
+    for a, e in zip(cuts, [*cuts[1:], n], strict=True):
+        while e - a > SENTENCE_WORDS:
+            part = range(a + substring.REACH, a + SENTENCE_WORDS + 1)
+            a = min(part, key=lambda k: (value[k], k))
+            more.add(a)
+    cuts = sorted(more)
+    return ws, [list(range(a, e)) for a, e in zip(cuts, [*cuts[1:], n], strict=True)]
+
+
 def brute_substring(rows):
     first, out = {}, {}
     for i, text in sorted({(i, t) for i, t in rows}, key=lambda r: r[0]):
         text = text or ""
-        ws = [(m.start(), m.end(), m[0].translate(FOLD)) for m in re.finditer(r"[^\x20\t-\r]+", text)]
-        sentences, now = [], []
-        for k, (_, b, w) in enumerate(ws):
-            now.append(k)
-            if w[-1] in ".!?" or k + 1 == len(ws) or "\n" in text[b : ws[k + 1][0]] or len(now) == SENTENCE_WORDS:
-                sentences.append(now)
-                now = []
+        ws, sentences = naive_sentences(text)
         n = len(sentences)
         total = [0]
         for s in sentences:
@@ -185,7 +227,7 @@ def test_content_cuts_find_passages_behind_other_words(spark):
     inner = " ".join(word() for _ in range(24)) + "."
     rows += [(30 + k, f"{word()} {word()} " + " ".join(f"{x}{i}" for x in "ab" for i in range(14)) + f". {inner} " + " ".join(f"c{i}" for i in range(14)) + f" {word()}.") for k in range(2)]
     rows += [(40 + k, " ".join(word() for _ in range(k + 1)) + " " + "p q r s t " * 60) for k in range(2)]
-    got = {r.doc_id: r for r in substring_dedup(frame(spark, rows), content_cuts=True).collect()}
+    got = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
     texts = dict(rows)
     for i, r in got.items():
         if i in (0, 10, 20, 30):
