@@ -44,6 +44,22 @@ def test_exact_dedup_same_length_and_prefix(spark):
     assert got == {1: (3, False), 2: (2, True), 3: (3, True), 4: (4, True), 5: (6, False), 6: (6, True)}
 
 
+def test_exact_dedup_heavy_groups_and_clashing_columns(spark):
+    # one group of half the rows is broadcast, pairs meet by shuffle, single rows are excluded by length or prefix
+    texts = ["The SAME text"] * 60 + [f"pair {i // 2:03d}" for i in range(40)] + ["x" * i for i in range(20, 60)]
+    rows = [(i, t.upper() if i % 2 else t, i * 7, "bits") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha long, _bits string")
+    got = {r.doc_id: r for r in exact_dedup(docs).collect()}
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    for members in groups.values():
+        for i in members:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(members), len(members), i == max(members))
+            assert (got[i].text, got[i]._sha, got[i]._bits) == (rows[i][1], i * 7, "bits")
+    assert len(got) == len(rows)
+
+
 def test_exact_dedup_null_ids_and_empty_table(spark):
     rows = [(None, "t"), (1, "t"), (None, "only")]
     got = {(r.doc_id, r.text): (r.keep_id, r.kept) for r in exact_dedup(frame(spark, rows)).collect()}
