@@ -3,7 +3,7 @@
 The rows of the matrix are the distinct n-gram sets (equal sets are one row,
 represented by the smallest id of their documents), its columns the n-grams,
 ordered from rare to frequent.  Two rows link when their Jaccard similarity is
-at least ``num / den``.  The product is taken in three steps:
+at least ``num / den``.  The pairs are found and counted in three steps:
 
 * Head block.  A row's first ``n - ceil(n * num / den) + 1`` columns: linked
   rows share one of these, so the join on the column, and on the size band of
@@ -15,8 +15,12 @@ at least ``num / den``.  The product is taken in three steps:
   differ in at least one column there, so the number of such blocks, of
   ``BLOCKS``, bounds what the rows do not share.  Linked rows differ in at most
   ``(den - num) / (num + den) * (n1 + n2)`` columns; pairs beyond are discarded.
-* Whole rows.  The overlap of the surviving pairs is accumulated over all
-  their columns and held against the bound of the first block.
+* Product.  The columns are cut into ``PRODUCT_BLOCKS`` blocks by their hash.
+  Block after block the shared columns of the surviving pairs are counted and
+  added to the overlap; what the later blocks can still add is at most the
+  smaller row's number of columns there.  Pairs whose overlap cannot reach the
+  bound any more are discarded after each block; after the last one nothing is
+  left to add, so the bound decides.
 
 Groups of near copies do not produce all their pairs.  In a first product
 each row meets only the row of its column with the fewest columns before it
@@ -58,6 +62,8 @@ HEAVY_ROWS = 1 << 17
 CHUNK_GRAMS, CHUNK_TIMES = 1 << 21, 3
 #: Column blocks of the parity bound: 256 bytes a row.
 BLOCKS = 2048
+#: Column blocks in which overlaps are accumulated.
+PRODUCT_BLOCKS = 4
 
 
 def gram_sets(texts: pa.Array, k: int):
@@ -160,17 +166,28 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
-def _whole_sets(k: int, wanted):
-    """The sets of the documents whose slot is marked."""
+def column_blocks(own: np.ndarray) -> list[np.ndarray]:
+    """A row's columns in each block of the product."""
+    block = own % np.uint64(PRODUCT_BLOCKS)
+    return [own[block == b].view(np.int64) for b in range(PRODUCT_BLOCKS)]
+
+
+def _blocked_sets(k: int, wanted):
+    """The sets of the documents whose slot is marked, a list for each block, with the number of columns of the later blocks."""
 
     def run(batches):
         bits = wanted.value
         for batch in text_steps(batches):
             slot = np.mod(batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(), SLOTS)
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 > 0))
-            if batch.num_rows:
-                sets = [s.view(np.int64) for s in gram_sets(batch.column(1), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(sets)], names=["rid", "grams"])
+            if not batch.num_rows:
+                continue
+            rows = [column_blocks(own) for own in gram_sets(batch.column(1), k)]
+            sizes = np.array([[len(part) for part in row] for row in rows])
+            columns = [batch.column(0).cast(pa.int64()), pa.array(sizes.sum(axis=1))]
+            for b in range(PRODUCT_BLOCKS):
+                columns += [_lists([row[b] for row in rows]), pa.array(sizes[:, b + 1 :].sum(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "n", *(f"{c}{b}" for b in range(PRODUCT_BLOCKS) for c in ("grams", "later"))])
 
     return run
 
@@ -228,15 +245,21 @@ def ngram_jaccard_join(
         return rows.select(F.col("rid").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that pass the parity bound and whose whole rows overlap enough."""
+        """The pairs that pass the parity bound and whose overlap, accumulated block by block, reaches the bound."""
         pairs = pairs.join(side(heads, "x", "n", "odd"), "x").join(side(heads, "y", "n", "odd"), "y")
         pairs = pairs.filter(parity_chance(F.col("odd_x"), F.col("odd_y"), F.col("n_x"), F.col("n_y")))
         pairs = checkpointed(pairs.select("x", "y"))
         wanted = spark.sparkContext.broadcast(slot_bitmap(pairs.select("x").union(pairs.select("y")), "x"))
-        sets = checkpointed(texts.mapInArrow(_whole_sets(k, wanted), "rid long, grams array<long>"))
-        both = pairs.join(side(sets, "x", "grams"), "x").join(side(sets, "y", "grams"), "y")
-        both = both.withColumn("overlap", F.size(F.array_intersect("grams_x", "grams_y")))
-        return both.filter(F.expr(f"{num + den} * overlap >= {num} * (size(grams_x) + size(grams_y))")).select("x", "y")
+        lists = ", ".join(f"grams{b} array<long>, later{b} long" for b in range(PRODUCT_BLOCKS))
+        sets = checkpointed(texts.mapInArrow(_blocked_sets(k, wanted), f"rid long, n long, {lists}"))
+        pairs = pairs.withColumn("overlap", F.lit(0))
+        for b in range(PRODUCT_BLOCKS):
+            part = sets.select("rid", "n", F.col(f"grams{b}").alias("grams"), F.col(f"later{b}").alias("later"))
+            both = pairs.join(side(part, "x", "n", "grams", "later"), "x").join(side(part, "y", "n", "grams", "later"), "y")
+            both = both.withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("grams_x", "grams_y")))
+            both = both.filter(F.expr(f"{num + den} * (overlap + least(later_x, later_y)) >= {num} * (n_x + n_y)"))
+            pairs = checkpointed(both.select("x", "y", "overlap"))
+        return pairs.select("x", "y")
 
     lead = shared.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("before"), "rid", "n", "r")).alias("lead"))
     star = shared.join(lead, "key").filter(F.col("rid") != F.col("lead.rid")).filter(chance("n", "r", "lead.n", "lead.r"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import ascii_lower, text_bytes
 from cohortlens.llm.components import components
 from cohortlens.llm.exact_dedup import exact_dedup
-from cohortlens.llm.ngram_join import band, ngram_jaccard_join
+from cohortlens.llm.ngram_join import PRODUCT_BLOCKS, band, column_blocks, ngram_jaccard_join
 from cohortlens.llm import substring_dedup as substring
 from cohortlens.llm.substring_dedup import MIN_SENTENCES, MIN_WORDS, SENTENCE_WORDS, substring_dedup
 from tests.llm.fixtures import CLASHES, FOLD, edge_texts, frame, words_of
@@ -123,6 +123,14 @@ def test_size_bands_of_linked_sizes_are_neighbours():
         assert (abs(band(linked, 9, 10) - band(np.array([m]), 9, 10)) <= 1).all()
 
 
+def test_blocks_of_the_product_cover_every_column_once():
+    own = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 500, dtype=np.uint64))
+    parts = column_blocks(own)
+    assert len(parts) == PRODUCT_BLOCKS and min(map(len, parts)) > 0
+    assert sorted(np.concatenate(parts).view(np.uint64)) == sorted(own)
+    assert [len(p) for p in column_blocks(own[:0])] == [0] * PRODUCT_BLOCKS
+
+
 def test_ngram_join_empty_table_and_null_ids(spark):
     assert ngram_jaccard_join(frame(spark, [])).count() == 0
     rows = [(None, "a b c d"), (3, "a b c d"), (None, "x y z"), (4, None)]
