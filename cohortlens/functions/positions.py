@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import scratch_path, shared_checkpoint_dir
 
 # A slice ending at or below this position is cut by a per-partition top-k;
 # deeper slices number all rows with the distributed sort below.
@@ -87,14 +87,17 @@ def running_totals(
     """``df`` plus ``<c>_before``: the sum of ``c`` over rows with a smaller ``order_col``.
 
     ``order_col`` must be unique (aggregate per value first).  The same
-    layout as ``with_positions``: a checkpointed range sort, an exclusive
+    layout as ``with_positions``: range partitions, whose numbers are stored
+    with the rows (as Parquet: far smaller than a checkpoint's rows), an exclusive
     running sum inside each range partition (one window task per partition)
     and partition offsets from one total row per partition.
     """
     spark = df.sparkSession
-    shared_checkpoint_dir(spark)
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.repartitionByRange(n, order_col).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    path = scratch_path(spark, "running-totals")
+    tagged = df.repartitionByRange(n, order_col).withColumn("_part", F.spark_partition_id())
+    tagged.write.parquet(path)
+    tagged = spark.read.schema(tagged.schema).parquet(path)
     inside = Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     in_part = tagged.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in value_cols]
