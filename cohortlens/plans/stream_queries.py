@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import math
 import os
 
+from pyspark.sql import DataFrame
+
 from cohortlens.plans.core_queries import _SCORED_DOUBLES, CLAMP, KEYS_SQL, VALID_ID, tables
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
+from cohortlens.sources import snapshots
 from cohortlens.sources.schemas import SCHEMAS
 from cohortlens.streaming import activity_refresh, scored_refresh
 
 ARRIVING_FILES = 4
+#: A file is one Parquet row group as a rule, which one task reads and combines whole: more rows go to another file.
+FILE_ROWS = 500_000
+
+
+def write_arrivals(clicks: DataFrame, folder: str, batches: int) -> int:
+    """Writes the clicks on all cores, as files for so many micro-batches; returns the files of one."""
+    spark = clicks.sparkSession
+    parts = batches * math.ceil(spark.sparkContext.defaultParallelism / batches)
+    cols = [f.name for f in SCHEMAS["student_vle"].fields]
+    clicks.select(*cols).repartition(parts).write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+    files = sum(name.endswith(".parquet") for name, _ in snapshots.listed(spark, folder))
+    return math.ceil(files / batches)
 
 
 @register(
@@ -26,11 +42,10 @@ def q_stream_activity_refresh(spark, sf_dir):
     t = tables(spark, sf_dir)
     root = scratch_path(spark, "stream")
     source = os.path.join(root, "clicks")
-    cols = [f.name for f in SCHEMAS["student_vle"].fields]
-    t["student_vle"].select(*cols).repartition(ARRIVING_FILES).write.parquet(source)
+    files = write_arrivals(t["student_vle"], source, ARRIVING_FILES)
     query = activity_refresh.start_activity_refresh(
         spark, source, t["vle"], os.path.join(root, "out"), checkpoint=os.path.join(root, "checkpoint"),
-        max_files_per_trigger=1,  # one micro-batch per arriving file
+        max_files_per_trigger=files,  # one micro-batch per arriving part
     )
     query.awaitTermination()
     return activity_refresh.current_activity(spark, os.path.join(root, "out"), t["courses"])
@@ -46,10 +61,9 @@ def _scored_refresh(spark, sf_dir):
         t = tables(spark, sf_dir)
         root = scratch_path(spark, "scored-stream")
         source, out = os.path.join(root, "clicks"), os.path.join(root, "out")
-        cols = [f.name for f in SCHEMAS["student_vle"].fields]
-        t["student_vle"].select(*cols).repartition(ARRIVING_BATCHES).write.parquet(source)
+        files = write_arrivals(t["student_vle"], source, ARRIVING_BATCHES)
         query = scored_refresh.start_scored_refresh(
-            spark, source, t, out, checkpoint=os.path.join(root, "checkpoint"), max_files_per_trigger=1
+            spark, source, t, out, checkpoint=os.path.join(root, "checkpoint"), max_files_per_trigger=files
         )
         query.awaitTermination()
         _REFRESHED[key] = scored_refresh.refreshed(spark, out, t["courses"])
