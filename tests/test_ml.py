@@ -1,8 +1,12 @@
 """ML checks on the smallest tables with a reduced run (no grid search)."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,3 +190,64 @@ def test_running_totals_match_a_cumulative_sum(spark):
     for k, v in rows:
         assert got[k] == acc
         acc += v
+
+
+class MeetingRegression(LogisticRegression):
+    """Waits in each fit until ``meeting`` fits are there; records the settings in the order in which fits begin."""
+
+    meeting = None
+    begun: list = []
+
+    def _fit(self, dataset):
+        type(self).begun.append(self.getMaxIter() * self.getRegParam())
+        if self.meeting is not None:
+            self.meeting.wait()
+        return super()._fit(dataset)
+
+
+class FailingForest(RandomForestClassifier):
+    def _fit(self, dataset):
+        if self.getMaxDepth() > 5:
+            raise ValueError("deep")
+        return super()._fit(dataset)
+
+
+@pytest.fixture(scope="module")
+def weighted(spark):
+    rows = ml.assemble(ml.with_class_weights(feature_frame(spark, SF_SMALL))).select("label", "weight", "features", *ml.ENROLLMENT_KEYS)
+    rows = ml.sized_partitions(rows, rows.count()).persist()
+    yield rows
+    rows.unpersist()
+
+
+def test_folds_are_fitted_side_by_side(weighted, monkeypatch):
+    monkeypatch.setattr(MeetingRegression, "meeting", threading.Barrier(3, timeout=60))
+    with ThreadPoolExecutor(3) as pool:
+        assert ml.fold_auc(MeetingRegression(maxIter=2), weighted, [{}], 3, pool)[0] > 0.5
+
+
+def test_longest_fits_begin_first(weighted, monkeypatch):
+    monkeypatch.setattr(MeetingRegression, "begun", [])
+    with ThreadPoolExecutor(1) as pool:
+        ml.grid_search(MeetingRegression(), {"maxIter": [1, 3], "regParam": [0.5, 1.0]}, weighted, 2, pool)
+    assert MeetingRegression.begun == [3.0, 3.0, 1.5, 1.5, 1.0, 1.0, 0.5, 0.5]
+
+
+def test_fold_auc_equals_the_cross_validator(weighted):
+    estimator = ml.classifiers()["Random Forest"]
+    grid = ParamGridBuilder().addGrid(estimator.maxDepth, [2, 4]).addGrid(estimator.numTrees, [2, 3]).build()
+    judge = BinaryClassificationEvaluator(labelCol="label")
+    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=3, seed=ml.SEED)
+    with ThreadPoolExecutor(4) as pool:
+        assert ml.fold_auc(estimator, weighted, grid, 3, pool) == pytest.approx(search.fit(weighted).avgMetrics, abs=1e-12)
+
+
+def test_a_model_whose_search_fails_leaves_the_others_alone(spark):
+    ests = {k: v for k, v in ml.classifiers().items() if k in ("Linear SVC", "Random Forest")}
+    ests["Random Forest"] = FailingForest(numTrees=3, maxDepth=2, weightCol="weight", seed=ml.SEED)
+    run = ml.run_training(feature_frame(spark, SF_SMALL), cv_folds=2, estimators=ests)
+    rows = {r.name: r for r in run.results.collect()}
+    assert rows["Random Forest"].error.startswith("tuning: deep") and rows["Random Forest"].tuning is None
+    assert rows["Linear SVC"].error is None and rows["Linear SVC"].cv_auc > 0.5 and rows["Random Forest"].cv_auc > 0.5
+    assert run.models["Random Forest"].getNumTrees == 3  # the settings that it came with
+    run.release()
