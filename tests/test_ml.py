@@ -4,7 +4,7 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -251,3 +251,12 @@ def test_a_model_whose_search_fails_leaves_the_others_alone(spark):
     assert rows["Linear SVC"].error is None and rows["Linear SVC"].cv_auc > 0.5 and rows["Random Forest"].cv_auc > 0.5
     assert run.models["Random Forest"].getNumTrees == 3  # the settings that it came with
     run.release()
+
+
+def test_boosted_trees_are_cross_validated_with_all_their_iterations(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ml, "fold_auc", lambda estimator, train, grid, folds, pool: asked.append((estimator.getMaxIter(), folds)) or [0.75])
+    ests = {"Gradient Boosted Trees": GBTClassifier(maxIter=7, maxDepth=2, weightCol="weight", seed=ml.SEED)}
+    run = ml.run_training(feature_frame(spark, SF_SMALL), do_tune=False, estimators=ests)
+    assert asked == [(7, 3)] and run.results.first().cv_auc == 0.75
+    run.release()
