@@ -260,3 +260,19 @@ def test_boosted_trees_are_cross_validated_with_all_their_iterations(spark, monk
     run = ml.run_training(feature_frame(spark, SF_SMALL), do_tune=False, estimators=ests)
     assert asked == [(7, 3)] and run.results.first().cv_auc == 0.75
     run.release()
+
+
+def test_a_failed_search_is_no_result(spark, monkeypatch, tmp_path):
+    from cohortlens.plans import ml_queries
+
+    def fails(*_):
+        raise ValueError("no folds")
+
+    monkeypatch.setattr(ml, "fold_auc", fails)
+    monkeypatch.setattr(ml_queries, "feature_frame", lambda spark, folder: features)
+    features = feature_frame(spark, SF_SMALL).limit(200).cache()
+    with pytest.raises(ValueError, match="no folds"):
+        ml_queries.training_run(spark, str(tmp_path))
+    row = spark.createDataFrame([("Linear SVC", "cross-validation: no folds")], "name string, error string")
+    with pytest.raises(ValueError, match="Linear SVC is not published: cross-validation"):
+        evaluation.publish_evaluations(row, str(tmp_path / "evaluations"), "r")
