@@ -276,3 +276,18 @@ def test_a_failed_search_is_no_result(spark, monkeypatch, tmp_path):
     row = spark.createDataFrame([("Linear SVC", "cross-validation: no folds")], "name string, error string")
     with pytest.raises(ValueError, match="Linear SVC is not published: cross-validation"):
         evaluation.publish_evaluations(row, str(tmp_path / "evaluations"), "r")
+
+
+def test_kept_node_ids_leave_the_forest_as_it_is(weighted):
+    forest = ml.classifiers()["Random Forest"]
+    assert forest.getCacheNodeIds()
+    kept, plain = (forest.copy({forest.cacheNodeIds: keep, forest.maxDepth: 7}).fit(weighted).toDebugString for keep in (True, False))
+    assert kept.split("\n", 1)[1] == plain.split("\n", 1)[1]
+
+
+def test_a_whole_model_is_fitted_beside_its_folds(spark, monkeypatch):
+    monkeypatch.setattr(MeetingRegression, "meeting", threading.Barrier(4, timeout=60))
+    run = ml.run_training(feature_frame(spark, SF_SMALL), estimators={"Logistic Regression": MeetingRegression(maxIter=2, weightCol="weight")})
+    row = run.results.first()
+    assert row.error is None and row.cv_auc > 0.5 and row.auc > 0.5
+    run.release()
