@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from cohortlens.plans.core_queries import _SCORED_DOUBLES, CLAMP, KEYS_SQL, VALID_ID, tables
 from cohortlens.plans.registry import register
-from cohortlens.session import scratch_path
+from cohortlens.session import scratch_path, shuffles_released
 from cohortlens.sources import snapshots
 from cohortlens.sources.schemas import SCHEMAS
 from cohortlens.streaming import activity_refresh, scored_refresh
@@ -24,7 +24,8 @@ def write_arrivals(clicks: DataFrame, folder: str, batches: int) -> int:
     spark = clicks.sparkSession
     parts = batches * math.ceil(spark.sparkContext.defaultParallelism / batches)
     cols = [f.name for f in SCHEMAS["student_vle"].fields]
-    clicks.select(*cols).repartition(parts).write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
+    with shuffles_released(spark):
+        clicks.select(*cols).repartition(parts).write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     files = sum(name.endswith(".parquet") for name, _ in snapshots.listed(spark, folder))
     return math.ceil(files / batches)
 

@@ -1,7 +1,9 @@
 """Keep the scored table and its tier summary fresh as click files arrive.
 
 Incremental view maintenance over the activity stream.  A micro-batch brings
-the enrollment-days whose totals changed.  For these enrollments alone the
+new clicks, which are combined to one row for each enrollment-day; a day's
+totals are the sums of its rows over the epochs, so the stream keeps no state
+of its own beside the table.  For the enrollments of the batch alone the
 click features, the feature row and the tier are computed again and written as
 the epoch's rows of the scored table; every other row stays where it is.  The
 tier summary is not counted again: the worst tiers of the students concerned,
@@ -16,7 +18,7 @@ An epoch counts once its summary is written, which is the last step: readers
 take the newest summary's epoch as the table's version and see neither rows of
 an unfinished batch nor half of one.  A replayed batch reads only what earlier
 epochs left, so it writes the same rows again.  ``fold`` keeps reading cheap
-as the query ages.
+as the query ages.  Shuffle files go with the step that made them.
 """
 
 from __future__ import annotations
@@ -38,16 +40,16 @@ from cohortlens.operators.features import (
     typed_clicks,
 )
 from cohortlens.operators.scoring import scored
-from cohortlens.session import shared_checkpoint_dir
+from cohortlens.session import shared_checkpoint_dir, shuffles_released
 from cohortlens.sources import snapshots
 from cohortlens.streaming.activity_refresh import (
+    DAY_KEYS,
+    DAY_VALUES,
     MAX_FILES_PER_TRIGGER,
     click_stream,
     day_table,
     generation,
-    latest_days,
     newest,
-    with_rocksdb,
 )
 from cohortlens.streaming.epochs import EpochTable
 
@@ -61,6 +63,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("id_student"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def day_totals(updates: DataFrame) -> DataFrame:
+    """Each enrollment-day's totals over its epochs."""
+    return updates.groupBy(*DAY_KEYS, "bucket").agg(*(F.sum(c).alias(c) for c in DAY_VALUES))
+
+
 def latest_rows(rows: DataFrame) -> DataFrame:
     """The rows that each enrollment had in its latest epoch."""
     last = F.max("epoch").over(Window.partitionBy(*KEYS))
@@ -82,14 +89,15 @@ class ScoredRefresh:
     @classmethod
     def begin(cls, spark: SparkSession, folder: str, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> ScoredRefresh:
         """Writes the static features and the scored rows without any click, unless they are there."""
-        if snapshots.current(spark, f"{folder}/static") is None:
-            static = static_features(tables).withColumn("bucket", _bucket(buckets))
-            snapshots.publish(static.repartition("bucket"), f"{folder}/static", partition_by=["bucket"])
-        static = snapshots.read(spark, f"{folder}/static")
-        first = scored(assembled(static, None)).withColumn("bucket", _bucket(buckets))
-        refresh = cls(spark, folder, tables["courses"], first.schema, buckets)
-        refresh.scored.start(first)
-        refresh.summaries.start(cohort.tier_summary(first))
+        with shuffles_released(spark):
+            if snapshots.current(spark, f"{folder}/static") is None:
+                static = static_features(tables).withColumn("bucket", _bucket(buckets))
+                snapshots.publish(static.repartition("bucket"), f"{folder}/static", partition_by=["bucket"])
+            static = snapshots.read(spark, f"{folder}/static")
+            first = scored(assembled(static, None)).withColumn("bucket", _bucket(buckets))
+            refresh = cls(spark, folder, tables["courses"], first.schema, buckets)
+            refresh.scored.start(first)
+            refresh.summaries.start(cohort.tier_summary(first))
         return refresh
 
     def version(self) -> int:
@@ -101,7 +109,11 @@ class ScoredRefresh:
         return rows.groupBy().agg(*(F.max_by(c, "epoch").alias(c) for c in SUMMARY))
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """One micro-batch of changed enrollment-days."""
+        """One micro-batch: what it adds to its enrollment-days."""
+        with shuffles_released(self.spark), shuffles_released(batch.sparkSession):
+            self._apply(batch, epoch)
+
+    def _apply(self, batch: DataFrame, epoch: int) -> None:
         self.days.write(batch.withColumn("bucket", _bucket(self.buckets)), epoch)
         changed = self.days.epoch(epoch).select(*KEYS, "bucket").distinct()
         touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most BUCKETS numbers
@@ -109,7 +121,7 @@ class ScoredRefresh:
         def mine(rows: DataFrame) -> DataFrame:
             return rows.filter(F.col("bucket").isin(touched)) if touched else rows.limit(0)
 
-        days = latest_days(mine(self.days.rows(epoch)).join(changed, [*KEYS, "bucket"], "left_semi"))
+        days = day_totals(mine(self.days.rows(epoch)).join(changed, [*KEYS, "bucket"], "left_semi"))
         static = mine(snapshots.read(self.spark, f"{self.folder}/static")).join(changed, [*KEYS, "bucket"], "left_semi")
         features = assembled(static, activity_from_daily(days, self.courses))
         self.scored.write(scored(features).withColumn("bucket", _bucket(self.buckets)), epoch)
@@ -142,7 +154,7 @@ class ScoredRefresh:
 
     def fold(self, keep: int = 1, wait_seconds: float = 0.0) -> None:
         """Folds the older epochs of all tables; for the time between two runs of the query."""
-        self.days.fold(latest_days, keep, wait_seconds)
+        self.days.fold(day_totals, keep, wait_seconds)
         self.scored.fold(latest_rows, keep, wait_seconds)
         self.summaries.fold(lambda rows: rows.groupBy().agg(*(F.max_by(c, "epoch").alias(c) for c in SUMMARY)), keep, wait_seconds)
 
@@ -162,15 +174,14 @@ def start_scored_refresh(
     checkpoint = checkpoint or os.path.join(shared_checkpoint_dir(spark), "streams", "scored_refresh")
     folder = os.path.join(out_dir, f"generation={generation(spark, out_dir, checkpoint)}")
     refresh = ScoredRefresh.begin(spark, folder, tables, buckets)
-    daily = daily_clicks(typed_clicks(click_stream(spark, source_dir, max_files_per_trigger), tables["vle"]))
+    typed = typed_clicks(click_stream(spark, source_dir, max_files_per_trigger), tables["vle"])
     writer = (
-        daily.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, epoch: refresh.apply(batch, int(epoch)))
+        typed.writeStream.foreachBatch(lambda batch, epoch: refresh.apply(daily_clicks(batch), int(epoch)))
         .option("checkpointLocation", checkpoint)
         .queryName("scored_refresh")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    return with_rocksdb(spark, writer.start)
+    return writer.start()
 
 
 def refreshed(spark: SparkSession, out_dir: str, courses: DataFrame) -> ScoredRefresh:

@@ -8,8 +8,10 @@ from cohortlens.operators import cohort, cube, ranking
 from cohortlens.operators.features import feature_table
 from cohortlens.operators.scoring import scored
 from cohortlens.plans.core_queries import cube_frame, scored_frame, tables
+from cohortlens.session import RELEASE
 from cohortlens.sources.schemas import SCHEMAS
 from cohortlens.streaming import scored_refresh
+from cohortlens.streaming.epochs import EpochTable
 from tests import helpers
 from tests.conftest import SF_SMALL
 
@@ -69,6 +71,18 @@ def test_a_batch_without_changes(spark, tmp_path):
     assert _rows(refresh.current_scored()) == _rows(want)
 
 
+def test_the_stream_leaves_no_state_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    t = tables(spark, SF_SMALL)
+    source, out, checkpoint = (str(tmp_path / x) for x in ("clicks", "out", "checkpoint"))
+    clicks = t["student_vle"].select(*(f.name for f in SCHEMAS["student_vle"].fields)).filter("id_student % 10 = 1").coalesce(1)
+    clicks.write.parquet(source)
+    asked, write = [], EpochTable.write
+    monkeypatch.setattr(EpochTable, "write", lambda self, rows, epoch: asked.append(rows.sparkSession.conf.get(RELEASE)) or write(self, rows, epoch))
+    scored_refresh.start_scored_refresh(spark, source, t, out, checkpoint, buckets=2).awaitTermination()
+    assert asked == ["true"] * 3 and spark.conf.get(RELEASE) == "false"
+    assert not (tmp_path / "checkpoint" / "state").exists()
+
+
 # ---------------------------------------------------------------- the cube
 
 
