@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import scratch_path, shared_checkpoint_dir
+from cohortlens.session import scratch_path, shared_checkpoint_dir, shuffles_released
 
 # A slice ending at or below this position is cut by a per-partition top-k;
 # deeper slices number all rows with the distributed sort below.
@@ -96,7 +96,8 @@ def running_totals(
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "running-totals")
     tagged = df.repartitionByRange(n, order_col).withColumn("_part", F.spark_partition_id())
-    tagged.write.parquet(path)
+    with shuffles_released(spark):
+        tagged.write.parquet(path)
     tagged = spark.read.schema(tagged.schema).parquet(path)
     inside = Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     in_part = tagged.select(

@@ -19,7 +19,7 @@ from cohortlens.functions.positions import with_positions
 from cohortlens.operators import cohort, cube, features, ranking, stats
 from cohortlens.operators.scoring import SCORED_FEATURES, scored, with_risk_tier
 from cohortlens.plans.registry import register
-from cohortlens.session import scratch_path
+from cohortlens.session import scratch_path, shuffles_released
 from cohortlens.sources import feature_groups
 from cohortlens.sources.sorted_store import SortedStore
 from cohortlens.sources.testdata import load_source_tables
@@ -72,7 +72,8 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # written to the shared folder (a lineage cut: a lost executor's blocks are
 # re-read from those files instead of re-running the feature pipeline and its
 # shuffles), as Parquet, which takes a small part of a checkpoint's rows, and
-# then kept in memory, spilling to disk instead of failing.
+# then kept in memory, as far as it fits: the rest is read from the files again,
+# not stored on disk a second time.
 _SCORED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -82,8 +83,9 @@ def scored_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     if frame is None:
         path = scratch_path(spark, "scored")
         rows = scored(feature_frame(spark, sf_dir))
-        rows.write.parquet(path)
-        frame = spark.read.schema(rows.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+        with shuffles_released(spark):
+            rows.write.parquet(path)
+        frame = spark.read.schema(rows.schema).parquet(path).persist(StorageLevel.MEMORY_ONLY)
         _SCORED[key] = frame
     return frame
 
