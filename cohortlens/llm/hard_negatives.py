@@ -19,9 +19,10 @@ mean square norm, and without a threshold in the end; for negatives down to the
 window's lower end.  Rows below a threshold rank behind those found, so full
 windows are final.
 
-Rows lie in blocks of about ``ROWS``, anchors in blocks of about ``ANCHORS``,
-both dealt by hash; a task meets blocks of each, and returns at most a
-window's rows for each anchor, window and block.  Nothing but counts, the rows'
+Rows lie in blocks of about ``ROWS``, anchors in groups of about ``TASK_WORK``
+multiplications with a block, both dealt by hash; blocks and groups are shuffled
+as plain rows, which Spark can spill, and a Python worker holds one block and one
+group at a time.  It returns at most a window's rows for each anchor, window and block.  Nothing but counts, the rows'
 squared sum and one number for each dimension reaches the driver.
 
 Edge cases: rows with a null label, a null vector, or any null or non-finite
@@ -52,8 +53,10 @@ ROWS, ANCHORS, SEGMENT = 16384, 64, 8
 LADDER = (0.5, 0.25, 0.125)
 #: First threshold of the negatives, in hundredths of the smallest positive's score; then the window's lower end.
 FIRST_NEGATIVES = 95
-#: Multiplications of one task, more or less.
-TASK_WORK = 1 << 27
+#: Multiplications of one block with one group, more or less: a block is shuffled once for each group.
+TASK_WORK = 1 << 30
+#: Blocks times groups for each core, at least, while a group has ``ANCHORS``.
+TASKS_PER_CORE = 2
 _LEAST, _MOST = 1 - 2**63, 2**63 - 1
 
 
@@ -134,58 +137,55 @@ def _clip(scores: np.ndarray) -> np.ndarray:
     return np.array([min(max(int(s), _LEAST), _MOST) for s in scores], np.int64) if scores.dtype == object else scores.astype(np.int64)
 
 
-def _join(dimensions: np.ndarray, top: int, positives: bool):
-    """Meets the blocks of anchors and rows in each input row; the best ``top`` rows of each anchor and window."""
-
-    def run(batches):
-        for batch in batches:
-            get = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                a, r = get["anchors"][i].values, get["members"][i].values
-                anchors, vectors = _matrix(a.field("q"), dimensions), _matrix(r.field("q"), dimensions)
-                width = max(1, len(dimensions)) * float(np.abs(anchors.astype(np.float64)).max(initial=0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0))
-                kind = np.float64 if width < 2**53 else object
-                norms = np.sqrt((anchors.astype(np.float64) ** 2).sum(1))
-                limits = a.field("threshold").to_numpy(zero_copy_only=False).astype(np.float64)  # NaN stands for none
-                limits = np.where(np.isnan(limits), -math.inf, limits)
-                part = float(np.min(np.where(limits > 0, limits / np.maximum(norms, 1e-300), -math.inf)))
-                index = Index(vectors.astype(kind), part)
-                row = r.field("row").to_numpy()[index.order]
-                label = r.field("label").to_numpy()[index.order]
-                ids = r.field("id").fill_null(_MOST).to_numpy()[index.order]
-                out = []
-                for j in range(len(anchors)):
-                    same = label == a.field("label")[j].as_py()
-                    me = a.field("row")[j].as_py()
-                    found, scores = index.search(anchors[j].astype(kind), limits[j], (same & (row != me)) if positives else ~same)
-                    scores = _clip(scores)
-                    order = np.lexsort((row[found], ids[found], -scores))
-                    found, scores = found[order], scores[order]
-                    for w, upper, lower in [(0, _MOST, _LEAST)] if positives else [(w["rank"], w["upper"], w["lower"]) for w in a.field("windows")[j].as_py()]:
-                        keep = np.flatnonzero((scores <= upper) & (scores >= lower))[:top]
-                        out.append((np.full(len(keep), me), np.full(len(keep), w), scores[keep], row[found[keep]]))
-                me, w, scores, hit = (np.concatenate(x) for x in zip(*out, strict=True))
-                place = np.argsort(row)
-                back = pa.array(index.order[place[np.searchsorted(row, hit, sorter=place)]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(me), pa.array(w.astype(np.int32)), pa.array(scores), r.field("id").take(back), pa.array(hit)], names=["anchor", "window", "score", "id", "hit"]
-                )
+def _join(dimensions: np.ndarray, top: int, positives: bool, size: int):
+    """Meets the anchors and rows of one task, ``size`` anchors of like thresholds at a time; the best ``top`` rows of each anchor and window."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, r = ({name: t[name].combine_chunks() for name in t.column_names} for t in (left, right))
+        out = [(np.zeros(0, np.int64),) * 4]
+        if left.num_rows and right.num_rows:
+            anchors, vectors = _matrix(a["q"], dimensions), _matrix(r["q"], dimensions)
+            width = max(1, len(dimensions)) * float(np.abs(anchors.astype(np.float64)).max(initial=0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0))
+            kind = np.float64 if width < 2**53 else object
+            norms = np.sqrt((anchors.astype(np.float64) ** 2).sum(1))
+            anchors, vectors = anchors.astype(kind), vectors.astype(kind)
+            limits = a["threshold"].to_numpy(zero_copy_only=False).astype(np.float64)  # NaN stands for none
+            limits = np.where(np.isnan(limits), -math.inf, limits)
+            parts = np.where(limits > 0, limits / np.maximum(norms, 1e-300), -math.inf)
+            by_part = np.argsort(parts, kind="stable")
+        for start in range(0, left.num_rows if right.num_rows else 0, size):
+            mine = by_part[start : start + size]
+            index = Index(vectors, float(parts[mine[0]]))
+            row, label = (r[name].to_numpy()[index.order] for name in ("row", "label"))
+            ids = r["id"].fill_null(_MOST).to_numpy()[index.order]
+            for j in mine:
+                same = label == a["label"][j].as_py()
+                me = a["row"][j].as_py()
+                found, scores = index.search(anchors[j], limits[j], (same & (row != me)) if positives else ~same)
+                scores = _clip(scores)
+                order = np.lexsort((row[found], ids[found], -scores))
+                found, scores = found[order], scores[order]
+                for w, upper, lower in [(0, _MOST, _LEAST)] if positives else [(w["rank"], w["upper"], w["lower"]) for w in a["windows"][j].as_py()]:
+                    keep = np.flatnonzero((scores <= upper) & (scores >= lower))[:top]
+                    out.append((np.full(len(keep), me), np.full(len(keep), w), scores[keep], index.order[found[keep]]))
+        me, w, scores, place = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        place = pa.array(place)
+        return pa.table({"anchor": me, "window": pa.array(w.astype(np.int32)), "score": scores, "id": r["id"].take(place), "hit": r["row"].take(place)})
 
     return run
 
 
-def _meet(anchors: DataFrame, blocks: DataFrame, n_rows: int, n_blocks: int, dimensions: np.ndarray, top: int, positives: bool) -> DataFrame:
+def _meet(anchors: DataFrame, rows: DataFrame, n_rows: int, n_blocks: int, dimensions: np.ndarray, top: int, positives: bool) -> DataFrame:
     """Best rows of each anchor (``row``, ``label``, ``q``, ``threshold``, ``windows``) and window, numbered by ``place``."""
     n_anchors = anchors.count()
-    a_blocks = max(1, -(-n_anchors // ANCHORS))
-    groups = max(1, min(a_blocks, -(-n_anchors * n_rows * max(1, len(dimensions)) // (TASK_WORK * n_blocks))))
-    part = F.pmod(F.xxhash64("row"), F.lit(a_blocks)).cast("int")
-    packed = anchors.groupBy(part.alias("part")).agg(F.collect_list(F.struct("row", "label", "q", "threshold", "windows")).alias("anchors"))
-    left = packed.select((F.col("part") % groups).alias("group"), "anchors", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    right = blocks.select("block", "members", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    tasks = n_blocks * groups
-    met = left.repartition(tasks, "block", "group").join(right.repartition(tasks, "block", "group").hint("shuffle_merge"), ["block", "group"])
-    hits = met.select("anchors", "members").mapInArrow(_join(dimensions, top, positives), "anchor long, window int, score long, id long, hit long")
+    cores = anchors.sparkSession.sparkContext.defaultParallelism
+    groups = max(-(-n_anchors * n_rows * max(1, len(dimensions)) // (TASK_WORK * n_blocks)), -(-TASKS_PER_CORE * cores // n_blocks))
+    groups = max(1, min(-(-n_anchors // ANCHORS), groups))
+    group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")
+    left = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), group, "row", "label", "q", "threshold", "windows")
+    right = rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "row", "id", "label", "q")
+    met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group"))
+    hits = met.applyInArrow(_join(dimensions, top, positives, ANCHORS), "anchor long, window int, score long, id long, hit long")
     order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), F.asc_nulls_last("id"), "hit")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
@@ -223,8 +223,7 @@ def mine_hard_negatives(
     n_blocks = max(1, -(-n_rows // ROWS))
     mean = math.sqrt(sum(r.energy for r in energy) / max(1, n_rows))
     block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")
-    blocks = rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("row", "id", "label", "q")).alias("members"))
-    blocks = checkpointed(blocks)
+    blocks = rows.withColumn("block", block)
     anchors = checkpointed(rows.filter("is_anchor").select(F.col("row"), F.col("id").alias("anchor_id"), "label", "q"))
 
     none = F.lit(None).cast("array<struct<rank:int,upper:long,lower:long>>")

@@ -220,6 +220,18 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, sizes):
     assert got_rows(hard_negatives.mine_hard_negatives(df, F.col("vec_id") % 100 == 0)) == want and len(want) > 50
 
 
+def test_hard_negatives_pack_no_block_into_a_row(spark, monkeypatch):
+    packed, kept = [], hard_negatives.checkpointed
+
+    def stored(df):
+        packed.extend(f.name for f in df.schema if f.dataType.simpleString().startswith("array<struct<") and "q:" in f.dataType.simpleString())
+        return kept(df)
+
+    monkeypatch.setattr(hard_negatives, "checkpointed", stored)
+    df = spark.createDataFrame(vectors(1), "vec_id long, embedding array<double>, label int")
+    assert hard_negatives.mine_hard_negatives(df, F.col("vec_id") % 100 == 0).count() > 50 and packed == []
+
+
 def test_hard_negatives_of_large_numbers_and_text_labels(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.choice([1e9, 3e7, 1.5, -2e8, 1e30 if i == 7 else 0.0], 4)], int(rng.integers(3))) for i in range(120)]
